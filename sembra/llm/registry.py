@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "quality")
+MODULES = ("simhash", "secrets", "quality")
 
 
 def _gather(attr: str) -> dict:
