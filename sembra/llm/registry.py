@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "secrets", "quality")
+MODULES = ("simhash", "secrets", "licenses", "quality")
 
 
 def _gather(attr: str) -> dict:
