@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "secrets", "licenses", "quality")
+MODULES = ("simhash", "packing", "secrets", "licenses", "quality", "tokens")
 
 
 def _gather(attr: str) -> dict:
