@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "warc", "substrings", "simhash", "packing", "secrets", "licenses", "quality", "tokens")
+MODULES = ("decontaminate", "warc", "substrings", "simhash", "packing", "secrets", "language", "licenses", "quality", "tokens")
 
 
 def _gather(attr: str) -> dict:
