@@ -144,11 +144,13 @@ def quality(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that are kept, with their columns; no shuffle of texts."""
-    found = materialise(features(docs, keep=[_stratum(stratum_col)]), "quality")
-    cutoffs = calibrate(found, labels, alpha, delta)
-    whole = features(docs, keep=[_stratum(stratum_col), F.struct(*docs.columns).alias("_row")])
-    return whole.where(verdict(cutoffs)).select("_row.*")
+    """The rows of docs that are kept, with their columns; no shuffle of texts.
+
+    Rows are written with their features: a filter on features that aren't stored would be pushed
+    into them and evaluate them many times over.
+    """
+    found = materialise(features(docs, keep=[_stratum(stratum_col), F.struct(*docs.columns).alias("_row")]), "quality")
+    return found.where(verdict(calibrate(found, labels, alpha, delta))).select("_row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
