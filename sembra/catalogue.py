@@ -2,10 +2,415 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import rules
+from .agentic.corpus import Corpus
+from .cascade import CascadeArgs
+from .engine import Engine
+from .functions import context
+from .functions.serialize import row_text
+from .operators.aggregation import sem_agg, sem_partition_by
+from .operators.joins import sem_join
+from .operators.ranking import sem_topk
+from .operators.rowwise import llm_as_judge, pairwise_judge, sem_extract, sem_filter, sem_map
+from .operators.vectors import sem_cluster_by, sem_dedup, sem_search, sem_sim_join
+from .plans.lazy import LazyFrame
+from .sources.connect import load_files, load_from_db
+from .sources.web import extract_html
+from .streaming.windows import read_stream, run_available, sessions, tumbling
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def wrap(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return wrap
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, rules.backend(), rules.helper())
+
+
+RING = "regexp_matches(p_name, '\\bring\\b')"
+
+
+@query(f"SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 10 AND {RING} GROUP BY p_brand")
+def q_filter(spark, d):
+    part = _t(spark, d, "part").where("p_size >= 10").select("p_brand", "p_name")
+    return sem_filter(_engine(spark), part, "{p_name} names a ring").groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, {RING} AS verdict FROM part")
+def q_filter_return_all(spark, d):
+    return sem_filter(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name"), "{p_name} names a ring", return_all=True).select("p_partkey", F.col("_filter").alias("verdict"))
+
+
+@query("SELECT p_partkey, lower(substr(p_type, 1, 1)) AS letter FROM part")
+def q_map(spark, d):
+    return sem_map(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_type"), "Give the first letter of {p_type}", suffix="letter")
+
+
+@query("SELECT event_id, props->>'$.k' AS k FROM events")
+def q_extract(spark, d):
+    return sem_extract(_engine(spark), _t(spark, d, "events").select("event_id", "props"), ["props"], {"k": None}).select("event_id", "k")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1500 THEN 'long' ELSE 'short' END AS judge_0, CASE WHEN n_chars >= 1500 THEN 'long' ELSE 'short' END AS judge_1 FROM documents")
+def q_judge(spark, d):
+    return llm_as_judge(_engine(spark), _t(spark, d, "documents").select("doc_id", "n_chars"), "Is a text of {n_chars} characters long or short?", n_trials=2, suffix="judge").select("doc_id", "judge_0", "judge_1")
+
+
+PAIR = "CASE WHEN length(p_name) >= length(p_type) THEN 'A' ELSE 'B' END"
+
+
+@query(f"SELECT p_partkey, {PAIR} AS v_0 FROM part")
+def q_pairwise(spark, d):
+    return pairwise_judge(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type", "Prefer the longer text.", suffix="v").select("p_partkey", "v_0")
+
+
+@query(f"SELECT p_partkey, {PAIR} AS v_0, {PAIR} AS v_1 FROM part")
+def q_pairwise_swapped(spark, d):
+    return pairwise_judge(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type", "Prefer the longer text.", n_trials=2, permute_cols=True, suffix="v").select("p_partkey", "v_0", "v_1")
+
+
+JOINED = "SELECT r_name, p_type, count(*) AS n FROM part, region WHERE contains(r_name, substr(p_type, 1, 1)) GROUP BY ALL"
+
+
+@query(JOINED)
+def q_join_full(spark, d):
+    out = sem_join(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_type"), _t(spark, d, "region"), "{p_type} has a letter of {r_name}")
+    return out.groupBy("r_name", "p_type").agg(F.count("*").alias("n"))
+
+
+@query(JOINED)
+def q_join_cascade(spark, d):
+    args = CascadeArgs(proxy="embedding", fixed=(2.0, -1.0), plan="search_filter", min_join_size=1)
+    out = sem_join(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_type"), _t(spark, d, "region"), "{p_type} has a letter of {r_name}", cascade=args)
+    return out.groupBy("r_name", "p_type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey FROM part WHERE CASE WHEN p_size / 50 >= 0.8 THEN true WHEN p_size / 50 <= 0.2 THEN false ELSE {RING} END")
+def q_filter_cascade_fixed(spark, d):
+    args = CascadeArgs(fixed=(0.8, 0.2))
+    return sem_filter(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_size"), "{p_name} of size {p_size} is big or a ring", cascade=args).select("p_partkey")
+
+
+@query()
+def q_filter_cascade_learned(spark, d):
+    args = CascadeArgs(recall_target=0.9, precision_target=0.9, sampling_percentage=0.5, seed=7)
+    return sem_filter(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_size"), "{p_name} of size {p_size} is big or a ring", cascade=args).select("p_partkey")
+
+
+def _first_vector(spark, d) -> list[float]:
+    return [float(x) for x in _t(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+DOT = "list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT vec_id, round({DOT}, 9) AS score FROM embeddings ORDER BY {DOT} DESC, vec_id LIMIT 10")
+def q_search(spark, d):
+    out = sem_search(_engine(spark), _t(spark, d, "embeddings"), _first_vector(spark, d), 10, "embedding", "vec_id", return_scores=True)
+    return out.select("vec_id", F.round("vec_scores_sim_score", 9).alias("score"))
+
+
+@query(f"SELECT vec_id, round({DOT}, 9) AS score FROM embeddings WHERE label = 3 ORDER BY {DOT} DESC, vec_id LIMIT 10")
+def q_search_filtered(spark, d):
+    out = sem_search(_engine(spark), _t(spark, d, "embeddings").where("label = 3"), _first_vector(spark, d), 10, "embedding", "vec_id", return_scores=True)
+    return out.select("vec_id", F.round("vec_scores_sim_score", 9).alias("score"))
+
+
+PAIRS = "SELECT a.vec_id AS l, b.vec_id AS r, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b"
+
+
+@query(f"SELECT l, r, round(s, 6) AS score FROM ({PAIRS}) QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, r) <= 3")
+def q_sim_join(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    out = sem_sim_join(e, e, "vec_id", "vec_id", 3, "embedding", "embedding", keep_index=True)
+    return out.select(F.col("_left_id").alias("l"), F.col("_right_id").alias("r"), F.round("_scores", 6).alias("score"))
+
+
+@query(f"WITH RECURSIVE e AS (SELECT l, r FROM ({PAIRS}) WHERE s > 0.3 AND l <> r), reach(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.r, reach.root FROM reach JOIN e ON e.l = reach.id WHERE reach.root < e.r) SELECT id AS vec_id FROM reach GROUP BY id HAVING min(root) = id")
+def q_dedup(spark, d):
+    return sem_dedup(_engine(spark), _t(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", 0.3, "vec_id", "embedding").select("vec_id")
+
+
+def _nearest(centers: str) -> str:
+    return f"(SELECT arg_min(c.i, (list_inner_product(c.v, c.v) - 2 * list_inner_product(e.embedding::DOUBLE[], c.v), c.i)) FROM {centers} c)"
+
+
+@query(f"""WITH c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 10),
+a0 AS (SELECT e.embedding, {_nearest('c0')} AS i FROM embeddings e),
+m AS (SELECT i, j, avg(embedding[j]::DOUBLE) AS x FROM a0, range(1, 65) t(j) GROUP BY i, j),
+c1 AS (SELECT i, list(x ORDER BY j) AS v FROM m GROUP BY i UNION ALL SELECT i, v FROM c0 WHERE i NOT IN (SELECT i FROM m))
+SELECT vec_id, CAST({_nearest('c1')} AS INTEGER) AS cluster_id FROM embeddings e""")
+def q_cluster(spark, d):
+    return sem_cluster_by(_t(spark, d, "embeddings"), 10, "embedding", "vec_id", niter=1).select("vec_id", "cluster_id")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+def q_agg_group(spark, d):
+    return sem_agg(_engine(spark), _t(spark, d, "nation"), "List the values of {n_name}", suffix="names", group_by=["n_regionkey"], order_by=["n_nationkey"], budget=12)
+
+
+@query("SELECT string_agg(n_name, ',' ORDER BY n_nationkey % 3, n_nationkey) AS names FROM nation")
+def q_partition_agg(spark, d):
+    parts = sem_partition_by(_t(spark, d, "nation"), F.col("n_nationkey") % 3)
+    return sem_agg(_engine(spark), parts, "List the values of {n_name}", suffix="names", order_by=["n_nationkey"], budget=16)
+
+
+TOP = "SELECT {key}, CAST(row_number() OVER (ORDER BY {by} DESC) AS INTEGER) AS rank FROM {table} ORDER BY {by} DESC LIMIT {k}"
+
+
+@query(TOP.format(key="n_nationkey", by="n_nationkey", table="nation", k=5))
+def q_topk_naive(spark, d):
+    return sem_topk(_engine(spark), _t(spark, d, "nation"), "{n_nationkey}: the nation key is larger", 5, "naive", "n_nationkey", rank_col="rank").select("n_nationkey", "rank")
+
+
+@query(TOP.format(key="s_suppkey", by="s_acctbal", table="supplier", k=5))
+def q_topk_quick(spark, d):
+    return sem_topk(_engine(spark), _t(spark, d, "supplier"), "{s_acctbal}: the balance is larger", 5, "quick", "s_suppkey", rank_col="rank").select("s_suppkey", "rank")
+
+
+@query(TOP.format(key="r_regionkey", by="r_regionkey", table="region", k=2))
+def q_topk_heap(spark, d):
+    return sem_topk(_engine(spark), _t(spark, d, "region"), "{r_regionkey}: the region key is larger", 2, "heap", "r_regionkey", rank_col="rank").select("r_regionkey", "rank")
+
+
+@query("SELECT n_nationkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS INTEGER) AS rank FROM nation QUALIFY rank <= 2")
+def q_topk_grouped(spark, d):
+    return sem_topk(_engine(spark), _t(spark, d, "nation"), "{n_nationkey}: the nation key is larger", 2, "naive", "n_nationkey", ["n_regionkey"], rank_col="rank").select("n_nationkey", "rank")
+
+
+@query(TOP.format(key="n_nationkey", by="n_nationkey", table="nation", k=3))
+def q_topk_cascade(spark, d):
+    return sem_topk(_engine(spark), _t(spark, d, "nation"), "{n_nationkey}: the nation key is larger", 3, "naive", "n_nationkey", cascade_threshold=0.9, rank_col="rank").select("n_nationkey", "rank")
+
+
+TOK = "string_split_regex(trim(text), '\\s+')"
+
+
+@query(f"SELECT doc_id, CAST(c AS INTEGER) AS chunk, md5(array_to_string(list_slice({TOK}, c * 200 + 1, c * 200 + 200), ' ')) AS digest FROM documents, unnest(range(0, CAST(ceil(len({TOK}) / 200) AS BIGINT))) u(c) WHERE len({TOK}) > 200 UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE len({TOK}) <= 200")
+def q_chunk(spark, d):
+    return context.chunk(_t(spark, d, "documents").select("doc_id", "text"), ["text"], 200).select("doc_id", "chunk", F.md5("text").alias("digest"))
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN len({TOK}) > 100 THEN array_to_string(list_slice({TOK}, 1, 100), ' ') || '...' ELSE text END) AS digest FROM documents")
+def q_truncate(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(context.truncate(F.col("text"), 100)).alias("digest"))
+
+
+@query("SELECT n_nationkey, '[N_name]: «' || n_name || '»' || chr(10) || '[N_regionkey]: «' || n_regionkey || '»' || chr(10) AS doc FROM nation")
+def q_serialize(spark, d):
+    n = _t(spark, d, "nation")
+    return n.select("n_nationkey", row_text(n, ["n_name", "n_regionkey"]).alias("doc"))
+
+
+@query("SELECT conv_id, turn, lower('text: ' || text) AS finding FROM conversations")
+def q_agentic_map(spark, d):
+    c = _t(spark, d, "conversations")
+    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    out = Corpus.from_dataframe(c, "key", ["text"]).agent("Lower-case it.", rules.agent, ["map"]).findings
+    return out.select(F.floor(F.col("ord") / 1000).alias("conv_id"), (F.col("ord") % 1000).alias("turn"), F.col("content").alias("finding"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE contains(n_name, 'A')")
+def q_agentic_filter(spark, d):
+    got = Corpus.from_dataframe(_t(spark, d, "nation"), "n_nationkey", ["n_name"]).agent("Names with an A.", rules.agent, ["filter"])
+    return got.corpus.units.select(F.col("ord").cast("int").alias("n_nationkey"))
+
+
+@query("SELECT string_agg(lower('n_name: ' || n_name), '|' ORDER BY n_nationkey) AS answer FROM nation")
+def q_agentic_reduce(spark, d):
+    got = Corpus.from_dataframe(_t(spark, d, "nation"), "n_nationkey", ["n_name"]).agent("List them.", rules.agent, ["map", "reduce"])
+    return spark.createDataFrame([(got.output,)], "answer string")
+
+
+@query()
+def q_html(spark, d):
+    return extract_html(_t(spark, d, "pages"), "html").select("page_id", "full_text")
+
+
+@query(f"SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 10 AND p_retailprice < 950 AND {RING} GROUP BY p_brand")
+def q_lazy_pushdown(spark, d):
+    plan = LazyFrame(name="part").sem_filter(instruction="{p_name} names a ring").filter("p_size >= 10").filter("p_retailprice < 950").group_by("p_brand", n="count(*)")
+    return plan.optimize().run(_engine(spark), {"part": _t(spark, d, "part").select("p_brand", "p_name", "p_size", "p_retailprice")})
+
+
+def _rel(sql: str, *tables: str):
+    """A relational query through a lazy plan: fn maps plans by table to a plan."""
+
+    def wrap(fn):
+        def run(spark, d):
+            plans = [LazyFrame(name=t) for t in tables]
+            return fn(*plans).run(Engine(spark), {t: _t(spark, d, t) for t in tables})
+
+        run.__name__ = fn.__name__
+        return query(sql)(run)
+
+    return wrap
+
+
+@_rel("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n, round(avg(l_discount), 9) AS avg_disc FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL", "lineitem")
+def q_rel_aggregate(li):
+    return li.filter("l_shipdate <= timestamp'1998-09-02'").group_by("l_returnflag", "l_linestatus", sum_qty="sum(l_quantity)", n="count(*)", avg_disc="round(avg(l_discount), 9)")
+
+
+@_rel("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "orders", "customer", "nation")
+def q_rel_join(orders, customer, nation):
+    c = customer.rename(c_custkey="o_custkey").join(nation.rename(n_nationkey="c_nationkey"), ["c_nationkey"])
+    return orders.join(c, ["o_custkey"]).group_by("n_name", n="count(*)", total="round(sum(o_totalprice), 2)")
+
+
+@_rel("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+def q_rel_semi(customer, orders):
+    return customer.join(orders.rename(o_custkey="c_custkey"), ["c_custkey"], "left_semi").select("c_custkey")
+
+
+@_rel("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+def q_rel_anti(customer, orders):
+    return customer.join(orders.rename(o_custkey="c_custkey"), ["c_custkey"], "left_anti").select("c_custkey")
+
+
+@_rel("SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, s_nationkey AS k FROM supplier WHERE s_nationkey < 3) FULL JOIN (SELECT c_custkey, c_nationkey AS k FROM customer WHERE c_nationkey BETWEEN 2 AND 4) USING (k)", "supplier", "customer")
+def q_rel_outer(supplier, customer):
+    return supplier.filter("s_nationkey < 3").rename(s_nationkey="k").join(customer.filter("c_nationkey BETWEEN 2 AND 4").rename(c_nationkey="k"), ["k"], "full").select("s_suppkey", "c_custkey")
+
+
+@_rel("SELECT r_name, n_name FROM region CROSS JOIN nation", "region", "nation")
+def q_rel_cross(region, nation):
+    return region.join(nation, [], "cross").select("r_name", "n_name")
+
+
+@_rel("SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, lag(o_totalprice) OVER w AS before, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", "orders")
+def q_rel_window(orders):
+    return orders.sql("SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, lag(o_totalprice) OVER w AS before, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS rk FROM {self} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+
+
+@_rel("SELECT n_regionkey, n_nationkey % 2 AS odd, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey, odd)", "nation")
+def q_rel_rollup(nation):
+    return nation.with_columns(odd="n_nationkey % 2").group_by("n_regionkey", "odd", sets="rollup", n="count(*)")
+
+
+@_rel("SELECT n_regionkey, n_nationkey % 2 AS odd, count(*) AS n FROM nation GROUP BY CUBE (n_regionkey, odd)", "nation")
+def q_rel_cube(nation):
+    return nation.with_columns(odd="n_nationkey % 2").group_by("n_regionkey", "odd", sets="cube", n="count(*)")
+
+
+@_rel("SELECT DISTINCT c_nationkey FROM customer INTERSECT SELECT DISTINCT s_nationkey FROM supplier", "customer", "supplier")
+def q_rel_intersect(customer, supplier):
+    return customer.select("c_nationkey").concat(supplier.select("s_nationkey AS c_nationkey"), "intersect")
+
+
+@_rel("SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
+def q_rel_except_all(customer, supplier):
+    return customer.select("c_nationkey").concat(supplier.select("s_nationkey AS c_nationkey"), "except_all")
+
+
+@_rel("SELECT r_name AS name, NULL::INTEGER AS n_regionkey FROM region UNION ALL SELECT n_name, n_regionkey FROM nation", "region", "nation")
+def q_rel_concat(region, nation):
+    return region.select("r_name AS name").concat(nation.select("n_name AS name", "n_regionkey"))
+
+
+@_rel("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part", "part")
+def q_rel_explode(part):
+    return part.explode("split(p_name, ' ')", "word").select("p_partkey", "word")
+
+
+@_rel("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", "orders")
+def q_rel_topn(orders):
+    return orders.sort("o_totalprice desc", "o_orderkey").limit(10, 5).select("o_orderkey", "o_totalprice")
+
+
+@_rel("SELECT DISTINCT p_brand, p_type FROM part", "part")
+def q_rel_distinct(part):
+    return part.select("p_brand", "p_type").distinct()
+
+
+@_rel("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events", "events")
+def q_rel_json(events):
+    return events.select("event_id", "from_json(props, 'k bigint').k AS k")
+
+
+@query("SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def q_rel_asof(spark, d):
+    """The last purchase at or before each event of its user: one window, no join."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(w)
+    return e.select("event_id", last["event_id"].alias("last_purchase"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q_stream_window(spark, d):
+    """The same plan that runs on a stream, over the whole table."""
+    out = tumbling(_t(spark, d, "events"), "ts", "1 hour", ["event_type"], n="count(*)", total="round(sum(value), 4)")
+    return out.select("window_start", "event_type", "n", "total")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def q_stream_counts(spark, d):
+    """A real stream over the file, drained and read from its memory table."""
+    schema = _t(spark, d, "events").schema
+    s = read_stream(spark, f"{d}/", schema, pathGlobFilter="events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    return run_available(s, "sembra_counts", "complete")
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+def q_sessions(spark, d):
+    return sessions(_t(spark, d, "events"), "ts", "30 minutes", ["user_id"], n="count(*)").select("user_id", "session_start", "n")
+
+
+def _folder() -> str:
+    return tempfile.mkdtemp(prefix="sembra-src-")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def q_source_db(spark, d):
+    path = os.path.join(_folder(), "t.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
+    con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in _t(spark, d, "nation").collect()])
+    con.commit()
+    con.close()
+    return load_from_db(spark, f"sqlite:///{path}", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+
+
+def _round_trip(kind: str):
+    def run(spark, d):
+        path = Engine(spark).shared_path(f"source-{kind}")
+        df = _t(spark, d, "supplier")
+        writer = df.write.options(header=True, sep="\t" if kind == "txt" else ",")
+        getattr(writer, "csv" if kind == "txt" else kind)(path)
+        return load_files(spark, path, kind).selectExpr("CAST(s_suppkey AS BIGINT) AS s_suppkey", "s_name", "CAST(s_nationkey AS INT) AS s_nationkey", "s_acctbal")
+
+    run.__name__ = f"q_source_{kind}"
+    return query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")(run)
+
+
+for _kind in ("csv", "json", "parquet", "txt"):
+    _round_trip(_kind)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
