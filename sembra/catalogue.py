@@ -63,7 +63,7 @@ def q_filter_return_all(spark, d):
 
 @query("SELECT p_partkey, lower(substr(p_type, 1, 1)) AS letter FROM part")
 def q_map(spark, d):
-    return sem_map(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_type"), "Give the first letter of {p_type}", suffix="letter")
+    return sem_map(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_type"), "Give the first letter of {p_type}", suffix="letter").select("p_partkey", "letter")
 
 
 @query("SELECT event_id, props->>'$.k' AS k FROM events")
@@ -300,7 +300,7 @@ def q_rel_cross(region, nation):
 
 @_rel("SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, lag(o_totalprice) OVER w AS before, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", "orders")
 def q_rel_window(orders):
-    return orders.sql("SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, lag(o_totalprice) OVER w AS before, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS rk FROM {self} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+    return orders.sql("SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, lag(o_totalprice) OVER w AS before, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS rk FROM {this} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 
 
 @_rel("SELECT n_regionkey, n_nationkey % 2 AS odd, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey, odd)", "nation")

@@ -2,7 +2,7 @@
 
 A model call is not a function for Catalyst: it would be evaluated twice, pushed below joins, and its
 deduplication undone.  So a call is lowered as distinct prompts -> anti-join with the call log ->
-one Arrow-batched stage -> append to the log (parquet) -> join back by key.  The log is the source
+one Arrow-batched stage -> a new part of the log (parquet) -> join back by key.  The log is the source
 of truth for calls, tokens and cost, it outlives executors, and a later plan over it is free.
 """
 
@@ -37,6 +37,7 @@ class Engine:
     log_path: str | None = None
     limits: Limits = Limits()
     usage: Usage = field(default_factory=Usage)
+    count_rows: bool = False  # one more job per call; gives usage.rows and cache_hits
     requests_per_minute: int | None = None
     tokens_per_minute: int | None = None
 
@@ -57,10 +58,6 @@ class Engine:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
     def ask(self, df: DataFrame, prompt: Column, backend: Backend | None = None, salt: str = "") -> DataFrame:
         """df with column _said: struct<text, positive_prob>; one call for equal prompts, none for logged ones.
 
@@ -77,9 +74,10 @@ class Engine:
             log = self.log_path
         name = json.dumps([backend.model, backend.max_tokens, salt])
         df = df.withColumn("_prompt", prompt).withColumn("_key", F.sha2(F.concat(F.lit(name), "_prompt"), 256))
-        asked = df.where(F.col("_prompt").isNotNull()).groupBy("_key").agg(F.first("_prompt").alias("_prompt"), F.count("*").alias("_rows"))
-        if self._exists(log):
-            asked = asked.join(self.spark.read.schema(LOG).parquet(log).select(F.col("key").alias("_key")), "_key", "left_anti")
+        asked = df.where(F.col("_prompt").isNotNull()).groupBy("_key").agg(F.first("_prompt").alias("_prompt"))
+        known = self._log(log)
+        if known is not None:
+            asked = asked.join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
         rpm, tpm = self.requests_per_minute, self.tokens_per_minute
         tasks = self.spark.sparkContext.defaultParallelism
 
@@ -97,23 +95,28 @@ class Engine:
                     said = backend.complete(chats)
                     yield pd.DataFrame({"key": part["_key"].to_numpy(), "model": backend.model, "text": [s.text for s in said], "positive_prob": pd.array([s.positive_prob for s in said], dtype="Float64"), "tokens_in": [s.tokens_in for s in said], "tokens_out": [s.tokens_out for s in said]})
 
-        before = self._totals(log)
-        asked.select("_key", "_prompt").mapInPandas(run, LOG).write.mode("append").parquet(log)
-        after = self._totals(log)
-        calls, tin, tout = (b - a for a, b in zip(before, after))
+        part = f"{log}/part-{uuid.uuid4().hex}"
+        asked.select("_key", "_prompt").mapInPandas(run, LOG).write.parquet(part)
+        calls, tin, tout = self.spark.read.schema(LOG).parquet(part).agg(F.count("*"), F.coalesce(F.sum("tokens_in"), F.lit(0)), F.coalesce(F.sum("tokens_out"), F.lit(0))).first()
         self.usage.calls += calls
+        self.usage.rows += df.where(F.col("_prompt").isNotNull()).count() if self.count_rows else 0
         self.usage.tokens_in += tin
         self.usage.tokens_out += tout
         self.usage.cost += cost_of(backend.model, tin, tout)
         self.limits.check(self.usage)
-        said = self.spark.read.schema(LOG).parquet(log).groupBy("key").agg(F.first(F.struct("text", "positive_prob")).alias("_said"))
+        said = self._log(log).groupBy("key").agg(F.first(F.struct("text", "positive_prob")).alias("_said"))
         return df.join(said.withColumnRenamed("key", "_key"), "_key", "left").drop("_key", "_prompt")
 
-    def _totals(self, log: str) -> tuple[int, int, int]:
-        if not self._exists(log):
-            return 0, 0, 0
-        r = self.spark.read.schema(LOG).parquet(log).agg(F.count("*"), F.sum("tokens_in"), F.sum("tokens_out")).first()
-        return r[0], r[1] or 0, r[2] or 0
+    def _log(self, log: str) -> DataFrame | None:
+        """The call log as it is now, None where there is none.
+
+        Its parts are named one by one: Spark takes two readings of one folder for the same table, and
+        would use an exchange of the older one again.
+        """
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(log)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        parts = sorted(str(x.getPath()) for x in fs.listStatus(p)) if fs.exists(p) else []
+        return self.spark.read.schema(LOG).parquet(*parts) if parts else None
 
     def estimate(self, df: DataFrame, prompt: Column) -> dict[str, int]:
         """Calls (equal prompts once) and prompt tokens that asking would take."""

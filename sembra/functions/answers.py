@@ -11,10 +11,14 @@ THINK = r"(?s)^\s*<think>(.*?)</think>\s*"
 ANSWER = r"(?is)answer\s*:\s*(.*)$"
 
 
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \n\r\t"))
+
+
 def body(raw: Column) -> Column:
     """What comes after the reasoning: a think block is dropped, and text up to ``Answer:``."""
     rest = F.regexp_replace(F.coalesce(raw, F.lit("")), THINK, "")
-    return F.trim(F.when(F.rlike(rest, F.lit(ANSWER)), F.regexp_extract(rest, ANSWER, 1)).otherwise(rest))
+    return _trimmed(F.when(F.rlike(rest, F.lit(ANSWER)), F.regexp_extract(rest, ANSWER, 1)).otherwise(rest))
 
 
 def explanation(raw: Column) -> Column:
@@ -22,7 +26,7 @@ def explanation(raw: Column) -> Column:
     think = F.regexp_extract(raw, THINK, 1)
     before = F.regexp_extract(raw, r"(?is)^(.*?)answer\s*:", 1)
     before = F.regexp_replace(before, r"(?i)^\s*reasoning\s*:\s*", "")
-    found = F.trim(F.when(think != "", think).otherwise(before))
+    found = _trimmed(F.when(think != "", think).otherwise(before))
     return F.when(found != "", found)
 
 

@@ -14,7 +14,10 @@ from ..functions import answers
 from ..functions.langex import columns_of, rendered
 from ..functions.prompts import Strategy, extract_prompt, row_prompt
 
-SAID = F.col("_said.text")
+
+
+def _said() -> Column:
+    return F.col("_said.text")
 
 
 def _free(df: DataFrame, name: str) -> str:
@@ -28,9 +31,9 @@ def _free(df: DataFrame, name: str) -> str:
 
 def _notes(df: DataFrame, suffix: str, explain: bool, raw: bool) -> DataFrame:
     if explain:
-        df = df.withColumn("explanation" + suffix, answers.explanation(SAID))
+        df = df.withColumn("explanation" + suffix, answers.explanation(_said()))
     if raw:
-        df = df.withColumn("raw_output" + suffix, SAID)
+        df = df.withColumn("raw_output" + suffix, _said())
     return df.drop("_said")
 
 
@@ -38,7 +41,7 @@ def sem_map(engine: Engine, df: DataFrame, instruction: str, suffix: str = "_map
     """One answer per row in column ``suffix``."""
     how = Strategy.of(strategy)
     prompt = row_prompt(df, "map", instruction, engine.serialization, how, examples, system_prompt)
-    out = engine.ask(df, prompt, salt=salt).withColumn(suffix, postprocess(SAID))
+    out = engine.ask(df, prompt, salt=salt).withColumn(suffix, postprocess(_said()))
     return _notes(out, suffix, return_explanations or (how is Strategy.COT and bool(examples)), return_raw_outputs)
 
 
@@ -46,7 +49,7 @@ def sem_extract(engine: Engine, df: DataFrame, input_cols: list[str], output_col
     """One string column per requested field (and ``_quote``); null where the answer lacks it or isn't an object."""
     how = Strategy.of(strategy)
     out = engine.ask(df, extract_prompt(df, input_cols, output_cols, extract_quotes, engine.serialization, how))
-    out = out.withColumn("_fields", answers.json_fields(SAID))
+    out = out.withColumn("_fields", answers.json_fields(_said()))
     names = [*output_cols, *([f"{c}_quote" for c in output_cols] if extract_quotes else [])]
     out = out.withColumns({c: F.col("_fields")[c] for c in names})
     if extra_col:
@@ -78,7 +81,7 @@ def _proxy_scores(engine: Engine, df: DataFrame, instruction: str, args: Cascade
         raise ValueError("a helper cascade needs a helper model")
     prompt = row_prompt(df, "filter", instruction, engine.serialization, Strategy.DEFAULT, examples, tokens=tokens)
     said = engine.ask(df, prompt, engine.helper)
-    score = F.coalesce("_said.positive_prob", F.when(answers.verdict(SAID, False, tokens), F.lit(1.0)).otherwise(F.lit(0.0)))
+    score = F.coalesce("_said.positive_prob", F.when(answers.verdict(_said(), False, tokens), F.lit(1.0)).otherwise(F.lit(0.0)))
     return said.withColumn("_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).drop("_said")
 
 
@@ -90,7 +93,7 @@ def sem_filter(engine: Engine, df: DataFrame, instruction: str, return_all: bool
     """
     how = Strategy.of(strategy)
     prompt = lambda d: row_prompt(d, "filter", instruction, engine.serialization, how, examples, system_prompt, output_tokens, extra_instructions)
-    verdict = answers.verdict(SAID, default, output_tokens)
+    verdict = answers.verdict(_said(), default, output_tokens)
     name = _free(df, suffix)
     stats = None
     if cascade is None:
@@ -142,7 +145,7 @@ def llm_as_judge(engine: Engine, df: DataFrame, instruction: str, n_trials: int
         name = f"{suffix}_{trial}"
         prompt = row_prompt(out, "judge", instruction, engine.serialization, how, examples, system_prompt, more=list(extra_cols))
         out = engine.ask(out, prompt, salt=f"trial {trial}")
-        value = F.from_json(SAID, response_schema) if response_schema else answers.body(SAID)
+        value = F.from_json(_said(), response_schema) if response_schema else answers.body(_said())
         out = _notes(out.withColumn(name, value), f"{suffix}_{trial}", return_explanations, return_raw_outputs)
     return out
 

@@ -154,8 +154,8 @@ class LazyFrame:
         return self._then("explode", col=col, alias=alias or col)
 
     def sql(self, query: str, **views: LazyFrame) -> LazyFrame:
-        """A query over ``self`` and named plans."""
-        return LazyFrame(Step("sql", {"query": query, "views": ["self", *views]}, (self.step, *(v.step for v in views.values()))))
+        """A query over ``{this}`` and named plans."""
+        return LazyFrame(Step("sql", {"query": query, "views": ["this", *views]}, (self.step, *(v.step for v in views.values()))))
 
     def apply(self, name: str, **args) -> LazyFrame:
         """A registered function of (engine, df, **args)."""
