@@ -272,7 +272,7 @@ def identify(docs: DataFrame, model: Model, keep: list[Column] = (), text_col: s
     base = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = StructType(base.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
     if with_spans:
-        schema = schema.add("spans", "array<struct<first:int,past:int,lang:string>>")
+        schema = schema.add(StructType.fromDDL("spans array<struct<first:int,past:int,lang:string>>").fields[0])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
