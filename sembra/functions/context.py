@@ -25,7 +25,8 @@ def chunk(df: DataFrame, columns: list[str], budget: int, id_col: str | None = N
     Adds chunk (from 0), chunk_column (null for whole rows).  A row whose other columns alone take the
     budget raises when it is reached.
     """
-    counts = {c: n_tokens(F.col(c)) for c in columns}
+    df = df.withColumns({f"_tokens_{i}": n_tokens(F.col(c)) for i, c in enumerate(columns)})
+    counts = {c: F.col(f"_tokens_{i}") for i, c in enumerate(columns)}
     total = sum((counts[c] for c in columns), F.lit(0))
     most = F.greatest(*counts.values()) if len(columns) > 1 else counts[columns[0]]
     which = F.coalesce(*[F.when(counts[c] == most, F.lit(c)) for c in columns])
@@ -35,7 +36,9 @@ def chunk(df: DataFrame, columns: list[str], budget: int, id_col: str | None = N
     longest = F.coalesce(*[F.when(F.col("_which") == c, F.col(c)) for c in columns])
     parts = F.split(F.trim(longest), r"\s+", -1)
     n = F.when(F.col("_which").isNull(), F.lit(1)).otherwise(F.ceil(F.size(parts) / F.col("_room")).cast("int"))
-    out = out.withColumns({"_parts": parts, "chunk": F.explode(F.sequence(F.lit(0), n - 1))})
+    # apart from the explode, so that a text is split once and not for each of its chunks
+    out = out.withColumns({"_parts": parts, "_n": n})
+    out = out.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     piece = F.array_join(F.slice("_parts", F.col("chunk") * F.col("_room") + 1, F.col("_room")), " ")
     out = out.withColumns({c: F.when(F.col("_which") == c, piece).otherwise(F.col(c)) for c in columns})
-    return out.withColumn("chunk_column", F.col("_which")).drop("_which", "_room", "_parts")
+    return out.withColumn("chunk_column", F.col("_which")).drop("_which", "_room", "_parts", "_n", *[f"_tokens_{i}" for i in range(len(columns))])

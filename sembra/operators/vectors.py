@@ -150,32 +150,56 @@ def sem_dedup(engine: Engine, df: DataFrame, col: str, threshold: float, id_col:
 def sem_cluster_by(df: DataFrame, ncentroids: int, vec_col: str = "_vec", id_col: str = "id", niter: int = 20, return_scores: bool = False, return_centroids: bool = False):
     """k-means from the vectors of the lowest ids: cluster_id (from 0), the score to the centroid if wanted.
 
-    Centroids (k rows) are on the driver; each round is one aggregation with map-side sums.
+    Centroids (k rows) are on the driver; a round sums per task and cluster, then over tasks.
     """
     if ncentroids < 1:
         raise ValueError("one centroid at least")
-    start = df.select(vec_col).orderBy(id_col).limit(ncentroids).collect()
-    centers = [[float(x) for x in r[0]] for r in start]
-    if not centers:
+    start = df.where(F.col(vec_col).isNotNull()).select(vec_col).orderBy(id_col).limit(ncentroids).collect()
+    if not start:
         out = df.withColumn("cluster_id", F.lit(None).cast("int"))
         return (out, []) if return_centroids else out
-
-    def nearest(cs: list[list[float]]) -> Column:
-        square = lambda c: float(sum(x * x for x in c))
-        # |v - c|^2 without |v|^2, which is the same for all
-        cost = F.array(*[F.struct((F.lit(square(c)) - 2 * similarity(F.col(vec_col), c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(cs)])
-        return F.array_min(cost)["i"]
-
-    dim = len(centers[0])
+    centers = np.array([[float(x) for x in r[0]] for r in start])
+    vectors = df.select(F.col(vec_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
     for _ in range(niter):
-        sums = [F.avg(F.get(vec_col, F.lit(j))).alias(f"m{j}") for j in range(dim)]
-        rows = {r[0]: [float(x) for x in r[1:]] for r in df.groupBy(nearest(centers).alias("c")).agg(*sums).collect()}
-        new = [rows.get(i, c) for i, c in enumerate(centers)]
-        if new == centers:
+        c = centers
+
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, n = np.zeros_like(c), np.zeros(len(c), dtype=np.int64)
+            for frame in frames:
+                if len(frame):
+                    v = np.stack(frame["v"].to_numpy())
+                    near = _closest(v, c)
+                    np.add.at(total, near, v)
+                    n += np.bincount(near, minlength=len(c))
+            yield pd.DataFrame({"c": np.flatnonzero(n), "s": list(total[n > 0]), "n": n[n > 0]})
+
+        parts = vectors.mapInPandas(sums, "c long, s array<double>, n long")
+        count = parts.groupBy("c").agg(F.sum("n").alias("n"))
+        flat = parts.select("c", F.posexplode("s").alias("j", "x")).groupBy("c", "j").agg(F.sum("x").alias("x")).join(count, "c")
+        new = centers.copy()
+        for r in flat.collect():  # clusters x dimensions
+            new[r.c, r.j] = r.x / r.n
+        if np.array_equal(new, centers):
             break
         centers = new
-    out = df.withColumn("cluster_id", nearest(centers))
+    last = centers
+
+    @F.pandas_udf("int")
+    def nearest(s: pd.Series) -> pd.Series:
+        return pd.Series(_closest(np.stack(s.to_numpy()), last), dtype="int32") if len(s) else pd.Series([], dtype="int32")
+
+    own = F.col(vec_col).cast("array<double>")
+    out = df.withColumn("cluster_id", nearest(own))
     if return_scores:
-        dots = F.array(*[similarity(F.col(vec_col), c) for c in centers])
-        out = out.withColumn("cluster_score", F.get(dots, F.col("cluster_id")))
-    return (out, centers) if return_centroids else out
+
+        @F.pandas_udf("double")
+        def score(s: pd.Series, k: pd.Series) -> pd.Series:
+            return pd.Series([float(np.dot(v, last[i])) for v, i in zip(s, k)], dtype=float)
+
+        out = out.withColumn("cluster_score", score(own, F.col("cluster_id")))
+    return (out, centers.tolist()) if return_centroids else out
+
+
+def _closest(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, the first of equals."""
+    return ((centers**2).sum(1) - 2 * v @ centers.T).argmin(1)
