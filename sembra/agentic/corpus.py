@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.serialize import as_text
+from ..storage import materialise, with_position
 from .loop import Tool, run_agent
 
 OPS = ("map", "filter", "reduce")
@@ -21,6 +22,7 @@ SYSTEM = {
     "filter": "Decide if the unit below is kept. End with VERDICT: KEEP or VERDICT: DROP.",
     "reduce": "Combine the findings below into one answer.",
 }
+BLOCK = 1_000_000
 UNITS = "id string, ord long, content string, metadata map<string,string>"
 
 
@@ -96,8 +98,8 @@ class Corpus:
         """Files in the order of their paths; unreadable bytes are replaced."""
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(pattern)
         text = F.decode(F.col("content"), F.lit("UTF-8"))
-        order = F.row_number().over(Window.orderBy("path")).cast("long") - 1
-        return cls(raw.select(F.col("path").alias("id"), order.alias("ord"), text.alias("content"), F.create_map(F.lit("path"), F.col("path")).alias("metadata")))
+        places = with_position(raw.select("path"), ["path"], "ord")
+        return cls(raw.join(places, "path").select(F.col("path").alias("id"), "ord", text.alias("content"), F.create_map(F.lit("path"), F.col("path")).alias("metadata")))
 
     @classmethod
     def from_text(cls, spark: SparkSession, text: str, chunk_chars: int = 4000) -> Corpus:
@@ -109,8 +111,8 @@ class Corpus:
 
     def shards(self, size: int = 1) -> DataFrame:
         """Units with column shard: consecutive places by size."""
-        place = F.row_number().over(Window.orderBy("ord", "id")) - 1
-        return self.units.withColumn("shard", F.floor(place / size).cast("long"))
+        places = with_position(self.units.select("ord", "id"), ["ord", "id"], "_place")
+        return self.units.join(places, ["ord", "id"]).withColumn("shard", F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
     def agent(self, task: str, complete: Callable, ops: list[str] | None = None, tools: list[Tool] = (), plan: Plan | None = None, contexts: dict[str, str] | None = None, max_steps: int = 6, reduce_budget: int = 50_000, lm=None) -> Result:
         """Run the operations in order; ``complete`` is the agent's completer (see run_agent)."""
@@ -165,24 +167,29 @@ def run_units(corpus: Corpus, op: str, plan: Plan, complete: Callable, tools: li
 
 def reduce_findings(findings: DataFrame, instruction: str, complete: Callable, tools: list[Tool], max_steps: int, budget: int) -> str:
     """One answer of all findings in order; where they exceed the budget of characters, in levels."""
-    level = findings.select(F.struct("ord", "id").alias("o"), "content")
+    level, before = findings.select("ord", "id", "content"), None
     while True:
-        size = F.sum(F.length("content") + 20).over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
-        packs = level.withColumn("pack", F.floor(size / budget).cast("long"))
-        lines = F.transform(F.array_sort(F.collect_list(F.struct("o", "content"))), lambda x: x["content"])
-        packed = packs.groupBy("pack").agg(lines.alias("lines"))
+        level = materialise(level, "findings")
+        places = with_position(level.select("ord", "id", (F.length("content") + 20).alias("n")), ["ord", "id"])
+        # sizes add up within a block of places, so that no task sees all of them
+        block = F.floor(F.col("_pos") / BLOCK)
+        size = F.sum("n").over(Window.partitionBy("_block").orderBy("_pos"))
+        packs = places.withColumn("_block", block).withColumn("pack", F.struct("_block", F.floor((size - F.col("n")) / budget).alias("p")))
+        packs = level.join(packs.select("ord", "id", "_pos", "pack"), ["ord", "id"])
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "content"))), lambda x: x["content"])
+        packed = packs.groupBy("pack").agg(F.min("_pos").alias("first"), lines.alias("lines"))
 
         def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 texts = ["\n".join(f"[shard {i}] {c}" for i, c in enumerate(x)) for x in frame["lines"]]
                 said = [run_agent(complete, tools, SYSTEM["reduce"], f"Instruction: {instruction}\n\nFindings:\n{t}", max_steps).text for t in texts]
-                yield pd.DataFrame({"pack": frame["pack"], "content": said})
-
-        said = packed.mapInPandas(combine, "pack long, content string")
-        rows = said.limit(10_001).collect()
-        if len(rows) <= 1:
-            return rows[0][1] if rows else ""
-        if len(rows) > 10_000:
-            raise RuntimeError("too many packs; raise the budget")
-        spark = findings.sparkSession
-        level = spark.createDataFrame([((r[0], ""), r[1]) for r in rows], "o struct<ord:long,id:string>, content string")
+                yield pd.DataFrame({"ord": frame["first"], "id": "", "content": said})
+
+        said = materialise(packed.select("first", "lines").mapInPandas(combine, "ord long, id string, content string"), "findings")
+        n = said.count()
+        if n <= 1:
+            got = said.first()
+            return got.content if got else ""
+        if before is not None and n >= before:
+            raise RuntimeError("the findings don't shrink; raise the budget")
+        level, before = said, n

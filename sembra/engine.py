@@ -9,7 +9,6 @@ of truth for calls, tokens and cost, it outlives executors, and a later plan ove
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .backend import Backend, Embedder, HashEmbedder, Limits, Reranker, Usage, cost_of
+from .storage import materialise, shared_path
 
 LOG = "key string, model string, text string, positive_prob double, tokens_in long, tokens_out long"
 
@@ -45,18 +45,10 @@ class Engine:
         return replace(self, **changes)
 
     def shared_path(self, name: str) -> str:
-        conf = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not conf:
-            own = self.spark.sparkContext._jsc.sc().getCheckpointDir()
-            conf = own.get() if own.isDefined() else "file://" + tempfile.mkdtemp(prefix="sembra-")
-            if not own.isDefined():
-                self.spark.sparkContext.setCheckpointDir(conf)
-        return f"{conf}/{name}-{uuid.uuid4().hex}"
+        return shared_path(self.spark, name)
 
     def materialise(self, df: DataFrame, name: str = "step") -> DataFrame:
-        path = self.shared_path(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return materialise(df, name)
 
     def ask(self, df: DataFrame, prompt: Column, backend: Backend | None = None, salt: str = "") -> DataFrame:
         """df with column _said: struct<text, positive_prob>; one call for equal prompts, none for logged ones.

@@ -1,8 +1,8 @@
 """Hierarchical reduction of many rows to one answer, and partition ids that steer it.
 
 Each level packs documents in order under a token budget and asks once per pack.  Packing is a scan in
-order, but its state is only (group, partition, tokens so far): lengths come to one task per group,
-texts stay in columns and are put together by SQL.  Groups are independent.
+order, but its state is only (partition, tokens so far): token counts of a block of documents come to
+one task, texts stay in columns and are put together by SQL.  Groups are independent.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from ..functions.context import chunk, n_tokens, truncate
 from ..functions.langex import columns_of, rendered
 from ..functions.prompts import SYSTEMS, chat
 from ..functions.serialize import row_text
+from ..storage import with_position
 
 PARTITION = "_partition_id"
+BLOCK = 1_000_000
 
 
 def sem_partition_by(df: DataFrame, fn: Callable[[DataFrame], Column] | Column) -> DataFrame:
@@ -29,23 +31,24 @@ def sem_partition_by(df: DataFrame, fn: Callable[[DataFrame], Column] | Column)
 
 
 def _packs(docs: DataFrame, budget: int) -> DataFrame:
-    """(_g, _pos, _pack): greedy packs in order; a partition's end closes a pack unless ids are all different."""
+    """(_rid, _pack): greedy packs in order; a partition's end closes a pack unless a group's ids are all different.
+
+    Only ids and token counts are scanned, in blocks of BLOCK documents; a block's end closes a pack.
+    """
+    fold = docs.groupBy("_g").agg((F.count("*") == F.count_distinct("_part")).alias("_fold"))
+    narrow = docs.select("_g", "_rid", "_pos", "_part", n_tokens(F.col("_doc")).alias("_n")).join(fold, "_g")
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_pos")
-        fold = frame["_part"].is_unique
-        pack, used, now, out = 0, 0, None, []
-        for part, n in zip(frame["_part"], frame["_n"]):
-            if out and (used + n > budget or (part != now and not fold)):
-                pack, used = pack + 1, 0
-                now = part
-            elif not out:
-                now = part
+        used, now, out, pack = 0, None, [], None
+        for pos, part, n, fold_ in zip(frame["_pos"], frame["_part"], frame["_n"], frame["_fold"]):
+            if pack is None or used + n > budget or (part != now and not fold_):
+                pack, used, now = pos, 0, part
             used += n
             out.append(pack)
-        return pd.DataFrame({"_g": frame["_g"], "_pos": frame["_pos"], "_pack": out})
+        return pd.DataFrame({"_rid": frame["_rid"], "_pack": out})
 
-    return docs.select("_g", "_pos", "_part", n_tokens(F.col("_doc")).alias("_n")).groupBy("_g").applyInPandas(scan, "_g string, _pos long, _pack long")
+    return narrow.withColumn("_block", F.floor(F.col("_pos") / BLOCK)).groupBy("_g", "_block").applyInPandas(scan, "_rid long, _pack long")
 
 
 def sem_agg(engine: Engine, df: DataFrame, instruction: str, all_cols: bool = False, suffix: str = "_output", group_by: list[str] | None = None, order_by: list[str] | None = None, budget: int | None = None, long_context: str = "chunk", response_schema: str | None = None, split_fields: bool = True, max_levels: int = 30) -> DataFrame:
@@ -73,9 +76,9 @@ def sem_agg(engine: Engine, df: DataFrame, instruction: str, all_cols: bool = Fa
         docs = docs.withColumn("chunk", F.lit(0))
     else:
         docs = chunk(docs, ["_doc"], budget - label_tokens)
-    docs = engine.materialise(docs, "agg")
-    pos = F.row_number().over(Window.partitionBy("_g").orderBy("_part", "_order", "chunk")).cast("long")
-    docs = docs.select("_g", "_part", "_doc", pos.alias("_pos"))
+    docs = engine.materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "agg")
+    place = with_position(docs.select("_g", "_part", "_order", "chunk", "_rid"), ["_g", "_part", "_order", "chunk"])
+    docs = docs.select("_g", "_part", "_doc", "_rid").join(place.select("_rid", "_pos"), "_rid")
     keys = engine.materialise(df.select(key.alias("_g"), *groups).distinct(), "agg-keys") if groups else None
     task = f"Instruction: {rendered(instruction) if not all_cols else instruction}"
     head = [{"role": "system", "content": SYSTEMS["agg"]}]
@@ -84,12 +87,12 @@ def sem_agg(engine: Engine, df: DataFrame, instruction: str, all_cols: bool = Fa
     while True:
         docs = engine.materialise(docs, "agg-level")
         word = "Document" if level == 0 else "Source"
-        packed = docs.join(_packs(docs, budget), ["_g", "_pos"])
+        packed = docs.join(_packs(docs, budget), "_rid")
         place = F.row_number().over(Window.partitionBy("_g", "_pack").orderBy("_pos"))
         packed = packed.withColumn("_line", F.concat(F.lit(f"{word} "), place.cast("string"), F.lit(": "), "_doc"))
         lines = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"])
         prompts = packed.groupBy("_g", "_pack").agg(F.array_join(lines, "\n").alias("_text"), F.min(F.struct("_pos", "_part"))["_part"].alias("_part"))
-        said = engine.ask(prompts, chat(head, F.col("_text"), task)).select("_g", F.col("_pack").alias("_pos"), "_part", F.coalesce("_said.text", F.lit("")).alias("_doc"))
+        said = engine.ask(prompts, chat(head, F.col("_text"), task)).select("_g", F.col("_pack").alias("_pos"), F.col("_pack").alias("_rid"), "_part", F.coalesce("_said.text", F.lit("")).alias("_doc"))
         said = engine.materialise(said, "agg-said")
         n = said.groupBy("_g").agg(F.count("*").alias("_n"))
         single = said.join(n.where("_n = 1"), "_g", "left_semi").select("_g", "_doc")
