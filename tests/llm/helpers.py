@@ -10,7 +10,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def edge_docs() -> list[tuple]:
     """Nulls, empty and blank texts, ties, repeated rows, a very long text."""
     long = " ".join(f"w{i % 977}" for i in range(60_000))
-    return [(1, ""), (2, None), (3, " \t\n "), (4, "one"), (5, "one two"), (6, "Same Text here and there"), (7, "same text here and there"), (7, "same text here and there"), (None, "same text here and there"), (9, long), (10, long + " tail"), (11, "é ñ  x\x1cy \x85 z")]
+    return [(1, ""), (2, None), (3, " \t\n "), (4, "one"), (5, "one two"), (6, "Same Text here and there"), (7, "same text here and there"), (7, "same text here and there"), (None, "same text here and there"), (9, long), (10, long + " tail"), (11, "é ñ  x\x1cy \x85 z"), (12, " ".join(f"word{i}" for i in range(90)))]
 
 
 def sha(x: str) -> str:
