@@ -90,14 +90,10 @@ def _scored(engine: Engine, l: DataFrame, r: DataFrame, left_text: str) -> DataF
 def _cascade(engine: Engine, l: DataFrame, r: DataFrame, instruction: str, lnames: list, prompt, verdict, args: CascadeArgs):
     plans = {}
     if args.plan in (None, "map_search_filter"):
-        shown = [f"_l{i}" for i in range(len(lnames))]
-        ask = "Write what would match " + ", ".join(f"{{{c}}}" for c in shown) + " under: " + rendered(instruction)
-        try:
-            mapped = sem_map(engine, l, ask, suffix="_mapped")
-            plans["map_search_filter"] = _scored(engine, mapped, r, "_mapped")
-        except KeyError:  # a rule backend without a rule for the map step
-            if args.plan:
-                raise
+        names = {f"_l{i}": c for i, (_, c) in enumerate(lnames)}
+        ask = "Write what would match " + ", ".join(f"{{{c}}}" for c in names.values()) + " under: " + rendered(instruction)
+        mapped = sem_map(engine, l.withColumnsRenamed(names), ask, suffix="_mapped")
+        plans["map_search_filter"] = _scored(engine, mapped, r, "_mapped")
     if args.plan in (None, "search_filter"):
         plans["search_filter"] = _scored(engine, l, r, "_ltext")
     best = None

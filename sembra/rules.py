@@ -42,6 +42,10 @@ def ring_or_size(f: dict, message: str) -> str:
     return "True" if re.search(r"\bring\b", f["P_name"]) else "False"
 
 
+def own_type(f: dict, message: str) -> str:
+    return f["P_type"]
+
+
 def _two(message: str, label: str) -> tuple[float, float]:
     a, _, b = message.partition("\nDocument 2:\n")
     value = lambda t: float(re.search(rf"\[{label}\]: «(.*?)»", t)[1])
@@ -69,6 +73,7 @@ def list_values(f: dict, message: str) -> str:
 
 
 RULES = {
+    "Write what would match": own_type,
     "names a ring": names_a_ring, "first letter": first_letter, "Fields: {\"k\"": key_of_props, "long or short": long_or_short, "Which is better": longer, "has a letter": letter_in_region,
     "balance is larger": larger_balance, "nation key is larger": larger_key, "region key is larger": larger_region, "List the values": list_values, "big or a ring": ring_or_size,
 }
