@@ -4,6 +4,10 @@ A text is cut into lines; each is lower-cased, punctuation and white space becom
 equivalent spellings become one, and copyright lines go.  The canonical text is the canonical lines
 joined by a blank.  Its SHA-256 is hash-joined with the digests of known licences, made by the same
 expressions.  Licence notices (known texts of one line) are looked up in the same way for each line.
+
+Where a text is wrapped, a line of a licence may begin with the word copyright, and a spelling of
+two words may be cut.  So a second digest is looked up, of the lines without those that STATEMENT
+matches, with the spellings of two words replaced in the joined text.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ SPELLINGS = [
     ("utilis", "utiliz"), ("recognis", "recogniz"), ("initialis", "initializ"), ("merchantibility", "merchantability"), ("fulfilment", "fulfillment"), ("wilful", "willful"), ("whilst", "while"),
 ]
 COPYRIGHT = r"^\s*(copyright|\(c\)|©)([^\p{L}]|$)"
+_YEAR = r"[\[<{(]?\s*([0-9]{4}|(?i:yyyy|year))"
+#: A copyright statement: a mark followed by a sign or a year, or by a name in capitals; or reserved rights on a line.
+STATEMENT = rf"^\s*((?i:copyright)[\s:,]*(\((?i:c)\)|©|{_YEAR})|Copyright\s+\p{{Lu}}|\((?i:c)\)[\s:,]*((?i:copyright)[\s:,]*)?{_YEAR}|©|(?i:all rights reserved)[^\p{{L}}\p{{N}}]*$)"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -52,47 +59,64 @@ KNOWN = [
 BROADCAST_BYTES = 4 << 20
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text, without empty ones and copyright lines."""
-    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda x: ~F.rlike(x, F.lit(COPYRIGHT)))
+def _canonical(x: Column) -> Column:
+    x = F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
+    for old, new in SPELLINGS:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return x
+
+
+def _marked_lines(text: Column) -> Column:
+    """Per line its canonical form, and whether it goes by COPYRIGHT and by STATEMENT."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(_canonical(x).alias("line"), F.rlike(F.lower(x), F.lit(COPYRIGHT)).alias("c"), F.rlike(x, F.lit(STATEMENT)).alias("s")))
 
-    def canonical(x: Column) -> Column:
-        x = F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
-        for old, new in SPELLINGS:
-            x = F.replace(x, F.lit(old), F.lit(new))
-        return x
 
-    return F.filter(F.transform(lines, canonical), lambda x: x != "")
+def _without(marked: Column, mark: str) -> Column:
+    return F.transform(F.filter(marked, lambda x: ~x[mark] & (x["line"] != "")), lambda x: x["line"])
+
+
+def _unwrapped(lines: Column) -> Column:
+    """The canonical text, whatever the lines."""
+    x = F.array_join(lines, " ")
+    for old, new in SPELLINGS:
+        if " " in old:
+            x = F.replace(x, F.lit(old), F.lit(new))
+    return x
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license): of equal digests the first name by order stays, so a lookup gives one row."""
+    """(digest, license) by both digests: of equal digests the first name by order stays, so a lookup gives one row."""
     if not known:
         return spark.sql("SELECT '' AS digest, '' AS license").where("false")
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(n)}, {quote(t)})" for n, t in known) + " AS t(license, text)")
-    digest = F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest")
-    return rows.select("license", digest).groupBy("digest").agg(F.min("license").alias("license"))
+    marked = rows.select("license", _marked_lines(F.col("text")).alias("m"))
+    both = F.array(F.array_join(_without(F.col("m"), "c"), " "), _unwrapped(_without(F.col("m"), "s")))
+    return marked.select("license", F.explode(both).alias("text")).where("text <> ''").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, canonical_sha256, license, notices, n_notices.
 
-    license: the known licence whose canonical text equals the document's, else null.  notices: the
-    licences whose known text is one line of the document, each once, in order, comma-joined (empty:
-    none); n_notices counts such lines.  A null or empty text has the digest of the empty text and
-    no licence; an empty known text matches nothing.  Repeated rows and null ids stay.
+    license: the known licence whose canonical text equals the document's by either digest, else
+    null.  notices: the licences whose known text is one line of the document, each once, in order,
+    comma-joined (empty: none); n_notices counts such lines.  A null or empty text has the digest of
+    the empty text and no licence; an empty known text matches nothing.  Repeated rows and null ids
+    stay.
     """
     spark = docs.sparkSession
     digests = known_digests(spark, [(n, t) for n, t in known if t.strip()])
     if sum(len(n) + len(t) for n, t in known) <= BROADCAST_BYTES:
         digests = F.broadcast(digests)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
-    rows = rows.select("rid", "doc_id", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"), F.explode_outer("lines").alias("line"))
-    hits = rows.select("rid", "doc_id", "canonical_sha256", F.sha2("line", 256).alias("digest")).join(digests, "digest", "left")
-    found = hits.groupBy("rid", "doc_id", "canonical_sha256").agg(F.count("license").alias("n_notices"), F.collect_set("license").alias("notices"))
-    whole = digests.select(F.col("digest").alias("canonical_sha256"), "license")
-    return found.join(whole, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license", F.array_join(F.sort_array("notices"), ",").alias("notices"), "n_notices")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), _marked_lines(F.col(text_col)).alias("m"))
+    rows = rows.select("rid", "doc_id", _without(F.col("m"), "c").alias("lines"), F.sha2(_unwrapped(_without(F.col("m"), "s")), 256).alias("unwrapped"))
+    rows = rows.select("rid", "doc_id", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"), "unwrapped", F.explode_outer("lines").alias("line"))
+    hits = rows.select("rid", "doc_id", "canonical_sha256", "unwrapped", F.sha2("line", 256).alias("digest")).join(digests, "digest", "left")
+    found = hits.groupBy("rid", "doc_id", "canonical_sha256", "unwrapped").agg(F.count("license").alias("n_notices"), F.collect_set("license").alias("notices"))
+    whole = digests.select(F.col("digest").alias("canonical_sha256"), F.col("license").alias("first"))
+    again = digests.select(F.col("digest").alias("unwrapped"), F.col("license").alias("second"))
+    found = found.join(whole, "canonical_sha256", "left").join(again, "unwrapped", "left")
+    return found.select("doc_id", "canonical_sha256", F.coalesce("first", "second").alias("license"), F.array_join(F.sort_array("notices"), ",").alias("notices"), "n_notices")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

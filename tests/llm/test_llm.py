@@ -3,6 +3,7 @@ import itertools
 import os
 import random
 import sys
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -367,6 +368,25 @@ def test_licenses(spark, edge):
     assert licenses.licenses(edge, []).where("license IS NOT NULL").count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Files as they are usually wrapped: lines that begin with the word copyright stay, statements and reserved rights go."""
+    isc = """Copyright (c) 2004, Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + textwrap.fill(licenses._ISC_END, 72)
+    parts = [textwrap.fill(p, 70) for p in (licenses._BSD_HEAD + licenses._BSD_3 + licenses._BSD_END).split("\n")]
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2017, Someone\nAll rights reserved.\n\n" + "\n\n".join(parts)
+    holder = licenses._BSD_END.replace("COPYRIGHT HOLDER OR", "COPYRIGHT\nOWNER OR")
+    owner = "Copyright 2019 Someone\n\n" + licenses._BSD_HEAD + holder
+    mit = licenses.KNOWN[0][1]
+    rows = [(1, isc), (2, bsd), (3, owner), (4, "Copyright The Authors\n" + isc.split("\n", 1)[1]), (5, "© Someone\n" + mit), (6, "(c) Someone\n" + mit), (7, "(C) 2001 Someone\nall rights reserved\n" + mit), (8, isc.replace("copyright notice and", "and"))]
+    got = {r.doc_id: r.license for r in licenses.licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: "ISC", 2: "BSD-3-Clause", 3: "BSD-2-Clause", 4: "ISC", 5: "MIT", 6: "MIT", 7: "MIT", 8: None}
+
+
 # 9 quality
 
 
