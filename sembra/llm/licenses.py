@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_digests import DIGESTS
 
 #: Replaced in this order, in the known texts as well, so it matters only that both sides agree.
 SPELLINGS = [
@@ -26,7 +27,7 @@ SPELLINGS = [
 COPYRIGHT = r"^\s*(copyright|\(c\)|©)([^\p{L}]|$)"
 _YEAR = r"[\[<{(]?\s*([0-9]{4}|(?i:yyyy|year))"
 #: A copyright statement: a mark followed by a sign or a year, or by a name in capitals; or reserved rights on a line.
-STATEMENT = rf"^\s*((?i:copyright)[\s:,]*(\((?i:c)\)|©|{_YEAR})|Copyright\s+\p{{Lu}}|\((?i:c)\)[\s:,]*((?i:copyright)[\s:,]*)?{_YEAR}|©|(?i:all rights reserved)[^\p{{L}}\p{{N}}]*$)"
+STATEMENT = rf"^\s*((?i:copyright)[\s:,]*(\((?i:c)\)|©|{_YEAR})|Copyright\s+(?!Holder|Owner|Notice|Law|Licen|Act|Statement|Interest)\p{{Lu}}|\((?i:c)\)[\s:,]*((?i:copyright)[\s:,]*)?{_YEAR}|©|(?i:all rights reserved)[^\p{{L}}\p{{N}}]*$)"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -55,6 +56,30 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
+#: The SQL twin holds these alone.
+SQL_KNOWN = list(KNOWN)
+_AGREE = "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n"
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+{}://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."
+_GNU = """This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details.
+You should have received a copy of the GNU {kind}General Public License along with this {what}{end}"""
+_ADDRESS = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_OLD_ADDRESS = "; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"
+_BULLETS = lambda t: t.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+#: Standard headers of files, and usual variants of the short licences.
+KNOWN += [("ISC", title + _AGREE + _ISC_END) for title in ("", "ISC License\n")]
+KNOWN += [("BSD-2-Clause", title + _BULLETS(_BSD_HEAD) + _BSD_END) for title in ("", "BSD 2-Clause License\n")]
+KNOWN += [("BSD-3-Clause", title + _BULLETS(_BSD_HEAD + _BSD_3) + _BSD_END) for title in ("", "BSD 3-Clause License\n")]
+KNOWN += [("Apache-2.0", _APACHE.format(s)) for s in ("http", "https")] + [("MPL-2.0", _MPL.format(s)) for s in ("http", "https")]
+KNOWN += [
+    (name, _GNU.format(what=what, kind=kind, v=v, end=end))
+    for name, kind, v in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"))
+    for what in ("program", "library")
+    for end in (_ADDRESS, _OLD_ADDRESS, ". If not, see <http://www.gnu.org/licenses/>.", ". If not, see <https://www.gnu.org/licenses/>.", ".")
+]
 #: Known texts up to this size are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 4 << 20
 
@@ -84,20 +109,22 @@ def _unwrapped(lines: Column) -> Column:
     return x
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]], digests: list[tuple[str, str]] = ()) -> DataFrame:
     """(digest, license) by both digests: of equal digests the first name by order stays, so a lookup gives one row."""
+    given = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{d}', '{n}')" for n, d in digests or [("", "")]) + " AS t(digest, license)").where("digest <> ''")
     if not known:
-        return spark.sql("SELECT '' AS digest, '' AS license").where("false")
+        return given.groupBy("digest").agg(F.min("license").alias("license"))
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(n)}, {quote(t)})" for n, t in known) + " AS t(license, text)")
     marked = rows.select("license", _marked_lines(F.col("text")).alias("m"))
     both = F.array(F.array_join(_without(F.col("m"), "c"), " "), _unwrapped(_without(F.col("m"), "s")))
-    return marked.select("license", F.explode(both).alias("text")).where("text <> ''").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("license").alias("license"))
+    return marked.select("license", F.explode(both).alias("text")).where("text <> ''").select(F.sha2("text", 256).alias("digest"), "license").union(given).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, canonical_sha256, license, notices, n_notices.
 
+    The table of licences is ``known`` and, where that is the default, DIGESTS of long texts too.
     license: the known licence whose canonical text equals the document's by either digest, else
     null.  notices: the licences whose known text is one line of the document, each once, in order,
     comma-joined (empty: none); n_notices counts such lines.  A null or empty text has the digest of
@@ -105,7 +132,7 @@ def licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str
     stay.
     """
     spark = docs.sparkSession
-    digests = known_digests(spark, [(n, t) for n, t in known if t.strip()])
+    digests = known_digests(spark, [(n, t) for n, t in known if t.strip()], DIGESTS if known is KNOWN else ())
     if sum(len(n) + len(t) for n, t in known) <= BROADCAST_BYTES:
         digests = F.broadcast(digests)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), _marked_lines(F.col(text_col)).alias("m"))
@@ -129,7 +156,7 @@ def _oracle() -> str:
         one = f"replace({one}, '{old}', '{new}')"
     lines = lambda t: f"list_filter(list_transform(list_filter(string_split(lower(coalesce({t}, '')), chr(10)), lambda y: NOT regexp_matches(y, '{COPYRIGHT}')), lambda x: {one}), lambda z: z <> '')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in SQL_KNOWN)
     return f"""
 WITH known AS (SELECT sha256(array_to_string({lines('text')}, ' ')) AS digest, min(license) AS license FROM (VALUES {values}) t(license, text) GROUP BY 1),
 d AS (SELECT doc_id, {lines('text')} AS lines FROM documents),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as H  # noqa: E402
 
-from sembra.llm import bpe, components, decontaminate, language, licenses, packing, quality, recompress, registry, secrets, simhash, substrings, tokens, trigrams, warc  # noqa: E402
+from sembra.llm import bpe, components, decontaminate, language, license_digests, licenses, packing, quality, recompress, registry, secrets, simhash, substrings, tokens, trigrams, warc  # noqa: E402
 from sembra.llm.common import shared_path  # noqa: E402
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -387,6 +387,32 @@ copyright notice and this permission notice appear in all copies.
     assert got == {1: "ISC", 2: "BSD-3-Clause", 3: "BSD-2-Clause", 4: "ISC", 5: "MIT", 6: "MIT", 7: "MIT", 8: None}
 
 
+def test_licenses_long_texts(spark):
+    """The files that the digests were made from, and the standard headers, wrapped and with a copyright line."""
+    folder = "/usr/share/common-licenses"
+    rows, want = [], {}
+
+    def add(name, text):
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+
+    for name, (file, start) in license_digests.FILES.items():
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}") as f:
+                text = f.read()
+            add(name, text)
+            add(name, "\n".join(p if "copyright (c)" in p.lower() else textwrap.fill(p, 100) for p in text.split("\n\n")))
+            if start:
+                add(name, text[: text.rindex(start)])
+            add(None, text[: len(text) // 2])
+    for name in ("Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"):
+        head = next(t for n, t in licenses.KNOWN if n == name and len(t) > 150)
+        add(name, "Copyright (C) 2011 Someone\n\n" + "\n\n".join(textwrap.fill(p, 72) for p in head.split("\n")))
+    got = {r.doc_id: r.license for r in licenses.licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+    assert licenses.licenses(spark.createDataFrame(rows, DOCS), licenses.KNOWN[:1]).where("license IS NOT NULL").count() == 0
+
+
 # 9 quality
 
 
