@@ -7,6 +7,9 @@ m - q + 1 - k q of its q-grams occur in it on k + 1 neighbouring diagonals.  Sha
 counted in bands of 2 (k + 1) diagonals that overlap by half, so every such occurrence lies in one
 band whole; bands that meet the bound are retained and verified by a banded alignment.
 
+Items are searched by the longest q-grams, of Q characters or a power of two below, for which the
+bound is positive.  Items so short that no edit is allowed are found on word borders only.
+
 The items' q-grams form a sorted table that goes to the workers.  Its size is checked: items beyond
 BLOCK_CHARS are taken in blocks, one pass over the documents each.  Documents are never shuffled.
 """
@@ -26,7 +29,7 @@ from .tokens import slices
 Q = 8
 SEGMENT = 160
 EDIT_SHARE = 0.08
-SHORTEST = 40
+SHORTEST = 1
 BLOCK_CHARS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE_CHARS = 1_000_000
@@ -74,11 +77,29 @@ def qgrams(code: np.ndarray, q: int = Q) -> np.ndarray:
     return h
 
 
+def _joined_script() -> np.ndarray:
+    """Code points of scripts that set no blank between words, or (Hangul) join particles to them."""
+    out = np.zeros(0x110000, dtype=bool)
+    for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x11FF), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFF66, 0xFFDC), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)):
+        out[a : b + 1] = True
+    return out
+
+
+_JOINED = _joined_script()
+
+
+def on_borders(code: np.ndarray, a: int, b: int) -> bool:
+    """Neither end of code[a:b] is inside a word."""
+    inside = lambda x: 0 < x < len(code) and all(c > 32 and not _JOINED[c] for c in (code[x - 1], code[x]))
+    return not inside(a) and not inside(b)
+
+
 class Index:
-    """The q-grams of the items' segments."""
+    """The q-grams of the items' segments; ``shorter`` has the items that need shorter q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, edit_share: float = EDIT_SHARE, shortest: int = SHORTEST):
         self.q = q
+        short: list[tuple[int, str]] = []
         self.segments: list[tuple[int, np.ndarray, int, int]] = []  # item, code, edits, bound
         names, seg, pos = [], [], []
         for item, text in items:
@@ -87,7 +108,10 @@ class Index:
                 code = code[:-1]
             while len(code) and code[0] == 32:
                 code = code[1:]
-            if len(code) < shortest:
+            if len(code) < max(1, shortest):
+                continue
+            if len(code) - q + 1 - int(edit_share * len(code)) * q < 1 and q > 1:
+                short.append((item, text))
                 continue
             n = 1 if len(code) <= segment else 2 * -(-len(code) // segment) - 1
             width = len(code) if n == 1 else -(-2 * len(code) // (n + 1))
@@ -102,6 +126,7 @@ class Index:
                 seg.append(np.full(len(g), len(self.segments)))
                 pos.append(np.arange(len(g)))
                 self.segments.append((item, part, k, bound))
+        self.shorter = Index(short, q // 2, segment, edit_share, shortest) if short else None
         self.names = np.concatenate(names) if names else np.zeros(0, np.uint64)
         order = np.argsort(self.names, kind="stable")
         self.names = self.names[order]
@@ -195,10 +220,11 @@ def _verified(index: Index, code: np.ndarray, origin: np.ndarray, found: list[tu
             continue
         hit = None
         for d in range(max(low, 0), min(high, len(code) - len(pattern)) + 1):  # exact copies need no alignment
-            if code[d] == pattern[0] and np.array_equal(code[d : d + len(pattern)], pattern):
+            if code[d] == pattern[0] and np.array_equal(code[d : d + len(pattern)], pattern) and (k or on_borders(code, d, d + len(pattern))):
                 hit = (0, d, d + len(pattern))
                 break
-        hit = hit or banded(pattern, code, low, high, k)
+        if k and not hit:
+            hit = banded(pattern, code, low, high, k)
         if hit and (seg not in best or hit < best[seg]):
             best[seg] = hit
     return sorted({(index.segments[s][0], int(origin[a]), int(origin[b - 1]) + 1, e) for s, (e, a, b) in best.items() if b > a})
@@ -214,8 +240,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     One row per document row with a verified region; clean rows give none.  Regions are code points
     of the text, end exclusive.  items are the distinct item ids, sorted.  Null and empty texts are
-    clean.  Items shorter than ``shortest`` characters, null ones included, aren't searched; equal
-    items are all named.  An empty benchmark finds nothing.  Repeated rows and null doc_ids stay.
+    clean.  Items of fewer than ``shortest`` letters and digits, null ones included, aren't
+    searched: by default those without any; equal items are all named.  An empty benchmark finds nothing.  Repeated rows and null doc_ids stay.
     With keep_rows, instead the rows of docs that are clean, unchanged.
     """
     chars = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
@@ -265,7 +291,17 @@ def _clean(docs: DataFrame, items: list, text_col: str, settings: dict) -> DataF
 
 
 def search(index: Index, texts: list[str | None]) -> Iterator[tuple[int, list]]:
-    """(position, regions) of the texts that have any.
+    """(position, regions) of the texts that have any."""
+    found = dict(_search(index, texts))
+    while index.shorter:
+        index = index.shorter
+        for i, more in _search(index, texts):
+            found[i] = sorted(found.get(i, []) + more)
+    yield from sorted(found.items())
+
+
+def _search(index: Index, texts: list[str | None]) -> Iterator[tuple[int, list]]:
+    """search() of the items of one length of q-grams.
 
     Bands are counted for a slice of texts at once: diagonals of the joined texts tell them apart,
     and a band that reaches over an end only adds a candidate.

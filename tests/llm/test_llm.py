@@ -123,6 +123,31 @@ def test_decontaminate_blocks(spark, sf, docs, monkeypatch):
     assert exact and exact <= {r.doc_id for r in decontaminate.matches(docs, bench).collect()}
 
 
+def test_decontaminate_short_items():
+    """Items of any length; those without an allowed edit on word borders, save in scripts without blanks."""
+    items = [(1, "Who wrote Emma?"), (2, "cat"), (3, "水の沸点は何度ですか"), (4, "7"), (5, "?!"), (6, "a sentence of just 30 letters"), (7, "north-west bay"), (8, "沸点"), (9, "ninety nine red"), (10, "Yes, no")]
+    index = decontaminate.Index(items)
+
+    def found(text):
+        return {r[0] for r in decontaminate.regions(index, text)}
+
+    assert found("They asked: who wrote EMMA, and why?") == {1}
+    assert found("concatenate, cats, bobcat") == set() and found("concatenate a cat.") == {2} and found("cat") == {2}
+    assert found("では水の沸点は何度ですかと聞く") == {3, 8} and found("17 71 777") == set() and found("x 7") == {4}
+    assert found("it is a sentense of just 30 letters here") == {6}
+    assert found("the north west boy") == {7} and found("ninety nine rad") == {9} and found("ninety nine rad ninety") == {9}
+    assert found("oh yes no") == {10} and found("yes nothing") == set()
+    assert decontaminate.regions(index, "xx cat")[0] == (2, 3, 6, 0)
+    rng = random.Random(8)
+    for m in range(1, 60):
+        text = "".join(rng.choice("bcdfghjklm") for _ in range(m))
+        one = decontaminate.Index([(m, text)])
+        assert [r[0] for r in decontaminate.regions(one, "aa " + text + " aa")] == [m]
+        if int(decontaminate.EDIT_SHARE * m):
+            p = rng.randrange(m)
+            assert [r[0] for r in decontaminate.regions(one, "aa " + text[:p] + "z" + text[p + 1 :] + " aa")] == [m]
+
+
 # 2 WARC
 
 
