@@ -7,6 +7,10 @@ m - q + 1 - k q of its q-grams occur in it on k + 1 neighbouring diagonals.  Sha
 counted in bands of 2 (k + 1) diagonals that overlap by half, so every such occurrence lies in one
 band whole; bands that meet the bound are retained and verified by a banded alignment.
 
+Items longer than WINDOW are also searched by windows of WINDOW characters, one each STRIDE and one
+at the end, so that parts of an item are found: of a verbatim run of WINDOW + STRIDE - 1 normalised
+characters or more none is missed.  Their regions count where no whole segment of the item is found.
+
 Items are searched by the longest q-grams, of Q characters or a power of two below, for which the
 bound is positive.  Items so short that no edit is allowed are found on word borders only.
 
@@ -28,9 +32,10 @@ from .tokens import slices
 
 Q = 8
 SEGMENT = 160
+WINDOW, STRIDE = 64, 16
 EDIT_SHARE = 0.08
 SHORTEST = 1
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE_CHARS = 1_000_000
 #: Pairs of a text's and the items' equal q-grams that are counted at a time.
@@ -97,10 +102,12 @@ def on_borders(code: np.ndarray, a: int, b: int) -> bool:
 class Index:
     """The q-grams of the items' segments; ``shorter`` has the items that need shorter q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, edit_share: float = EDIT_SHARE, shortest: int = SHORTEST):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, edit_share: float = EDIT_SHARE, shortest: int = SHORTEST, window: int = WINDOW, stride: int = STRIDE):
         self.q = q
         short: list[tuple[int, str]] = []
         self.segments: list[tuple[int, np.ndarray, int, int]] = []  # item, code, edits, bound
+        self.windows: list[bool] = []
+        self._masks: dict[int, dict[int, int]] = {}
         names, seg, pos = [], [], []
         for item, text in items:
             code = normalise(text or "")[0]
@@ -115,8 +122,11 @@ class Index:
                 continue
             n = 1 if len(code) <= segment else 2 * -(-len(code) // segment) - 1
             width = len(code) if n == 1 else -(-2 * len(code) // (n + 1))
-            for i in range(n):
-                part = code[min(i * width // 2, len(code) - width) :][:width]
+            starts = [(min(i * width // 2, len(code) - width), width) for i in range(n)]
+            if len(code) > window:
+                starts += [(i, window) for i in range(0, len(code) - window, stride)] + [(len(code) - window, window)]
+            for i, (at, size) in enumerate(starts):
+                part = code[at : at + size]
                 k = int(edit_share * len(part))
                 bound = len(part) - q + 1 - k * q
                 if bound < 1:
@@ -126,7 +136,8 @@ class Index:
                 seg.append(np.full(len(g), len(self.segments)))
                 pos.append(np.arange(len(g)))
                 self.segments.append((item, part, k, bound))
-        self.shorter = Index(short, q // 2, segment, edit_share, shortest) if short else None
+                self.windows.append(i >= n)
+        self.shorter = Index(short, q // 2, segment, edit_share, shortest, window, stride) if short else None
         self.names = np.concatenate(names) if names else np.zeros(0, np.uint64)
         order = np.argsort(self.names, kind="stable")
         self.names = self.names[order]
@@ -140,6 +151,15 @@ class Index:
         self.least = int(self.bounds.min()) if self.segments else 0
         self.span = max((len(p) + 3 * (k + 1) for _, p, k, _ in self.segments), default=0)
 
+    def masks(self, seg: int) -> dict[int, int]:
+        """The positions of each character in a segment, as bits."""
+        if seg not in self._masks:
+            out: dict[int, int] = {}
+            for i, c in enumerate(self.segments[seg][1].tolist()):
+                out[c] = out.get(c, 0) | 1 << i
+            self._masks[seg] = out
+        return self._masks[seg]
+
     def bands(self, grams: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(segment, first and last diagonal) of the bands that meet the bound, for the q-grams of a text in order."""
         hit = np.flatnonzero(self.maybe[(grams >> np.uint64(44)).astype(np.int64)])
@@ -211,8 +231,58 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -
     return (int(cost[x]), int(origin[x]), int(end[x])) if cost[x] <= k else None
 
 
+def _near(masks: dict[int, int], m: int, text: list[int], k: int) -> bool:
+    """A pattern of m characters occurs anywhere in text with k edits or fewer (Myers' bit vectors)."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    for c in text:
+        eq = masks.get(c, 0)
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (full & ~(xh | pv))
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score <= k:
+                return True
+        xv = eq | mv
+        ph, mh = (ph << 1) & full, (mh << 1) & full
+        pv = mh | (full & ~(xv | ph))
+        mv = ph & xv
+    return False
+
+
 def _verified(index: Index, code: np.ndarray, origin: np.ndarray, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) of the bands (segment, low, high) of one text that hold an occurrence; the best of each segment."""
+    """(item, start, end, edits) of the bands (segment, low, high) of one text that hold an occurrence.
+
+    The best of each segment; then, of windows that overlap none of these, the best, overlapping ones of an item joined.
+    """
+    whole = _best(index, code, [x for x in found if not index.windows[x[0]]])
+    out = [(index.segments[s][0], a, b, e) for s, (e, a, b) in whole.items()]
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for item, a, b, _ in out:
+        taken.setdefault(item, []).append((a, b))
+
+    def free(s: int, low: int, high: int) -> bool:
+        """An occurrence between the diagonals need not overlap a region of its item."""
+        item, pattern, k, _ = index.segments[s]
+        return not any(high < b and low + len(pattern) - k > a for a, b in taken.get(item, []))
+
+    part = _best(index, code, [x for x in found if index.windows[x[0]] and free(*x)])
+    last: list | None = None
+    for item, a, b, e in sorted((index.segments[s][0], a, b, e) for s, (e, a, b) in part.items()):
+        if any(a < y and b > x for x, y in taken.get(item, [])):
+            continue
+        if last and last[0] == item and a <= last[2]:
+            last[2:] = max(b, last[2]), min(e, last[3])
+        else:
+            out.append(last := [item, a, b, e])
+    return sorted({(i, int(origin[a]), int(origin[b - 1]) + 1, e) for i, a, b, e in out if b > a})
+
+
+def _best(index: Index, code: np.ndarray, found: list[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
+    """(edits, start, end) by segment."""
     best: dict[int, tuple[int, int, int]] = {}
     for seg, low, high in found:
         _, pattern, k, _ = index.segments[seg]
@@ -223,15 +293,15 @@ def _verified(index: Index, code: np.ndarray, origin: np.ndarray, found: list[tu
             if code[d] == pattern[0] and np.array_equal(code[d : d + len(pattern)], pattern) and (k or on_borders(code, d, d + len(pattern))):
                 hit = (0, d, d + len(pattern))
                 break
-        if k and not hit:
+        if k and not hit and _near(index.masks(seg), len(pattern), code[max(0, low - k) : max(0, high + len(pattern) + 2 * k + 1)].tolist(), k):
             hit = banded(pattern, code, low, high, k)
         if hit and (seg not in best or hit < best[seg]):
             best[seg] = hit
-    return sorted({(index.segments[s][0], int(origin[a]), int(origin[b - 1]) + 1, e) for s, (e, a, b) in best.items() if b > a})
+    return best
 
 
 def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) of verified regions, in code points of the text; one per item and segment."""
+    """(item, start, end, edits) of verified regions, in code points of the text; see _verified."""
     return next((found for _, found in search(index, [text])), [])
 
 

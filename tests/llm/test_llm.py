@@ -148,6 +148,37 @@ def test_decontaminate_short_items():
             assert [r[0] for r in decontaminate.regions(one, "aa " + text[:p] + "z" + text[p + 1 :] + " aa")] == [m]
 
 
+def test_decontaminate_parts():
+    """Any verbatim run of WINDOW + STRIDE - 1 characters of an item is found, wherever it lies; a clean text isn't."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    items = [(i, prose(90)[:m].strip()) for i, m in enumerate((66, 79, 80, 100, 140, 160, 161, 300, 320))]
+    index, run = decontaminate.Index(items), decontaminate.WINDOW + decontaminate.STRIDE - 1
+    around = prose(40)
+    assert decontaminate.regions(index, around) == []
+    for item, text in items:
+        for a in range(max(1, len(text) - run + 1)):
+            part = text[a : a + run]
+            got = decontaminate.regions(index, f"{around} {part} {around}")
+            assert [r[0] for r in got] == [item] and len(around) - 8 <= got[0][1] and got[0][2] <= len(around) + len(part) + 10
+    for m, text in ((4, items[4][1][:-20]), (8, items[8][1][:186])):  # the reviewer's cases
+        assert m in {r[0] for r in decontaminate.regions(index, f"{around} {text} {around}")}
+
+
+def test_near_is_the_edit_distance():
+    rng = random.Random(1)
+    for _ in range(500):
+        p, t = ([rng.randrange(3) for _ in range(n)] for n in (rng.randint(2, 15), rng.randint(0, 25)))
+        row = [0] * (len(t) + 1)
+        for i, a in enumerate(p):
+            new = [i + 1]
+            for j, b in enumerate(t):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+            row = new
+        masks = {c: sum(1 << i for i, y in enumerate(p) if y == c) for c in p}
+        assert all(decontaminate._near(masks, len(p), t, k) == (min(row) <= k) for k in range(len(p)))
+
+
 # 2 WARC
 
 
