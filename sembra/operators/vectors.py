@@ -52,13 +52,15 @@ def load_sem_index(engine: Engine, df: DataFrame, path: str, id_col: str, out: s
 def sem_search(engine: Engine, df: DataFrame, query: str | list[float], K: int | None = None, vec_col: str = "_vec", id_col: str = "id", n_rerank: int | None = None, text_col: str | None = None, return_scores: bool = False, suffix: str = "_sim_score") -> DataFrame:
     """The K rows nearest to the query (ties by id); filter df first, as only its rows are scored.
 
-    n_rerank: of these the n best by the reranker over text_col.
+    n_rerank: of these, or without K of all rows, the n best by the reranker over text_col.
     """
     if K is None and n_rerank is None:
         raise ValueError("K or n_rerank is needed")
     vector = engine.embedder.embed([query])[0].tolist() if isinstance(query, str) else list(query)
     name = "vec_scores" + suffix
-    out = df.withColumn(name, similarity(F.col(vec_col), vector)).orderBy(F.desc(name), id_col).limit(K or n_rerank)
+    out = df.withColumn(name, similarity(F.col(vec_col), vector))
+    if K is not None:
+        out = out.orderBy(F.desc(name), id_col).limit(K)
     if n_rerank is not None:
         if not isinstance(query, str) or text_col is None:
             raise ValueError("reranking needs a text query and text_col")

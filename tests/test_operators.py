@@ -119,6 +119,23 @@ def test_agg(engine, spark):
         sem_agg(stuck, df, "List the values of {n_name}", order_by=["i"], budget=12)
 
 
+def test_rerank_without_k(spark):
+    """The reranker sees every row: here its best are the farthest by vector, beyond one batch."""
+
+    class Longest:
+        def score(self, query, texts):
+            return [float(len(t)) for t in texts]
+
+    class Same:
+        def embed(self, texts):
+            return np.array([[1.0, 0.0] for _ in texts])
+
+    e = Engine(spark, RuleBackend(rules={}), embedder=Same(), reranker=Longest())
+    df = spark.range(25000).selectExpr("id", "repeat('x', cast(id % 12500 AS int) DIV 100) AS t", "array(1d - id / 25000d, 0d) AS _vec")
+    assert [r.id for r in sem_search(e, df, "q", n_rerank=3, text_col="t").collect()] == [12400, 12401, 12402]
+    assert [r.id for r in sem_search(e, df, "q", 200, n_rerank=3, text_col="t").collect()] == [100, 101, 102]
+
+
 def test_vectors(engine, spark, tmp_path):
     df = spark.createDataFrame([(1, "red apple pie"), (2, "apple pie red"), (3, "blue sea"), (4, "blue sea")], "id long, t string")
     path = str(tmp_path / "index")
