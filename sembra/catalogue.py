@@ -164,6 +164,12 @@ def q_cluster(spark, d):
     return sem_cluster_by(_t(spark, d, "embeddings"), 10, "embedding", "vec_id", niter=1).select("vec_id", "cluster_id")
 
 
+@query()
+def q_cluster_rounds(spark, d):
+    """The whole k-means, of the operator's 20 rounds; q_cluster is one round of it, which SQL can follow."""
+    return sem_cluster_by(_t(spark, d, "embeddings"), 10, "embedding", "vec_id").select("vec_id", "cluster_id")
+
+
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
 def q_agg_group(spark, d):
     return sem_agg(_engine(spark), _t(spark, d, "nation"), "List the values of {n_name}", suffix="names", group_by=["n_regionkey"], order_by=["n_nationkey"], budget=12)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sembra import rules
+from sembra import catalogue, rules
 from sembra.agentic.corpus import Corpus, derive_plan, normalize_ops
 from sembra.agentic.loop import LocalSandbox, python_tool, run_agent, tool
 from sembra.backend import Completion, Limits, RuleBackend, UsageLimitError
@@ -136,6 +136,22 @@ def test_rerank_without_k(spark):
     assert [r.id for r in sem_search(e, df, "q", 200, n_rerank=3, text_col="t").collect()] == [100, 101, 102]
 
 
+def test_cluster_rounds(spark, sf):
+    """The registered clustering of 20 rounds against a brute-force k-means."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    v = np.array([[float(x) for x in r.embedding] for r in rows])
+    near = lambda c: np.array([min(range(len(c)), key=lambda i: (((x - c[i]) ** 2).sum(), i)) for x in v])
+    c = v[:10].copy()
+    first = None
+    for _ in range(20):
+        at = near(c)
+        c = np.array([v[at == i].mean(0) if (at == i).any() else c[i] for i in range(10)])
+        first = near(c) if first is None else first
+    want = {r.vec_id: int(i) for r, i in zip(rows, near(c))}
+    assert {r.vec_id: r.cluster_id for r in catalogue.QUERIES["q_cluster_rounds"](spark, sf).collect()} == want
+    assert list(want.values()) != first.tolist()
+
+
 def test_vectors(engine, spark, tmp_path):
     df = spark.createDataFrame([(1, "red apple pie"), (2, "apple pie red"), (3, "blue sea"), (4, "blue sea")], "id long, t string")
     path = str(tmp_path / "index")
