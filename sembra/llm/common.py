@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sembra-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -40,6 +42,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than this share of the rows, so there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def spread_join(rows: DataFrame, about: DataFrame, key: str, n: str) -> DataFrame:
+    """rows left join about (one row per key, which says in column n how many rows have it), hot keys split.
+
+    The rows of about for the hot keys are broadcast (fewer than 1 / HOT_SHARE by their definition);
+    rows with a hot key don't meet by key but go to tasks evenly.  ``about`` is a written table.
+    """
+    total = about.agg(F.sum(n)).first()[0] or 0
+    others = [c for c in about.columns if c not in (key, n)]
+    hot = F.col(n) > HOT_SHARE * total
+    few = F.broadcast(about.where(hot).select(key, F.struct(*others).alias("_hot")))
+    rest = about.where(~hot).select(key, F.lit(0).alias("_salt"), F.struct(*others).alias("_rest"))
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int") + 1)
+    met = rows.join(few, key, "left").withColumn("_salt", salt).join(rest, [key, "_salt"], "left")
+    return met.select(*rows.columns, F.coalesce("_hot", "_rest").alias("_about")).select(*rows.columns, *[F.col("_about")[c].alias(c) for c in others])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of df (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def open_folder(uri: str):
+    """(file system, path) of a folder by its address; pyarrow knows local, HDFS and object stores."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null and for a text of white space only."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
