@@ -2,13 +2,15 @@
 
 Each task writes one bundle: records are grouped into independent Zstandard frames, and a footer
 (a skippable frame, magic 0x184D2A5E, with the sizes and a checksum of every frame) is the seek
-table.  An index row maps a record's identifier to bundle, frame and the offset within the frame, so
-one record is read by one seek and one frame.  The index is a table of its own: it names only the
-bundles of tasks that were committed, so a lost or repeated attempt leaves an orphan at most.
+table.  A second skippable frame before it maps record identifiers to frame, offset within the frame
+and length.  The same map for all bundles is a table: one record is read by one seek and one frame.
+The table names only the bundles of tasks that were committed, so a lost or repeated attempt leaves an
+orphan at most; ``index_of_bundles`` makes it again from the bundles' own maps.
 
 Equal payloads of at least ``min_bytes``: the record with the largest id is the response, the others
 are revisits that refer to it.  Only digests that occur twice are looked up, by a table that Spark
-broadcasts if its size allows; else texts are shuffled by digest, small payloads by id.
+broadcasts if its size allows; else texts are shuffled by digest, small payloads by id, and payloads
+that very many records share don't meet in one task.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path, table
+from .common import materialise, open_folder, shared_path, spread_join, table
 
 SEEK_FRAME, SEEK_FOOTER = 0x184D2A5E, 0x8F92EAB1
+MAP_FRAME = 0x184D2A5D
+ENTRY = struct.Struct("<?qIII")  # has an id, id, frame, offset in the frame, length
 FRAME_BYTES = 1 << 18
 LEVEL = 3
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
@@ -32,13 +36,6 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 WHEN = "2024-01-01T00:00:00Z"
 
 
-def open_folder(uri: str):
-    """(file system, path) of a folder by its address; pyarrow knows local, HDFS and object stores."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def _urn(page_id) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
@@ -94,14 +91,16 @@ class BundleWriter:
         self.parts: list[bytes] = []
         self.size = 0
         self.entries: list[tuple[int, int, int]] = []
+        self.map = bytearray()
 
-    def add(self, data: bytes) -> tuple[int, int, int]:
+    def add(self, data: bytes, key: int | None = None) -> tuple[int, int, int]:
         """(frame, offset in the frame, length) of the record."""
         if self.size and self.size + len(data) > self.frame_bytes:
             self.flush()
         at = (len(self.entries), self.size, len(data))
         self.parts.append(data)
         self.size += len(data)
+        self.map += ENTRY.pack(key is not None, key or 0, *at)
         return at
 
     def flush(self) -> None:
@@ -116,6 +115,8 @@ class BundleWriter:
 
     def close(self) -> None:
         self.flush()
+        packed = self.zstd.compress(bytes(self.map))
+        self.sink.write(struct.pack("<III", MAP_FRAME, 4 + len(packed), len(self.map)) + packed)
         table_ = b"".join(struct.pack("<III", *e) for e in self.entries) + struct.pack("<IBI", len(self.entries), 0x80, SEEK_FOOTER)
         self.sink.write(struct.pack("<II", SEEK_FRAME, len(table_)) + table_)
 
@@ -140,8 +141,18 @@ class BundleReader:
             packed, full, *check = struct.unpack_from("<III" if width == 12 else "<II", raw, i * width)
             self.entries.append((at, packed, full, check[0] if check else None))
             at += packed
+        self.end = at
         self.now: tuple[int, bytes] = (-1, b"")
 
+    def records(self) -> list[tuple[int | None, int, int, int]]:
+        """(id, frame, offset, length) of every record, from the bundle's own map."""
+        self.source.seek(self.end)
+        magic, size, full = struct.unpack("<III", self.source.read(12))
+        if magic != MAP_FRAME:
+            raise ValueError("no record map")
+        raw = self.zstd.decompress(self.source.read(size - 4), max_output_size=full)
+        return [(key if has else None, *at) for has, key, *at in ENTRY.iter_unpack(raw)]
+
     def frame(self, number: int) -> bytes:
         import xxhash
 
@@ -160,9 +171,9 @@ def with_roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n"))
     twice = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("keeper")).where("copies > 1 AND keeper IS NOT NULL")
-    twice = materialise(twice.select(F.col("digest").alias("key"), "keeper"), "warc-twice")
+    twice = materialise(twice.select(F.col("digest").alias("key"), "keeper", "copies"), "warc-twice")
     key = F.when(F.col("n") >= min_bytes, F.col("digest")).otherwise(F.concat_ws("-", F.lit(""), "page_id", "digest"))
-    return rows.withColumn("key", key).join(twice, "key", "left").drop("key")
+    return spread_join(rows.withColumn("key", key), twice, "key", "copies").drop("key")
 
 
 def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 1000, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -170,7 +181,7 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 1000, frame_by
 
     Null html is an empty payload; a null url leaves the target out.  Rows with the keeper's id are
     responses all (repeated rows included); a null id is never a keeper.  An empty table writes no
-    bundle.  Other columns are ignored.
+    bundle; a payload longer than a frame is a frame of its own.  Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +195,7 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 1000, frame_by
                     sink = fs.open_output_stream(f"{path}/{name}.tmp")
                     writer = BundleWriter(sink, frame_bytes)
                 page_id, url, html, digest, keeper = x
-                rows.append((page_id, name, *writer.add(record(page_id, url, html, digest, keeper, keeper is not None and keeper != page_id))))
+                rows.append((page_id, name, *writer.add(record(page_id, url, html, digest, keeper, keeper is not None and keeper != page_id), page_id)))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["page_id", "bundle", "frame", "offset", "length"])
@@ -221,7 +232,24 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     return index.select("bundle", "frame", "offset", "length").mapInArrow(run, RECORD if with_payload else RECORD.rpartition(",")[0])
 
 
+def index_of_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """The index, from the maps in all bundles of a folder (orphans of lost attempts too)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = open_folder(folder)
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with fs.open_input_file(f"{path}/{name}") as source:
+                    rows = [(key, name, *at) for key, *at in BundleReader(source).records()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["page_id", "bundle", "frame", "offset", "length"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name")).mapInArrow(run, INDEX)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back from the bundles."""
     folder = shared_path(spark, "warc")
     index = write_bundles(table(spark, sf_dir, "pages"), folder)
     return read_records(index, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
