@@ -2,8 +2,8 @@
 
 A document of n tokens is cut into floor(n / 2048) pieces of 2048 and one piece for each binary digit
 of the rest, longest first.  Every piece is a sequence of its own whose length is a power of two, so
-nothing is padded and no sequence crosses documents; equal lengths form a bucket, from which batches
-of one shape are made.  The work is within a row: no shuffle, no state, any part can be recomputed.
+nothing is padded and no sequence crosses documents; equal lengths form a bucket (``write_buckets``),
+from which ``batches`` of one shape are made.  The work is within a row: no shuffle, no state, any part can be recomputed.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     doc_tokens counts the ids of the text and end_id after them; a null or empty text has end_id
     alone.  sequence_id is unique in the result and the same when a lost part is recomputed; offset
     is 0, as each sequence is one piece.  Repeated rows and null ids are packed as rows of their own.
-    An empty table gives no rows.  Other columns are ignored.
+    An empty table gives no rows; a very long text is cut into many pieces of ``longest``.  Other
+    columns are ignored.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -71,12 +72,43 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return pieces.withColumns(extra)
 
 
-def write_buckets(pieces: DataFrame, folder: str) -> None:
-    """One folder per length, so that a reader makes batches of one shape."""
-    pieces.write.partitionBy("bucket").parquet(folder)
+def write_buckets(docs: DataFrame, path: str, folder: str, **settings) -> None:
+    """Pack with ids and write one folder per length (bucket=1, 2, 4 …), pieces of equal length together."""
+    pack(docs, path, with_ids=True, **settings).write.partitionBy("bucket").parquet(folder)
+
+
+def batches(spark: SparkSession, folder: str, length: int, tokens: int = 64 * SEQUENCE) -> DataFrame:
+    """Batches of one bucket: doc_ids, n, ids (n x length little-endian uint32), n being tokens / length or, at a task's end, less.
+
+    A batch has one shape and needs no mask: each row of it is a piece of one document.
+    """
+    if tokens < length:
+        raise ValueError("a batch holds one sequence at least")
+    most = tokens // length
+    schema = "doc_ids array<long>, n int, ids binary"
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        ids: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([keys[:most]], pa.list_(pa.int64())), pa.array([len(keys[:most])], pa.int32()), pa.array([b"".join(ids[:most])], pa.binary())]
+            del keys[:most], ids[:most]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_ids", "n", "ids"])
+
+        for part in parts:
+            keys += part.column("doc_id").to_pylist()
+            ids += part.column("ids").to_pylist()
+            while len(keys) >= most:
+                yield out()
+        if keys:
+            yield out()
+
+    return spark.read.schema("doc_id long, ids binary, bucket int").parquet(folder).where(F.col("bucket") == length).select("doc_id", "ids").mapInArrow(run, schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, whole texts; their bucket is their length."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
