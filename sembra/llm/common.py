@@ -46,19 +46,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 HOT_SHARE = 0.001
 
 
-def spread_join(rows: DataFrame, about: DataFrame, key: str, n: str) -> DataFrame:
-    """rows left join about (one row per key, which says in column n how many rows have it), hot keys split.
+def spread_join(rows: DataFrame, about: DataFrame, keys: str | list[str], n: str) -> DataFrame:
+    """rows left join about (one row per key, which says in column n how many of rows have it), hot keys split.
 
     The rows of about for the hot keys are broadcast (fewer than 1 / HOT_SHARE by their definition);
     rows with a hot key don't meet by key but go to tasks evenly.  ``about`` is a written table.
     """
     total = about.agg(F.sum(n)).first()[0] or 0
-    others = [c for c in about.columns if c not in (key, n)]
+    keys = [keys] if isinstance(keys, str) else keys
+    others = [c for c in about.columns if c not in (*keys, n)]
     hot = F.col(n) > HOT_SHARE * total
-    few = F.broadcast(about.where(hot).select(key, F.struct(*others).alias("_hot")))
-    rest = about.where(~hot).select(key, F.lit(0).alias("_salt"), F.struct(*others).alias("_rest"))
+    few = F.broadcast(about.where(hot).select(*keys, F.struct(*others).alias("_hot")))
+    rest = about.where(~hot).select(*keys, F.lit(0).alias("_salt"), F.struct(*others).alias("_rest"))
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int") + 1)
-    met = rows.join(few, key, "left").withColumn("_salt", salt).join(rest, [key, "_salt"], "left")
+    met = rows.join(few, keys, "left").withColumn("_salt", salt).join(rest, [*keys, "_salt"], "left")
     return met.select(*rows.columns, F.coalesce("_hot", "_rest").alias("_about")).select(*rows.columns, *[F.col("_about")[c].alias(c) for c in others])
 
 

@@ -3,7 +3,8 @@
 Texts are named by the SHA-256 of their normalised content (UTF-8, null as empty; nothing else, so
 that equal digests mean equal counts for any tokenizer), the tokenizer by the SHA-256 of its file.
 Distinct digests are joined with the stored counts; only distinct misses are encoded, and appended
-to the cache.  Copies collapse before the shuffle (partial aggregation keeps one text per digest and
+to the cache, which is partitioned by tokenizer.  Digests of very many rows are joined without meeting
+in one task.  Copies collapse before the shuffle (partial aggregation keeps one text per digest and
 task), so a group of copies of any size is encoded once and crosses the network at most once a task.
 """
 
@@ -17,11 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WordBpe, file_digest
-from .common import shared_path, table
+from .common import materialise, shared_dir, spread_join, table
 
 #: Characters of text that are encoded at a time in a worker.
 SLICE_CHARS = 4_000_000
-CACHE_SCHEMA = "digest binary, tokenizer string, n_bytes long, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
+#: Part of a tokenizer's version: change it when the encoders below change what they return.
+ENCODER = "1"
+#: Up to this number, missing digests are broadcast.
+FEW_MISSES = 100_000
 
 
 class PieceModel:
@@ -72,46 +77,65 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
 
 
 def encode_misses(misses: DataFrame, path: str, version: str) -> DataFrame:
-    """(digest, tokenizer, n_bytes, n_tokens) of (digest, text)."""
+    """(digest, n_tokens, tokenizer) of (digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [n for a, b in slices(texts) for n in model.counts(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(texts), pa.string()), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64()), pa.array([version] * len(texts), pa.string())], names=["digest", "n_tokens", "tokenizer"])
 
-    return misses.select("digest", "text", "n_bytes").mapInArrow(run, CACHE_SCHEMA)
+    return misses.select("digest", "text").mapInArrow(run, CACHE_SCHEMA)
 
 
-def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def default_cache(spark: SparkSession) -> str:
+    """The cache of a cluster: a folder under the shared one that stays, so a later run finds the counts."""
+    return f"{shared_dir(spark)}/token-cache"
+
+
+def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    ``cache`` is a parquet folder of counts, made if it isn't there; misses are appended to it before
-    this returns.  A null text counts as empty; repeated rows and null ids stay; other columns are
-    ignored.  Writers that race append a digest twice at worst; readers take one.
+    ``cache`` is a parquet folder of counts, partitioned by tokenizer version and made if it isn't
+    there; misses are appended to it before this returns.  Where all digests are stored no text moves,
+    where few are missing only their texts do.  A null text counts as empty; a very long text is
+    encoded as a whole; repeated rows and null ids stay; other columns are ignored; an empty table
+    gives no rows.  Writers that race append a digest twice at worst; readers take one.
     """
     spark = docs.sparkSession
-    version = file_digest(path)
+    cache = cache or default_cache(spark)
+    version = f"{ENCODER}-{file_digest(path)}"
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text, 256)).alias("digest")
-    stored = stored_counts(spark, cache, version)
-    distinct = docs.select(digest, text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(stored.select("digest"), "digest", "left_anti") if stored is not None else distinct
-    encode_misses(misses.withColumn("n_bytes", F.octet_length("text").cast("long")), path, version).write.mode("append").parquet(cache)
-    counts = stored_counts(spark, cache, version)
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest)
-    return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
-    """(digest, n_bytes, n_tokens) of a tokenizer version, one row per digest; None where there is no cache."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    keys = materialise(docs.select(F.col(id_col).alias("doc_id"), digest, F.octet_length(text).cast("long").alias("n_bytes")), "token-keys")
+    needed = materialise(keys.groupBy("digest").agg(F.count("*").alias("n")), "token-digests")
+    stored = stored_counts(spark, cache, version, needed)
+    missing = needed.select("digest") if stored is None else materialise(needed.select("digest").join(stored, "digest", "left_anti"), "token-misses")
+    n = missing.count()
+    if n:
+        texts = docs.select(digest, text.alias("text"))
+        if n <= FEW_MISSES:
+            texts = texts.join(F.broadcast(missing), "digest", "left_semi")
+        texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
+        if n > FEW_MISSES and stored is not None:
+            texts = texts.join(missing, "digest", "left_semi")
+        encode_misses(texts, path, version).write.mode("append").partitionBy("tokenizer").parquet(cache)
+        stored = stored_counts(spark, cache, version, needed)
+    if stored is None:  # an empty table and no cache
+        return keys.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_tokens"), F.lit(False).alias("over_limit"))
+    counts = materialise(needed.join(stored, "digest"), "token-counts")
+    return spread_join(keys, counts, "digest", "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def stored_counts(spark: SparkSession, cache: str, version: str, needed: DataFrame) -> DataFrame | None:
+    """(digest, n_tokens) of a tokenizer version for the digests that are needed, one row each; None where there is no cache."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/tokenizer={version}")
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return None
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
-    return rows.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    return rows.join(needed.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -121,7 +145,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), shared_path(spark, "token-cache"))
+    """Tokens of every document, whole texts, through the cluster's cache: cold the first time, warm later."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {"op10_tokens": op10_tokens}

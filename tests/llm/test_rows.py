@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as H  # noqa: E402
 
-from sembra.llm import common, components, secrets, simhash  # noqa: E402
+from sembra.llm import common, components, packing, secrets, simhash, tokens, warc  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -125,3 +125,83 @@ def test_secrets_index_is_inverted(spark):
     assert {(r.gram, r.rk) for r in index.collect()} == {("tok", 1), ("oke", 1), ("ken", 1), ("ken", 2), ("aki", 4), ("kia", 4)}
     got = secrets.candidates(index, {"t": {frozenset({"tok", "oke", "ken"})}, "k": {frozenset({"aki", "kia"})}, "all": None})
     assert {(r.rk, tuple(r.rules)) for r in got.collect()} == {(1, ("t",)), (4, ("k",))}
+
+
+# 2 WARC
+
+
+def test_warc_roles_against_brute_force(spark, monkeypatch):
+    """Roles, digests and payloads of every record: lengths around the limit, multi-byte and very long payloads, hot ones."""
+    import hashlib
+
+    rng = random.Random(4)
+    shared = ["x" * 1000, "x" * 999, "é" * 500, "é" * 499, "\U0001f600" * 250, "<p>" + "long " * 300_000, ""]
+    rows = [(i, f"http://h/{i}", rng.choice([*shared, "own " + "z" * rng.choice([10, 1500]) + str(i)])) for i in range(220)]
+    rows += [(None, None, shared[0]), (3, "again", rows[3][2]), (500, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).withColumn("digest", F.lit("x"))
+    keeper: dict = {}
+    for p, _, h in rows:
+        raw = (h or "").encode()
+        if len(raw) >= 1000 and p is not None:
+            keeper[raw] = max(p, keeper.get(raw, p))
+    copies = {k: sum((h or "").encode() == k for *_, h in rows) for k in keeper}
+    want = []
+    for p, u, h in rows:
+        raw = (h or "").encode()
+        k = keeper.get(raw) if copies.get(raw, 0) > 1 else None
+        again = k is not None and k != p
+        want.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", k if again else None, u, None if again else hashlib.md5(raw).hexdigest()))
+    assert {w[3] for w in want} == {"revisit", "response"}
+    for share in (common.HOT_SHARE, 0.0):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        folder = common.shared_path(spark, "roles")
+        index = warc.write_bundles(df, folder, frame_bytes=20_000)
+        got = [(*tuple(r)[:6], None if r.payload is None else hashlib.md5(r.payload).hexdigest()) for r in warc.read_records(index, folder).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        assert sorted(map(repr, warc.index_of_bundles(spark, folder).collect())) == sorted(map(repr, index.collect()))
+
+
+# 5 packing
+
+
+def test_buckets_and_batches(spark, sf):
+    """Buckets hold all pieces by length; a batch has one shape, and its rows are the pieces' ids."""
+    import zlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path, folder = tokens.tokenizer_path(), common.shared_path(spark, "buckets")
+    packing.write_buckets(docs, path, folder)
+    want = [(r.doc_id, r.length, r.ids_crc32) for r in packing.pack(docs, path).collect()]
+    got = []
+    for length in sorted({w[1] for w in want}):
+        for r in packing.batches(spark, folder, length, 4096).collect():
+            assert 0 < r.n <= 4096 // length and len(r.ids) == 4 * r.n * length and len(r.doc_ids) == r.n
+            got += [(d, length, zlib.crc32(r.ids[4 * i * length : 4 * (i + 1) * length])) for i, d in enumerate(r.doc_ids)]
+    assert sorted(got) == sorted(want) and len({w[1] for w in want}) > 8
+
+
+# 10 tokens
+
+
+def test_warm_cache(spark, sf, monkeypatch):
+    """A second run encodes nothing; with few misses only their texts are encoded; hot digests are joined all the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path, cache = tokens.tokenizer_path(), common.shared_path(spark, "warm")
+    want = sorted(map(repr, tokens.token_counts(docs, path, cache).collect()))
+    n = spark.read.parquet(cache).count()
+
+    def never(*_):
+        raise AssertionError("encoded again")
+
+    with monkeypatch.context() as m:
+        m.setattr(tokens, "encode_misses", never)
+        m.setattr(common, "HOT_SHARE", 0.0)
+        assert sorted(map(repr, tokens.token_counts(docs, path, cache).collect())) == want
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "a new text"), (-2, "a new text"), (-3, None)], DOCS))
+    for few in (tokens.FEW_MISSES, 0):
+        monkeypatch.setattr(tokens, "FEW_MISSES", few)
+        assert tokens.token_counts(more, path, cache).count() == more.count()
+    assert spark.read.parquet(cache).count() == n + 2 - docs.where("text = ''").limit(1).count()
+    assert tokens.default_cache(spark) == tokens.default_cache(spark)
+    empty = docs.limit(0)
+    assert tokens.token_counts(empty, path, common.shared_path(spark, "none")).count() == 0
