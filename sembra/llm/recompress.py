@@ -15,7 +15,7 @@ import numpy as np
 
 U = np.uint64
 ROUNDS = 3
-B1, B2 = U(0x9E3779B97F4A7C15 | 1), U(0xC2B2AE3D27D4EB4F | 1)
+B1, B2, B3 = U(0x9E3779B97F4A7C15 | 1), U(0xC2B2AE3D27D4EB4F | 1), U(0xD6E8FEB86659FD93 | 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,17 +116,19 @@ def _least(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Parse:
     """Spans of the windows of some documents.
 
-    words: name of each word, documents one after the other; ends: past the last word of each.
+    words: name of each word, documents one after the other; ends: past the last word of each;
+    checks: second, independent names, for verification (by default there are none, and words serve).
     Arrays by span: doc (position of the document), first and last (window starts), anchor, span
-    (names).  ``window_hash`` names single windows.
+    (names), check (a second digest of the span's words, by other names and another base).
+    ``window_hash`` names single windows, ``window_check`` is their second digest.
     """
 
-    def __init__(self, words: np.ndarray, ends: np.ndarray, window: int = 50, rounds: int = ROUNDS):
+    def __init__(self, words: np.ndarray, ends: np.ndarray, window: int = 50, rounds: int = ROUNDS, checks: np.ndarray | None = None):
         n, self.window = len(words), window
         starts = np.append(0, ends[:-1]).astype(np.int64)
         lengths = ends - starts
         doc = np.repeat(np.arange(len(ends)), lengths)
-        self.ranges = Ranges(words)
+        self.ranges, self.second = Ranges(words), Ranges(words if checks is None else checks, B3)
         pos = np.arange(n, dtype=np.int64)
         name, lo, hi, start, d = words, pos, pos.copy(), pos, doc
         for level in range(rounds if n else 0):
@@ -137,7 +139,7 @@ class Parse:
         i = np.repeat(starts - (np.cumsum(per) - per), per) + np.arange(total)
         if not total:
             self.doc = self.first = self.last = np.zeros(0, np.int64)
-            self.anchor = self.span = np.zeros(0, U)
+            self.anchor = self.span = self.check = np.zeros(0, U)
             return
         key = self.ranges.hash(np.maximum(lo, 0), np.minimum(hi + 1, n))
         below = np.cumsum(np.bincount(np.maximum(lo, -1) + 1, minlength=n + 2))  # symbols with lo < i
@@ -152,6 +154,7 @@ class Parse:
         end = np.append(at[1:], total) - 1
         self.doc, self.first, self.last = doc[i[at]], i[at], i[end]
         self.span = self.ranges.hash(self.first, self.last + window)
+        self.check = self.second.hash(self.first, self.last + window)
         pick = chosen[at]
         self.anchor = np.where(pick >= 0, key[np.maximum(pick, 0)], self.span)
 
@@ -163,3 +166,6 @@ class Parse:
 
     def window_hash(self, at: np.ndarray) -> np.ndarray:
         return self.ranges.hash(at, at + self.window)
+
+    def window_check(self, at: np.ndarray) -> np.ndarray:
+        return self.second.hash(at, at + self.window)

@@ -9,14 +9,22 @@ always fall under the same anchor name.  Spark then works on names only:
    and their least doc_id is taken, which settles the borders of repeats exactly;
 3. each document is joined with its covered spans and windows, and cut.
 
-Groups are aggregated, never listed.  What is listed per document is bounded by its own length.  The
-names of a round are digests, so rounds need no exchange; the exchanges of the steps above verify
-candidates by 128 bits (anchor and content).
+Groups are aggregated, never listed.  What is listed per document is bounded by its own length.  Spans
+and windows of very many documents are joined without meeting in one task.
+
+Departure from the method as it is usually told: its Spark rounds name runs and pairs through global
+tables.  Here a name is a digest of what it stands for, so all partitions agree without a table, and
+the rounds run within a task; a table a round would shuffle every token three times over (about 40 M
+rows of the 80 M words of 0.5 GB in the first round alone, where the disk budget is 4 times the
+input).  Candidates are verified by three digests of 64 bits that must all agree: the anchor, the
+words' names, and a second name of each word from the other half of XXH3-128 of its bytes, under
+another base, which shares nothing with the first.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import compress
 
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, spread_join, table
 from .recompress import Parse
 from .tokens import slices
 
@@ -35,15 +43,26 @@ NAME_CACHE = 400_000
 
 
 class Names(dict):
-    """Word -> 64-bit digest, kept in a bounded table."""
+    """Word -> place of its two names, the halves of XXH3-128; emptied between slices when it is large."""
+
+    def __init__(self):
+        self.first, self.second = array("Q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        x = xxhash.xxh3_64_intdigest(word)
-        if len(self) < NAME_CACHE:
-            self[word] = x
-        return x
+        x = xxhash.xxh3_128_intdigest(word)
+        self.first.append(x & 0xFFFFFFFFFFFFFFFF)
+        self.second.append(x >> 64)
+        self[word] = at = len(self)
+        return at
+
+    def of(self, split: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > NAME_CACHE:
+            self.clear()
+            self.first, self.second = array("Q"), array("Q")
+        at = np.fromiter((self[x] for w in split for x in w), np.int64, n)
+        return np.array(self.first, np.uint64)[at], np.array(self.second, np.uint64)[at]
 
 
 def _parsed(texts: list[str | None], names: Names, window: int):
@@ -51,8 +70,8 @@ def _parsed(texts: list[str | None], names: Names, window: int):
     split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
     ends = np.cumsum([len(w) for w in split], dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    flat = np.fromiter((names[x] for w in split for x in w), np.uint64, total)
-    return split, ends, Parse(flat, ends, window)
+    flat, checks = names.of(split, total)
+    return split, ends, Parse(flat, ends, window, checks=checks)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -60,7 +79,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def span_names(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, span, doc_id) of all documents with an id; a slice of documents names a span of a document once."""
+    """(anchor, span, check, doc_id) of all documents with an id; a slice of documents names a span of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -73,13 +92,13 @@ def span_names(docs: DataFrame, window: int) -> DataFrame:
                     d, x, s = p.doc[order], p.anchor[order], p.span[order]
                     new = np.ones(len(d), dtype=bool)
                     new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])
-                    yield pa.RecordBatch.from_arrays([_signed(x[new]), _signed(s[new]), pa.array(ids[a:b][d[new]])], names=["anchor", "span", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([_signed(x[new]), _signed(s[new]), _signed(p.check[order][new]), pa.array(ids[a:b][d[new]])], names=["anchor", "span", "check", "doc_id"])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, span long, doc_id long")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, span long, check long, doc_id long")
 
 
 def window_names(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, name, doc_id) of the windows of the spans listed in column spans."""
+    """(anchor, name, check, doc_id) of the windows of the spans listed in column spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -96,9 +115,9 @@ def window_names(docs: DataFrame, window: int) -> DataFrame:
                 of, at = p.windows(np.flatnonzero(wanted))
                 if len(of):
                     own = np.array(ids[a:b], dtype=np.int64)[p.doc[of]]
-                    yield pa.RecordBatch.from_arrays([_signed(p.anchor[of]), _signed(p.window_hash(at)), pa.array(own)], names=["anchor", "name", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([_signed(p.anchor[of]), _signed(p.window_hash(at)), _signed(p.window_check(at)), pa.array(own)], names=["anchor", "name", "check", "doc_id"])
 
-    return docs.mapInArrow(run, "anchor long, name long, doc_id long")
+    return docs.mapInArrow(run, "anchor long, name long, check long, doc_id long")
 
 
 def cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -151,25 +170,29 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     A word goes if a window of ``window`` words covers it whose word sequence also starts in a
     document with a smaller doc_id.  Null and shorter texts keep all words (null: none).  Rows with a
     null doc_id are never smaller and are returned whole.  Rows with one doc_id don't remove each
-    other's words.  Ties between more than two documents: the least doc_id keeps the words.
+    other's words.  Ties between more than two documents: the least doc_id keeps the words.  A very
+    long text is parsed as a whole; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = materialise(span_names(rows, window), "substrings-spans")
-    by_span = materialise(spans.groupBy("anchor", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "substrings-groups")
-    repeated = by_span.where("first < last").select("anchor", "span", "first")
-    covered = spans.join(repeated, ["anchor", "span"]).where("doc_id > first").select("doc_id", "span")
-    split = by_span.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("least"), F.max("first").alias("most")).where("n > 1 AND least < most").select("anchor")
-    unsettled = by_span.join(split, "anchor", "left_semi").select(F.col("first").alias("doc_id"), "span")
+    key = ["anchor", "span", "check"]
+    by_span = materialise(spans.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "substrings-groups")
+    repeated = by_span.where("first < last").select(*key, "n", "first")
+    covered = spread_join(spans, repeated, key, "n").where("doc_id > first").select("doc_id", "span")
+    split = by_span.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("least"), F.max("first").alias("most")).where("n > 1 AND least < most").select("anchor", "n", "least")
+    unsettled = spread_join(by_span.select("anchor", "span", "first"), materialise(split, "substrings-anchors"), "anchor", "n").where("least IS NOT NULL").select(F.col("first").alias("doc_id"), "span")
     unsettled = unsettled.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
     named = materialise(window_names(rows.join(unsettled, "doc_id"), window).distinct(), "substrings-windows")
-    by_window = named.groupBy("anchor", "name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "name", "first")
-    late = named.join(by_window, ["anchor", "name"]).where("doc_id > first").select("doc_id", "name")
+    key = ["anchor", "name", "check"]
+    by_window = named.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select(*key, "n", "first")
+    late = spread_join(named, materialise(by_window, "substrings-repeats"), key, "n").where("doc_id > first").select("doc_id", "name")
     marks = covered.select("doc_id", "span", F.lit(None).cast("long").alias("name")).union(late.select("doc_id", F.lit(None).cast("long"), "name"))
     marks = marks.groupBy("doc_id").agg(F.collect_set("span").alias("spans"), F.collect_set("name").alias("windows"))
     return cut(rows.join(marks, "doc_id", "left"), window, with_text)
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole texts, without the passages that start in an earlier one."""
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 

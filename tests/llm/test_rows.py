@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as H  # noqa: E402
 
-from sembra.llm import common, components, packing, secrets, simhash, tokens, warc  # noqa: E402
+from sembra.llm import common, components, packing, secrets, simhash, substrings, tokens, warc  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -205,3 +205,33 @@ def test_warm_cache(spark, sf, monkeypatch):
     assert tokens.default_cache(spark) == tokens.default_cache(spark)
     empty = docs.limit(0)
     assert tokens.token_counts(empty, path, common.shared_path(spark, "none")).count() == 0
+
+
+# 3 substrings
+
+
+def test_substrings_with_hot_spans(spark, monkeypatch):
+    """With every span, anchor and window hot the result is the same, and equals brute force."""
+    docs = H.shared_passages(40, 7, ["a", "b", "c", "dd"])
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    want = sorted(map(repr, H.substrings(docs, 20)))
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        assert sorted(map(repr, map(tuple, substrings.dedup_substrings(df, 20).collect()))) == want
+
+
+def test_second_digest_tells_spans_apart(spark, monkeypatch):
+    """Words whose first names collide don't make different passages equal."""
+    monkeypatch.setattr(substrings, "NAME_CACHE", 3)
+    names = substrings.Names()
+    a = names.of([[b"x", b"y"], [b"x", b"z", b"q"]], 5)
+    assert a[0][0] == a[0][2] and len({*a[0].tolist()}) == 4 and not set(a[0].tolist()) & set(a[1].tolist())
+    again = names.of([[b"y"]], 1)  # after the table was emptied
+    assert again[0][0] == a[0][1] and again[1][0] == a[1][1] and len(names) == 1
+    import numpy as np
+
+    from sembra.llm import recompress
+
+    same = np.ones(60, np.uint64)
+    p, q = (recompress.Parse(same, np.array([60]), 50, checks=same + np.uint64(k)) for k in (0, 1))
+    assert (p.span == q.span).all() and not (p.check == q.check).any()
