@@ -14,20 +14,22 @@ characters or more none is missed.  Their regions count where no whole segment o
 Items are searched by the longest q-grams, of Q characters or a power of two below, for which the
 bound is positive.  Items so short that no edit is allowed are found on word borders only.
 
-The items' q-grams form a sorted table that goes to the workers.  Its size is checked: items beyond
-BLOCK_CHARS are taken in blocks, one pass over the documents each.  Documents are never shuffled.
+The items are written to the shared folder, in blocks of about BLOCK_CHARS characters by a hash, and
+never come to the driver; a task reads a block and makes a sorted table of its q-grams.  Each block is
+a pass over the documents, which are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import open_folder, shared_path, table
 from .tokens import slices
 
 Q = 8
@@ -199,15 +201,15 @@ class Index:
 def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of a best occurrence of pattern in text with k edits or fewer.
 
-    The occurrence starts on a diagonal (text minus pattern position) from low to high; the path may
-    leave them by k.
+    Its unharmed q-grams lie on diagonals (text minus pattern position) from low to high; with k edits
+    the path, its start included, leaves them by k at most.
     """
     m, n = len(pattern), len(text)
     lo, width = low - k, high - low + 1 + 2 * k
     far = m + n + 1
     offs = np.arange(width)
     j = lo + offs  # text positions before the first pattern character
-    free = (offs >= k) & (offs < width - k) & (j >= 0) & (j <= n)
+    free = (j >= 0) & (j <= n)
     cost = np.where(free, 0, far)
     origin = np.where(free, j, -1)
     for i in range(m):
@@ -267,7 +269,7 @@ def _verified(index: Index, code: np.ndarray, origin: np.ndarray, found: list[tu
     def free(s: int, low: int, high: int) -> bool:
         """An occurrence between the diagonals need not overlap a region of its item."""
         item, pattern, k, _ = index.segments[s]
-        return not any(high < b and low + len(pattern) - k > a for a, b in taken.get(item, []))
+        return not any(high + k < b and low + len(pattern) - 2 * k > a for a, b in taken.get(item, []))
 
     part = _best(index, code, [x for x in found if index.windows[x[0]] and free(*x)])
     last: list | None = None
@@ -309,49 +311,69 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """Contaminated documents: doc_id, n_regions, first_start, first_end, least_edits, items.
 
     One row per document row with a verified region; clean rows give none.  Regions are code points
-    of the text, end exclusive.  items are the distinct item ids, sorted.  Null and empty texts are
-    clean.  Items of fewer than ``shortest`` letters and digits, null ones included, aren't
-    searched: by default those without any; equal items are all named.  An empty benchmark finds nothing.  Repeated rows and null doc_ids stay.
+    of the text, end exclusive.  items are the distinct item ids, sorted; items without an id are
+    searched like any other and named null.  Null and empty texts are clean.  Items of fewer than
+    ``shortest`` letters and digits aren't searched: by default those without any; equal items are
+    all named.  An empty benchmark finds nothing, an empty table gives no rows.  Repeated rows and null
+    doc_ids stay.  A very long text is searched as a whole.  Other columns are ignored.
     With keep_rows, instead the rows of docs that are clean, unchanged.
     """
-    chars = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = docs if keep_rows else None
-    for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        items = sorted(((r[0], r[1]) for r in part.select(item_col, item_text).collect() if r[0] is not None and r[1]), key=lambda x: (x[0], x[1]))
-        if keep_rows:
-            out = _clean(out, items, text_col, settings)
-        else:
-            found = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid")), items, settings)
-            out = found if out is None else out.union(found)
+    folder = shared_path(docs.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).write.partitionBy("block").parquet(folder)
     if keep_rows:
+        out = docs
+        for b in range(blocks):
+            out = _clean(out, f"{folder}/block={b}", text_col, settings)
         return out
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    out = reduce(DataFrame.union, [_found(rows, f"{folder}/block={b}", settings) for b in range(blocks)])
     if blocks > 1:  # a document may meet items of several blocks
-        out = out.groupBy("rid", "doc_id").agg(F.sum("n_regions").alias("n_regions"), F.min(F.struct("first_start", "first_end")).alias("f"), F.min("least_edits").alias("least_edits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("doc_id", "n_regions", "f.*", "least_edits", "items")
+        out = out.groupBy("rid", "doc_id").agg(F.sum("n_regions").alias("n_regions"), F.min(F.struct("first_start", "first_end")).alias("f"), F.min("least_edits").alias("least_edits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("doc_id", "n_regions", "f.*", "least_edits", "items")
     return out.select("doc_id", "n_regions", "first_start", "first_end", "least_edits", "items")
 
 
-def _found(rows: DataFrame, items: list, settings: dict) -> DataFrame:
+def read_items(folder: str) -> list[tuple[int | None, str]]:
+    """(item, text) of a block, read in a worker; a block without items has no folder."""
+    from pyarrow import fs as kinds
+    from pyarrow import parquet
+
+    fs, path = open_folder(folder)
+    if fs.get_file_info(path).type == kinds.FileType.NotFound:
+        return []
+    t = parquet.read_table(path, columns=["item", "text"], filesystem=fs, partitioning=None)
+    return sorted(zip(t.column("item").to_pylist(), t.column("text").to_pylist()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
+def _indexed(folder: str, settings: dict) -> tuple[list[int | None], Index]:
+    """The items' ids, and an index of the items by their place in that list."""
+    items = read_items(folder)
+    return [i for i, _ in items], Index([(n, t) for n, (_, t) in enumerate(items)], **settings)
+
+
+def _found(rows: DataFrame, folder: str, settings: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, **settings)
+        names, index = _indexed(folder, settings)
         for batch in batches:
             out = []
             texts, ids, rids = (batch.column(c).to_pylist() for c in ("text", "doc_id", "rid"))
             for i, found in search(index, texts):
                 first = min((a, e) for _, a, e, _ in found)
-                out.append((ids[i], len(found), *first, min(e for *_, e in found), sorted({x[0] for x in found}), rids[i]))
+                items = sorted({names[x[0]] for x in found}, key=lambda n: (n is not None, n or 0))
+                out.append((ids[i], len(found), *first, min(e for *_, e in found), items, rids[i]))
             if out:
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.int64()]
-                names = ["doc_id", "n_regions", "first_start", "first_end", "least_edits", "items", "rid"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                cols = ["doc_id", "n_regions", "first_start", "first_end", "least_edits", "items", "rid"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=cols)
 
     return rows.mapInArrow(run, SCHEMA + ", rid long")
 
 
-def _clean(docs: DataFrame, items: list, text_col: str, settings: dict) -> DataFrame:
+def _clean(docs: DataFrame, folder: str, text_col: str, settings: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, **settings)
+        _, index = _indexed(folder, settings)
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             bad = {i for i, _ in search(index, texts)}
@@ -400,6 +422,7 @@ def _search(index: Index, texts: list[str | None]) -> Iterator[tuple[int, list]]
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, whole texts, that hold a benchmark item or a part of one."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -6,12 +6,13 @@ import re
 import sys
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as H  # noqa: E402
 
-from sembra.llm import common, components, packing, secrets, simhash, substrings, tokens, warc  # noqa: E402
+from sembra.llm import common, components, decontaminate, packing, secrets, simhash, substrings, tokens, warc  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -228,10 +229,84 @@ def test_second_digest_tells_spans_apart(spark, monkeypatch):
     assert a[0][0] == a[0][2] and len({*a[0].tolist()}) == 4 and not set(a[0].tolist()) & set(a[1].tolist())
     again = names.of([[b"y"]], 1)  # after the table was emptied
     assert again[0][0] == a[0][1] and again[1][0] == a[1][1] and len(names) == 1
-    import numpy as np
 
     from sembra.llm import recompress
 
     same = np.ones(60, np.uint64)
     p, q = (recompress.Parse(same, np.array([60]), 50, checks=same + np.uint64(k)) for k in (0, 1))
     assert (p.span == q.span).all() and not (p.check == q.check).any()
+
+
+# 1 decontamination
+
+
+def least_distance(p, t):
+    """Least edit distance of p to any part of t."""
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p):
+        new = [i + 1]
+        for j, b in enumerate(t):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontaminate_against_brute_force(spark, monkeypatch):
+    """Documents, items, edits and regions, over a small alphabet with edits around the budget, in one block and in many."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    items = [(i, letters(m)) for i, m in enumerate((3, 6, 9, 12, 13, 20, 25, 40, 64, 66, 90, 170))] + [(None, letters(30)), (None, letters(70)), (50, "??"), (51, None), (7, letters(33))]
+    docs = []
+    for d in range(150):
+        parts = [letters(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            y = list(rng.choice(items)[1] or "")
+            y = y[rng.randint(0, 3) :] if rng.random() < 0.3 else y
+            for _ in range(rng.randint(0, 1 + len(y) // 10)):
+                p, z = rng.randrange(len(y) + 1), rng.random()
+                y[p : p + (z < 0.7)] = [rng.choice("abc")] * (z > 0.3)
+            parts += ["".join(y).upper() if rng.random() < 0.5 else "".join(y), letters(rng.randint(0, 40))]
+        docs.append((d, ", ".join(parts)))
+    docs += [(None, docs[3][1]), (900, None), (901, "")]
+    code = lambda t: decontaminate.normalise(t or "")[0].tolist()
+    want, exact = {}, {}
+    for n, (d, t) in enumerate(docs):
+        text = code(t)
+        hit = {}
+        for item, body in items:
+            index = decontaminate.Index([(0, body)]) if body else None
+            while index:
+                for _, pattern, k, _ in index.segments:
+                    if k:
+                        e = least_distance(pattern.tolist(), text)
+                    else:
+                        m = len(pattern)
+                        e = min((0 for i in range(len(text) - m + 1) if text[i : i + m] == pattern.tolist() and decontaminate.on_borders(np.array(text), i, i + m)), default=1)
+                    if e <= k:
+                        hit[item] = min(e, hit.get(item, e))
+                index = index.shorter
+        if hit:
+            want[n] = (d, sorted(hit, key=lambda i: (i is not None, i or 0)))
+            exact[n] = min(hit.values())
+    df = spark.createDataFrame(docs, DOCS).repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert 30 < len(want) < len(docs)
+    for block in (decontaminate.BLOCK_CHARS, 120):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+        got = decontaminate.matches(df, bench).collect()
+        assert sorted(repr((r.doc_id, r["items"])) for r in got) == sorted(map(repr, want.values()))
+        by_text = dict(docs[:-2])
+        for r in got:
+            if r.doc_id is not None:
+                n = next(i for i in want if docs[i][0] == r.doc_id)
+                cut = any(len(t or "") > decontaminate.WINDOW for i, t in items if i in r["items"])  # windows don't count beside a whole item
+                assert (r.least_edits >= exact[n] if cut else r.least_edits == exact[n]) and 0 <= r.first_start < r.first_end <= len(by_text[r.doc_id]) and r.n_regions >= len(r["items"])
+        clean = decontaminate.matches(df, bench, keep_rows=True).collect()
+        assert sorted(repr(r.doc_id) for r in clean) == sorted(repr(d) for n, (d, _) in enumerate(docs) if n not in want)
+
+
+def test_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "an item of seventy characters that has no identifier in the benchmark"), (None, "twenty-eight letters of text"), (4, "seven")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: an item of seventy characters that has no identifier in the benchmark!"), (2, "with twenty-eight letters of text, and seven"), (3, "none of these")], DOCS)
+    assert {r.doc_id: r["items"] for r in decontaminate.matches(docs, bench).collect()} == {1: [None], 2: [None, 4]}
+    assert [r.doc_id for r in decontaminate.matches(docs, bench, keep_rows=True).collect()] == [3]
