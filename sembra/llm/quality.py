@@ -1,13 +1,17 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
-Base rules are fixed.  On top, each rule of RULES compares a ratio of a document with a cutoff that
-is chosen per stratum (language) from labelled holdouts: of a grid of cutoffs, mild to strict, the
-strictest whose false rejection rate among good documents (quality 1, base rules passed) is
-certified.  A cutoff is certified if the exact upper binomial (Clopper-Pearson) bound of that rate
-is at most alpha / number of rules, at level delta / (strata x rules x cutoffs): Bonferroni over
-everything that is looked at, and a union bound over the rules.  So with probability 1 - delta at
-most a share alpha of a stratum's good documents is rejected by the rules together.  Strata without
-enough labels certify nothing and keep everything that passes the base rules.
+Base rules are fixed.  On top, each rule of RULES compares a ratio of a document with a cutoff.  The
+cutoffs of a stratum (language) are chosen from labelled holdouts, so that at most a share alpha of
+its good documents (quality 1, base rules passed) is rejected by the rules together, with probability
+1 - delta over all strata.  Candidates are vectors of cutoffs, in fixed chains from mild to strict: one
+chain a rule, which tightens that rule to its strictest cutoff and then the others in turn.  Along a
+chain each vector is tested: its exact upper binomial (Clopper-Pearson) bound at level
+delta / (strata x chains) is at most alpha.  The first vector that fails ends its chain, so within a
+chain no correction is needed (a fixed sequence of tests); over strata and chains it is Bonferroni's.
+Of the vectors that hold, the one that rejects most labelled bad documents is taken.
+
+A stratum needs about ln(strata x chains / delta) / alpha good labels (286 for four strata) before any
+cutoff can hold; one without them keeps everything that passes the base rules.
 """
 
 from __future__ import annotations
@@ -98,25 +102,66 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return 1 - front * _beta_fraction(b, a, p) / b
 
 
-def certified(counts: list[dict], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
-    """By rule and stratum the strictest certified cutoff; counts has stratum, n and the rejected of each rule's cutoffs."""
-    looks = max(1, len(counts)) * sum(len(c) for _, _, c in RULES.values())
+def _chains() -> list[list[tuple[int, ...]]]:
+    """By chain, vectors of the number of cutoffs in use per rule (0: the rule is off), each stricter than the one before."""
+    most = [len(c) for _, _, c in RULES.values()]
+    out = []
+    for first in range(len(most)):
+        at = [0] * len(most)
+        chain = []
+        while at != most:
+            if at[first] < most[first]:
+                turn = first
+            else:  # the rule that is least far, the first of equals
+                turn = min((r for r in range(len(most)) if at[r] < most[r]), key=lambda r: at[r])
+            at[turn] += 1
+            chain.append(tuple(at))
+        out.append(chain)
+    return out
+
+
+CHAINS = _chains()
+
+
+def step_of(rule: str) -> Column:
+    """The place of the first cutoff that rejects a row of features; the number of cutoffs if none does."""
+    a, b, cuts = RULES[rule]
+    out = F.lit(len(cuts))
+    for i in range(len(cuts) - 1, -1, -1):
+        out = F.when(1000 * F.col(a) > cuts[i] * F.col(b), i).otherwise(out)
+    return out
+
+
+def certified(histogram: list[tuple], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
+    """By rule and stratum the cutoff in use.
+
+    ``histogram`` has (stratum, quality, step_of each rule, number of labelled rows).
+    """
+    strata = sorted({h[0] for h in histogram})
+    level = delta / (max(1, len(strata)) * len(CHAINS))
     out: dict[str, dict[str, int]] = {r: {} for r in RULES}
-    for row in counts:
-        for rule, (_, _, cutoffs) in RULES.items():
-            for i, cut in enumerate(cutoffs):  # stricter ones reject more, so the last that holds is the strictest
-                if row["n"] and binomial_cdf(row[f"{rule}_{i}"], row["n"], alpha / len(RULES)) <= delta / looks:
-                    out[rule][row["stratum"]] = cut
+    for stratum in strata:
+        good, bad = ([h[2:] for h in histogram if h[:2] == (stratum, q)] for q in (1, 0))
+        n = sum(h[-1] for h in good)
+        best = None
+        for c, chain in enumerate(CHAINS):
+            for i, vector in enumerate(chain):
+                lost, caught = (sum(h[-1] for h in rows if any(s < v for s, v in zip(h, vector))) for rows in (good, bad))
+                if not n or binomial_cdf(lost, n, alpha) > level:
+                    break
+                best = min(best or (1,), (-caught, lost, c, -i, vector))
+        for (rule, (_, _, cuts)), used in zip(RULES.items(), best[-1] if best else ()):
+            if used:
+                out[rule][stratum] = cuts[used - 1]
     return out
 
 
 def calibrate(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
-    """Cutoffs from all labelled rows; one aggregated row per stratum comes to the driver."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_labelled"))
-    held = found.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_labelled"))
-    sums = [F.count(F.when(1000 * F.col(a) > cut * F.col(b), 1)).alias(f"{rule}_{i}") for rule, (a, b, cuts) in RULES.items() for i, cut in enumerate(cuts)]
-    rows = held.groupBy("stratum").agg(F.count("*").alias("n"), *sums).collect()
-    return certified([r.asDict() for r in rows], alpha, delta)
+    """Cutoffs from all labelled rows; a histogram over strata and cutoffs comes to the driver."""
+    held = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("int").alias("_quality"))
+    held = found.where(~F.col("base_failed")).join(held, F.col("doc_id") == F.col("_labelled"))
+    rows = held.groupBy("stratum", "_quality", *[step_of(r).alias(f"_{r}") for r in RULES]).count().collect()
+    return certified([tuple(r) for r in rows], alpha, delta)
 
 
 def verdict(cutoffs: dict[str, dict[str, int]]) -> Column:
@@ -135,8 +180,8 @@ def _stratum(col: str) -> Column:
 def quality(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per document: counts, base_failed and kept; see features for nulls and ties.
 
-    A null stratum is a stratum of its own.  Labels may repeat (each counts), be null or name
-    documents that aren't there (both ignored); without labels, kept is not base_failed.
+    A null stratum is a stratum of its own, and the empty one's.  Labels may repeat (each counts), be
+    null or name documents that aren't there (both ignored); without labels, kept is not base_failed.
     """
     found = materialise(features(docs, keep=[_stratum(stratum_col)]), "quality")
     cutoffs = calibrate(found, labels, alpha, delta)
@@ -154,13 +199,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alp
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, whole texts, by cutoffs from all labels."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def _oracle() -> str:
-    cuts = [(rule, a, b, cut) for rule, (a, b, cs) in RULES.items() for cut in cs]
-    values = ", ".join(f"('{rule}', {cut})" for rule, _, _, cut in cuts)
-    exceeds = lambda t: " OR ".join(f"({t}.rule = '{rule}' AND 1000 * f.{a} > {t}.cut * f.{b})" for rule, (a, b, _) in RULES.items())
+    names = list(RULES)
+    values = ", ".join(f"({c}, {i}, {', '.join(map(str, v))})" for c, chain in enumerate(CHAINS) for i, v in enumerate(chain))
+    used = ", ".join(f"u_{r}" for r in names)
+    step = lambda r: "CASE " + " ".join(f"WHEN 1000 * {RULES[r][0]} > {cut} * {RULES[r][1]} THEN {i}" for i, cut in enumerate(RULES[r][2])) + f" ELSE {len(RULES[r][2])} END"
+    steps = ", ".join(f"{step(r)} AS s_{r}" for r in names)
+    hit = lambda t: "(" + " OR ".join(f"{t}.s_{r} < v.u_{r}" for r in names) + ")"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -174,14 +223,18 @@ f0 AS (SELECT l.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
        CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN rep ON l.doc_id = rep.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f0),
-held AS (SELECT f.* FROM f JOIN labels ON labels.doc_id = f.doc_id AND quality = 1 WHERE NOT base_failed),
-cuts(rule, cut) AS (VALUES {values}),
-counts AS (SELECT f.stratum, c.rule, c.cut, count(*) AS n, count(*) FILTER ({exceeds('c')}) AS k FROM held f CROSS JOIN cuts c GROUP BY ALL),
-looks AS (SELECT {DELTA} / (greatest(1, count(DISTINCT stratum)) * {len(cuts)}) AS level FROM held),
-certified AS (SELECT stratum, rule, min(cut) AS cut FROM counts CROSS JOIN looks
-  WHERE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - (CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1.0) END) + i * ln({ALPHA / len(RULES)}) + (n - i) * ln(1 - {ALPHA / len(RULES)})))) <= level
-  GROUP BY ALL),
-bad AS (SELECT DISTINCT f.doc_id FROM f JOIN certified c ON c.stratum = f.stratum WHERE {exceeds('c')})
+s AS (SELECT doc_id, stratum, {steps} FROM f WHERE NOT base_failed),
+held AS (SELECT s.*, quality FROM s JOIN labels ON labels.doc_id = s.doc_id AND quality IN (0, 1)),
+v(chain, step, {used}) AS (VALUES {values}),
+counts AS (SELECT stratum, chain, step, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND {hit('held')}) AS lost, count(*) FILTER (quality = 0 AND {hit('held')}) AS caught
+  FROM held CROSS JOIN v GROUP BY ALL),
+looks AS (SELECT {DELTA} / (greatest(1, count(DISTINCT stratum)) * {len(CHAINS)}) AS level FROM held),
+tested AS (SELECT counts.*, n > 0 AND
+  (CASE WHEN lost >= n THEN 1 ELSE list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END) <= level AS holds
+  FROM counts CROSS JOIN looks),
+chained AS (SELECT *, bool_and(holds) OVER (PARTITION BY stratum, chain ORDER BY step) AS so_far FROM tested),
+best AS (SELECT stratum, chain, step FROM chained WHERE so_far QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY caught DESC, lost, chain, step DESC) = 1),
+bad AS (SELECT DISTINCT s.doc_id FROM s JOIN best ON s.stratum = best.stratum JOIN v ON v.chain = best.chain AND v.step = best.step WHERE {hit('s')})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
 

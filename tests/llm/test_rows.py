@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as H  # noqa: E402
 
-from sembra.llm import common, components, decontaminate, packing, secrets, simhash, substrings, tokens, warc  # noqa: E402
+from sembra.llm import common, components, decontaminate, packing, quality, secrets, simhash, substrings, tokens, warc  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -310,3 +310,74 @@ def test_items_without_an_id(spark):
     docs = spark.createDataFrame([(1, "so: an item of seventy characters that has no identifier in the benchmark!"), (2, "with twenty-eight letters of text, and seven"), (3, "none of these")], DOCS)
     assert {r.doc_id: r["items"] for r in decontaminate.matches(docs, bench).collect()} == {1: [None], 2: [None, 4]}
     assert [r.doc_id for r in decontaminate.matches(docs, bench, keep_rows=True).collect()] == [3]
+
+
+# 9 quality
+
+
+def brute_cutoffs(rows, alpha, delta):
+    """Chains by their definition, with exact sums of binomial terms; rows are (stratum, quality, ratios by rule)."""
+    from fractions import Fraction
+    from math import comb
+
+    rules = list(quality.RULES)
+    cuts = [quality.RULES[r][2] for r in rules]
+    strata = sorted({r[0] for r in rows})
+    chosen = {}
+    for stratum in strata:
+        good, bad = ([r[2] for r in rows if r[0] == stratum and r[1] == q] for q in (1, 0))
+        n, a = len(good), Fraction(alpha).limit_denominator(1000)
+        hold = []
+        for first in range(len(rules)):
+            order = [first] * len(cuts[first]) + [r for i in range(max(map(len, cuts))) for r in range(len(rules)) if r != first and i < len(cuts[r])]
+            at = [0] * len(rules)
+            for step, r in enumerate(order):
+                at[r] += 1
+                limit = [cuts[k][u - 1] if u else None for k, u in enumerate(at)]
+                over = lambda x: any(c is not None and v > c for v, c in zip(x, limit))  # noqa: B023, E731
+                lost, caught = sum(map(over, good)), sum(map(over, bad))
+                p = sum(comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(lost + 1)) if n else 1
+                if p > Fraction(delta).limit_denominator(1000) / (len(strata) * len(rules)):
+                    break
+                hold.append((-caught, lost, first, -step, limit))
+        chosen[stratum] = min(hold)[-1] if hold else [None] * len(rules)
+    return chosen
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    """Some 3,000 labels in strata that certify different cutoffs, one that has too few, and kept by a brute-force version."""
+    rng = random.Random(12)
+    words = [prose(rng, 1) for _ in range(4000)]
+    docs, labels = [], []
+    for d in range(3300):
+        lang = "xx" if d < 1500 else "yy" if d < 3000 else "zz" if d < 3200 else None
+        own = [rng.choice(words) for _ in range(rng.randint(52, 70))]
+        quality_ = int(rng.random() < 0.8)
+        if not quality_ and rng.random() < 0.7:
+            own = [w + rng.choice("#*$%") * rng.randint(0, 2) for w in own]
+        elif not quality_:
+            own = own[:30] + own[:15] + own[30:]
+        elif lang == "yy" and rng.random() < 0.05:
+            own = [w + "#" * (rng.random() < 0.4) for w in own]
+        at = rng.randint(10, 40)
+        docs.append((d, " ".join(own[:at]) + "\n" + " ".join(own[at:]), lang))
+        labels.append((d, quality_ if rng.random() < 0.97 else None))
+    docs += [(9000, None, "xx"), (9001, "", None), (9002, docs[5][1], "xx")]
+    labels += [(77777, 1), (None, 0), (5, 1), (5, 1)]
+    ratio = {}
+    for d, t, lang in docs:
+        n, chars, symbols, dup, rep, failed = H.quality_counts(t)
+        lines = len([x for x in (t or "").split("\n") if x.strip()])
+        f = {"word_chars": chars, "n_words": n, "n_symbols": symbols, "n_lines": lines, "n_dup_lines": dup, "n_repeat_words": rep}
+        ratio[d] = (lang or "", failed, [1000 * f[a] / f[b] if f[b] else 0 for a, b, _ in quality.RULES.values()])
+    held = [(ratio[d][0], q, ratio[d][2]) for d, q in labels if q is not None and d in ratio and not ratio[d][1]]
+    cutoffs = brute_cutoffs(held, quality.ALPHA, quality.DELTA)
+    want = {d: not failed and not any(c is not None and v > c for v, c in zip(x, cutoffs[s])) for d, (s, failed, x) in ratio.items()}
+    assert cutoffs["xx"] != cutoffs["yy"] and any(cutoffs["yy"]) and not any(cutoffs["zz"]) and not any(cutoffs[""])
+    assert sum(not k and not ratio[d][1] for d, k in want.items()) > 200
+    df = spark.createDataFrame(docs, DOCS + ", lang string").repartition(4).withColumn("stratum", F.lit("x"))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert {r.doc_id: r.kept for r in quality.quality(df, lab).collect()} == want
+    kept = quality.keep_good(df, lab)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, k in want.items() if k}
+    assert quality.quality(df, lab.limit(0)).where("kept = base_failed").count() == 0
