@@ -10,26 +10,27 @@ penalty against the best single language, no labelling with changes can be bette
 stretches gains at most m/2 penalties and pays m - 1.  Such texts are settled by sums; only the others
 run through Viterbi, in lockstep.
 
-The model is fitted on at most ``max_docs`` labelled documents (expected; a hash of the id decides).
+The model is fitted on at most ``max_docs`` labelled documents (expected; a hash of the id decides),
+and has all their words that occur ``min_count`` times or more in a language, and the trigrams of all
+their words; that sample is the only bound.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table, words
+from .common import materialise, table, words
 from .tokens import slices
 
 MAX_DOCS = 20_000
-MAX_WORDS = 40_000
+MIN_COUNT = 2
 SWITCH = 12.0
 CLIP = 6.0
 WORD_CACHE = 300_000
@@ -63,46 +64,42 @@ def trimmed(chunk: str) -> str:
     return chunk[a:b].lower()
 
 
-def trigrams(word: str) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + 3] for i in range(len(w) - 2)]
-
-
 @dataclass
 class Model:
-    """Log scores relative to the mean of the languages, clipped; langs are sorted."""
+    """Log scores relative to the mean of the languages, clipped; langs are sorted.
+
+    words and grams are the rows of their score matrices, in order.
+    """
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
+    words: list[str] = field(default_factory=list)
+    word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    grams: list[str] = field(default_factory=list)
+    gram_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, counts: list[tuple[str, str, int]]) -> Model:
-        """From (lang, word, count)."""
-        langs = sorted({c[0] for c in counts})
+    def fit(cls, words: Iterable[tuple[str, str, int]], grams: Iterable[tuple[str, str, int]]) -> Model:
+        """From (lang, word, count) and (lang, trigram, count)."""
+        words, grams = list(words), list(grams)
+        langs = sorted({c[0] for c in words} | {c[0] for c in grams})
         k = len(langs)
         at = {x: i for i, x in enumerate(langs)}
-        by_word: dict[str, np.ndarray] = {}
-        by_gram: dict[str, np.ndarray] = {}
-        by_script: dict[str, np.ndarray] = {}
-        for lang, word, n in counts:
-            i = at[lang]
-            by_word.setdefault(word, np.zeros(k))[i] += n
-            for g in trigrams(word):
-                by_gram.setdefault(g, np.zeros(k))[i] += n
-            by_script.setdefault(script_of(word) or "other", np.zeros(k))[i] += n
-
-        def scores(table_: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-            if not table_:
-                return {}
-            raw = np.array(list(table_.values()))
-            p = np.log((raw + 0.5) / (raw.sum(0) + 0.5 * len(raw)))
-            p = np.clip(p - p.mean(1, keepdims=True), -CLIP, CLIP)
-            return dict(zip(table_, p.astype(np.float32)))
 
+        def scores(counts: list[tuple[str, str, int]]) -> tuple[list[str], np.ndarray]:
+            place = {x: i for i, x in enumerate(sorted({c[1] for c in counts}))}
+            raw = np.zeros((len(place), k))
+            for lang, x, n in counts:
+                raw[place[x], at[lang]] += n
+            p = np.log((raw + 0.5) / (raw.sum(0) + 0.5 * len(raw))) if len(raw) else raw
+            p = np.clip(p - p.mean(1, keepdims=True), -CLIP, CLIP) if len(raw) else raw
+            return list(place), p.astype(np.float32)
+
+        by_script: dict[str, np.ndarray] = {}
+        for lang, word, n in words:
+            by_script.setdefault(script_of(word) or "other", np.zeros(k))[at[lang]] += n
         total = sum(by_script.values()) if by_script else np.zeros(k)
-        return cls(langs, scores(by_word), scores(by_gram), {s: v >= 0.01 * np.maximum(total, 1) for s, v in by_script.items()})
+        return cls(langs, *scores(words), *scores(grams), {s: v >= 0.01 * np.maximum(total, 1) for s, v in by_script.items()})
 
     def narrowed(self, script: str, scores: np.ndarray) -> np.ndarray:
         """Scores of words of a script, with the languages not seen in it far below."""
@@ -120,12 +117,15 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         k = len(model.langs)
-        grams = list(model.grams.values())
+        zero = np.zeros((1, k), np.float32)
         self.gram_at = {g: i + 1 for i, g in enumerate(model.grams)}
-        self.gram_rows = np.array([np.zeros(k), *grams], np.float32)
+        self.gram_rows = np.concatenate([zero, model.gram_scores]) if len(model.grams) else zero
         self.word_at = {w: i + 1 for i, w in enumerate(model.words)}
-        own = [model.narrowed(script_of(w) or "other", row) for w, row in model.words.items()]
-        self.own = np.array([np.zeros(k), *own], np.float32)
+        self.own = np.concatenate([zero, model.word_scores]) if len(model.words) else zero
+        kinds = [script_of(w) or "other" for w in model.words]
+        for script in set(kinds):
+            rows = np.array([i + 1 for i, x in enumerate(kinds) if x == script])
+            self.own[rows] = model.narrowed(script, self.own[rows])
         self.clear()
 
     def clear(self) -> None:
@@ -248,9 +248,13 @@ def label(scorer: Scorer, texts: list[str | None], switch: float = SWITCH) -> li
     return out
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
-    """A model of the rows with a lang and a text: about ``max_docs`` of them, and per language the
-    ``max_words`` most frequent words, which is what comes to the driver."""
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_docs: int = MAX_DOCS, min_count: int = MIN_COUNT) -> Model:
+    """A model of the rows with a lang and a text: about ``max_docs`` of them.
+
+    What comes to the driver is bounded by them: words that occur ``min_count`` times or more in a
+    language, and the trigrams of all words.  Repeated rows count as often as they are there; no
+    rows, or none with a word, give a model without languages.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.select(lang_col).count()
     if n > max_docs:
@@ -258,16 +262,20 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     rows = rows.select(F.col(lang_col).alias("lang"), F.explode(words(F.col(text_col))).alias("chunk"))
     word = F.regexp_replace(F.lower("chunk"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     counts = rows.select("lang", word.alias("word")).where(F.rlike("word", F.lit(r"\p{L}"))).groupBy("lang", "word").count()
-    top = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    found = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words).select("lang", "word", "count")
-    return Model.fit([(r[0], r[1], r[2]) for r in found.collect()])
+    counts = materialise(counts, "language-words")
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(padded, i, F.lit(3)))
+    grams = counts.select("lang", F.explode(grams).alias("gram"), "count").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
+    words_ = counts.where(F.col("count") >= min_count).select("lang", "word", "count")
+    return Model.fit(map(tuple, words_.collect()), map(tuple, grams.collect()))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[Column] = (), text_col: str = "text", switch: float = SWITCH, with_spans: bool = False) -> DataFrame:
     """Adds lang_pred, score (and spans: first word, past the last, lang) to the columns keep.
 
     lang_pred is the language of most words with a letter (ties: the first by name); score their
-    share.  A text that is null or has no letter, or an empty model: ``und`` and 0.
+    share.  A text that is null or has no letter, or an empty model: ``und`` and 0.  Repeated rows and
+    null ids stay; a very long text is labelled as a whole; an empty table gives no rows.
     """
     base = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = StructType(base.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
@@ -300,6 +308,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, whole texts, by a model of the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return identify(docs, model, [F.col("doc_id"), held_out().alias("held_out")])

@@ -387,11 +387,12 @@ def test_viterbi_is_best():
     value = lambda s, p, c: sum(s[t, p[t]] for t in range(len(p))) - c * sum(a != b for a, b in zip(p, p[1:]))
     best = lambda s, c: max(value(s, p, c) for p in itertools.product(range(s.shape[1]), repeat=len(s)))
     names = [f"x{chr(97 + i)}" for i in range(20)]
-    model = language.Model(["a", "b", "c"], {w: np.array(rng.normal(size=3) * 3, np.float32) for w in names})
+    model = language.Model(["a", "b", "c"], names, np.array(rng.normal(size=(20, 3)) * 3, np.float32))
+    rows = dict(zip(names, model.word_scores))
     scorer = language.Scorer(model)
     texts = [" ".join(rng.choice(names, rng.integers(1, 9))) for _ in range(150)]
     for t, (spans, counts) in zip(texts, language.label(scorer, texts, 5.0)):
-        s = np.array([model.words[w] for w in t.split()], dtype=float)
+        s = np.array([rows[w] for w in t.split()], dtype=float)
         p = [k for a, b, k in spans for _ in range(b - a)]
         assert abs(value(s, p, 5.0) - best(s, 5.0)) < 1e-4 and sum(counts) == len(p)
 

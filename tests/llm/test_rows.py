@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as H  # noqa: E402
 
-from sembra.llm import common, components, decontaminate, packing, quality, secrets, simhash, substrings, tokens, warc  # noqa: E402
+from sembra.llm import common, components, decontaminate, language, packing, quality, secrets, simhash, substrings, tokens, warc  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -381,3 +381,90 @@ def test_quality_verdicts_against_brute_force(spark):
     kept = quality.keep_good(df, lab)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, k in want.items() if k}
     assert quality.quality(df, lab.limit(0)).where("kept = base_failed").count() == 0
+
+
+# 7 language
+
+
+def brute_model(rows, min_count):
+    """langs, word scores, trigram scores and scripts of (lang, text), by their definition."""
+    import math
+    from collections import Counter
+
+    words = Counter((lang, w) for lang, t in rows for w in (re.sub(r"^[^\w]+|[^\w]+$", "", x.lower()) for x in t.split()) if re.search(r"[^\W\d_]", w))
+    grams = Counter()
+    for (lang, w), n in words.items():
+        p = f" {w} "
+        for i in range(len(p) - 2):
+            grams[lang, p[i : i + 3]] += n
+    langs = sorted({lang for lang, _ in words})
+    words = {k: n for k, n in words.items() if n >= min_count}
+
+    def scores(counts):
+        things = sorted({x for _, x in counts})
+        total = {lang: sum(n for (g, _), n in counts.items() if g == lang) for lang in langs}
+        out = {}
+        for x in things:
+            row = [math.log((counts.get((lang, x), 0) + 0.5) / (total[lang] + 0.5 * len(things))) for lang in langs]
+            out[x] = [max(-language.CLIP, min(language.CLIP, v - sum(row) / len(row))) for v in row]
+        return out
+
+    return langs, scores(words), scores(grams)
+
+
+def brute_language(model, text, switch):
+    """(lang, share) by Viterbi over all words, without shortcuts."""
+    langs, words, grams = model
+    rows = []
+    for chunk in (text or "").split():
+        w = re.sub(r"^\W+|\W+$", "", chunk.lower())
+        if re.search(r"[^\W\d_]", w):
+            p = f" {w} "
+            some = [grams.get(p[i : i + 3], [0] * len(langs)) for i in range(len(p) - 2)]
+            rows.append(words.get(w) or [max(-language.CLIP, min(language.CLIP, sum(g[j] for g in some) / 2)) for j in range(len(langs))])
+    if not rows:
+        return "und", 0.0
+    best, back = rows[0][:], []
+    for r in rows[1:]:
+        top = max(range(len(langs)), key=lambda j: (best[j], -j))
+        came = [j if best[j] >= best[top] - switch else top for j in range(len(langs))]
+        best = [best[c] - (switch if c != j else 0) + r[j] for j, c in enumerate(came)]
+        back.append(came)
+    at = max(range(len(langs)), key=lambda j: (best[j], -j))
+    count = [0] * len(langs)
+    count[at] += 1
+    for came in reversed(back):
+        at = came[at]
+        count[at] += 1
+    got = max(range(len(langs)), key=lambda j: (count[j], -j))
+    return langs[got], count[got] / len(rows)
+
+
+def test_language_against_brute_force(spark, sf):
+    """fit, lang_pred and score of single and mixed texts, nulls, repeated rows and unknown words."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 4000").orderBy("doc_id").limit(60)
+    rows = docs.collect()
+    train = [(r.lang, r.text) for r in rows if r.doc_id % 2]
+    model = language.fit(docs.where("doc_id % 2 = 1"))
+    langs, words, grams = brute_model(train, language.MIN_COUNT)
+    assert model.langs == langs and set(model.words) == set(words) and set(model.grams) == set(grams)
+    assert np.allclose(model.word_scores, [words[w] for w in model.words], atol=1e-5) and np.allclose(model.gram_scores, [grams[g] for g in model.grams], atol=1e-5)
+    rng = random.Random(3)
+    texts = [r.text for r in rows] + [None, "", "123 !?", "zzq, xkcd"] + [rows[3].text] * 2
+    texts += [" ".join(w for _ in range(3) for w in rng.choice(rows).text.split()[: rng.randint(5, 60)]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("lang", F.lit("x")).repartition(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, model, [F.col("doc_id")]).collect()}
+    for i, t in enumerate(texts):
+        lang, share = brute_language((langs, words, grams), t, language.SWITCH)
+        assert got[i][0] == lang and abs(got[i][1] - share) < 1e-9, (i, got[i], lang, share)
+    assert any(0 < s < 1 for _, s in got.values())
+    assert language.identify(df.limit(0), model, [F.col("doc_id")]).count() == 0
+
+
+def test_scripts_narrow_the_candidates(spark):
+    """A script seen in one language only leaves that language, whatever the trigrams say."""
+    rows = [("ru", "привет мир дом вода хлеб " * 4), ("el", "καλημέρα κόσμε νερό ψωμί " * 4), ("en", "hello world house water bread " * 4)]
+    model = language.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    df = spark.createDataFrame([(1, "ъъъ ыыы ээээ"), (2, "ωωω ξξξ"), (3, "qqq jjj"), (4, "привет κόσμε κόσμε")], DOCS)
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, model, [F.col("doc_id")]).collect()}
+    assert got == {1: "ru", 2: "el", 3: "en", 4: "el"}
