@@ -12,6 +12,8 @@ matches, with the spellings of two words replaced in the joined text.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,23 @@ KNOWN += [
     for what in ("program", "library")
     for end in (_ADDRESS, _OLD_ADDRESS, ". If not, see <http://www.gnu.org/licenses/>.", ". If not, see <https://www.gnu.org/licenses/>.", ".")
 ]
+_MIT_LINES = _MIT.split("\n")
+_MIT_0 = _MIT_LINES[0].removesuffix(", subject to the following conditions:") + ".\n" + _MIT_LINES[2]
+KNOWN += [("MIT-0", title + _MIT_0) for title in ("", "MIT No Attribution\n")]
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in license_texts: as they are, without the title, and with either kind of address."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        rest = text.split("\n", 1)[1]
+        for t in (text, rest):
+            out += [(file.name.removesuffix(".txt"), x) for x in dict.fromkeys((t, t.replace("http://", "https://"), t.replace("https://", "http://")))]
+    return out
+
+
+KNOWN += license_texts()
 #: Known texts up to this size are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 4 << 20
 
@@ -129,7 +148,8 @@ def licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str
     null.  notices: the licences whose known text is one line of the document, each once, in order,
     comma-joined (empty: none); n_notices counts such lines.  A null or empty text has the digest of
     the empty text and no licence; an empty known text matches nothing.  Repeated rows and null ids
-    stay.
+    stay; a very long text is digested as a whole; an empty table gives no rows; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     digests = known_digests(spark, [(n, t) for n, t in known if t.strip()], DIGESTS if known is KNOWN else ())
@@ -147,6 +167,7 @@ def licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, and the licences that its lines name; whole texts."""
     return licenses(table(spark, sf_dir, "documents"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as H  # noqa: E402
 
-from sembra.llm import common, components, decontaminate, language, packing, quality, secrets, simhash, substrings, tokens, warc  # noqa: E402
+from sembra.llm import common, components, decontaminate, language, license_digests, licenses, packing, quality, secrets, simhash, substrings, tokens, warc  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -468,3 +468,31 @@ def test_scripts_narrow_the_candidates(spark):
     df = spark.createDataFrame([(1, "ъъъ ыыы ээээ"), (2, "ωωω ξξξ"), (3, "qqq jjj"), (4, "привет κόσμε κόσμε")], DOCS)
     got = {r.doc_id: r.lang_pred for r in language.identify(df, model, [F.col("doc_id")]).collect()}
     assert got == {1: "ru", 2: "el", 3: "en", 4: "el"}
+
+
+# 8 licences
+
+
+def test_respelled_copies_of_all_licences(spark):
+    """Each whole text of the table, wrapped anew, in other case, punctuation and spelling, with copyright lines; and changed ones."""
+    import textwrap
+
+    rng = random.Random(7)
+    respelled = [("license", "licence"), ("authoriz", "authoris"), ("favor", "favour"), ("judgment", "judgement"), ("organization", "organisation")]
+    rows, want = [], {}
+    for name, text in licenses.KNOWN:
+        if len(text) < 300:
+            continue
+        body = text
+        for a, b in respelled:
+            body = re.sub(a, lambda m, b=b: b if m[0].islower() else b.upper() if m[0].isupper() else b.capitalize(), body, flags=re.IGNORECASE)  # noqa: B023
+        keep = [p if re.match(r"\s*(copyright|\(c\)|©)", p, re.IGNORECASE) else textwrap.fill(p, rng.choice([60, 72, 100])).replace('"', "''").replace(",", " ;") for p in body.split("\n")]
+        rows.append((len(rows), f"Copyright (c) {rng.randint(1990, 2024)} The Authors\nAll rights reserved.\n\n" + "\n\n".join(keep)))
+        want[len(rows) - 1] = name
+        rows.append((len(rows), text + "\nand one more condition"))
+        want[len(rows) - 1] = None
+    assert len({n for n in want.values() if n} | set(license_digests.FILES)) >= 28
+    got = {r.doc_id: r.license for r in licenses.licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+    empty = licenses.licenses(spark.createDataFrame([(1, "x " * 400_000 + "\n"), (1, None)], DOCS).withColumn("license", F.lit(1)))
+    assert empty.count() == 2 and empty.where("license IS NOT NULL").count() == 0
