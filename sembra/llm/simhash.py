@@ -85,7 +85,8 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     differ = F.col("a").bitwiseXOR(F.col("b"))
     low = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF)))
     near = (differ != 0) & (F.bit_count(differ) <= max_distance) & F.when(F.col("half") == 0, low <= 1).otherwise(low > 1)
-    return home.join(far, "anchor").where(near).select("a", "b")
+    # by its size on disk Spark would broadcast a small side here, which is 34 rows a fingerprint in memory
+    return home.join(far.hint("merge"), "anchor").where(near).select("a", "b")
 
 
 def _rooted(prints: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame]:
