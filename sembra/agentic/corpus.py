@@ -16,7 +16,10 @@ from ..storage import materialise, with_position
 from .loop import Tool, run_agent
 
 OPS = ("map", "filter", "reduce")
+#: per_unit: one agent a unit; batched: one a shard, which answers for each unit; shared_context: one a unit, which
+#: also sees a digest of the whole corpus (or the context that is given).
 STRATEGIES = ("per_unit", "batched", "shared_context")
+DIGEST_UNITS, DIGEST_CHARS = 20, 200
 SYSTEM = {
     "map": "Work on the unit below as the instruction says and reply with the result.",
     "filter": "Decide if the unit below is kept. End with VERDICT: KEEP or VERDICT: DROP.",
@@ -109,6 +112,11 @@ class Corpus:
     def sample(self, n: int = 3) -> Corpus:
         return Corpus(self.units.orderBy("ord").limit(n))
 
+    def digest(self, n: int = DIGEST_UNITS, chars: int = DIGEST_CHARS) -> str:
+        """Background for agents that see one unit: how many there are, and how the first ones begin."""
+        shown = self.units.orderBy("ord").limit(n).select("id", F.substring("content", 1, chars).alias("content")).collect()
+        return "\n".join([f"The unit is one of {self.units.count()}.", *(f"[{r.id}] {r.content}" for r in shown)])
+
     def shards(self, size: int = 1) -> DataFrame:
         """Units with column shard: consecutive places by size."""
         places = with_position(self.units.select("ord", "id"), ["ord", "id"], "_place")
@@ -119,7 +127,10 @@ class Corpus:
         plan = plan or derive_plan(task, ops, lm)
         at, findings, output = self, None, None
         for op in plan.ops:
-            run = {"plan": plan, "complete": complete, "tools": list(tools), "context": (contexts or {}).get(op), "max_steps": max_steps}
+            context = (contexts or {}).get(op)
+            if context is None and op != "reduce" and plan.strategies.get(op) == "shared_context":
+                context = at.digest()
+            run = {"plan": plan, "complete": complete, "tools": list(tools), "context": context, "max_steps": max_steps}
             if op == "reduce":
                 source = findings if findings is not None else at.units
                 output = reduce_findings(source, plan.instructions[op], complete, list(tools), max_steps, reduce_budget)
@@ -171,10 +182,15 @@ def reduce_findings(findings: DataFrame, instruction: str, complete: Callable, t
     while True:
         level = materialise(level, "findings")
         places = with_position(level.select("ord", "id", (F.length("content") + 20).alias("n")), ["ord", "id"])
-        # sizes add up within a block of places, so that no task sees all of them
-        block = F.floor(F.col("_pos") / BLOCK)
+        # sizes add up within a block of places, so that no task sees all of them, and go on from the sum of the blocks before
+        places = places.withColumn("_block", F.floor(F.col("_pos") / BLOCK))
+        before_, at = [], 0
+        for r in places.groupBy("_block").agg(F.sum("n").alias("n")).orderBy("_block").collect():
+            before_.append((r._block, at))
+            at += r.n
+        offsets = F.broadcast(level.sparkSession.createDataFrame(before_ or [(0, 0)], "_block long, _before long"))
         size = F.sum("n").over(Window.partitionBy("_block").orderBy("_pos"))
-        packs = places.withColumn("_block", block).withColumn("pack", F.struct("_block", F.floor((size - F.col("n")) / budget).alias("p")))
+        packs = places.join(offsets, "_block").withColumn("pack", F.floor((F.col("_before") + size - F.col("n")) / budget))
         packs = level.join(packs.select("ord", "id", "_pos", "pack"), ["ord", "id"])
         lines = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "content"))), lambda x: x["content"])
         packed = packs.groupBy("pack").agg(F.min("_pos").alias("first"), lines.alias("lines"))

@@ -36,6 +36,10 @@ class Usage:
     tokens_in: int = 0
     tokens_out: int = 0
     cost: float = 0.0
+    virtual_tokens_in: int = 0  # what no log and no shared prompts would have taken; counted with count_rows
+    virtual_tokens_out: int = 0
+    virtual_cost: float = 0.0
+    operator_cache_hits: int = 0
 
     @property
     def cache_hits(self) -> int:
@@ -61,6 +65,11 @@ class Limits:
 PRICES: dict[str, tuple[float, float]] = {}
 
 
+def set_price(model: str, per_million_in: float, per_million_out: float) -> None:
+    """The price of a model; prices change, so none are kept here."""
+    PRICES[model] = (per_million_in, per_million_out)
+
+
 def cost_of(model: str, tokens_in: int, tokens_out: int) -> float:
     a, b = PRICES.get(model, (0.0, 0.0))
     return (a * tokens_in + b * tokens_out) / 1e6
@@ -79,6 +88,42 @@ class Tokenizer:
         return len(text.split())
 
 
+class FileTokenizer(Tokenizer):
+    """A vocabulary file of the tokenizers library (.json), sentencepiece (.model) or tiktoken; loaded where it is used."""
+
+    def __init__(self, path: str):
+        self.path, self._lib = path, None
+
+    def __getstate__(self):
+        return {"path": self.path, "_lib": None}
+
+    @property
+    def lib(self):
+        if self._lib is None:
+            if self.path.endswith(".model"):
+                import sentencepiece
+
+                self._lib = sentencepiece.SentencePieceProcessor(model_file=self.path)
+            else:
+                from tokenizers import Tokenizer as Lib
+
+                self._lib = Lib.from_file(self.path)
+        return self._lib
+
+    def encode(self, text: str) -> list[int]:
+        return self.lib.encode(text) if self.path.endswith(".model") else self.lib.encode(text, add_special_tokens=False).ids
+
+    def decode(self, tokens: list[int]) -> str:
+        if not self.path.endswith(".model") and self.lib.decoder is None:  # a file without a decoder: pieces, words by their end marks
+            pieces = [self.lib.id_to_token(t) or "" for t in tokens]
+            ends = any(p.endswith("</w>") for p in pieces)
+            return "".join(p.replace("</w>", " ") for p in pieces).strip() if ends else "".join(pieces)
+        return self.lib.decode(list(tokens))
+
+    def count(self, text: str) -> int:
+        return len(self.encode(text))
+
+
 @dataclass
 class Backend:
     """Answers batches of chats; made on the driver, used in the workers, so it must pickle."""
@@ -216,6 +261,52 @@ class HashEmbedder(Embedder):
         return out / np.where(norm == 0, 1, norm)
 
 
+class FixedEmbedder(Embedder):
+    """Vectors known beforehand, by text; an unknown text raises."""
+
+    def __init__(self, vectors: dict[str, list[float]]):
+        self.vectors = {k: np.asarray(v, dtype=float) for k, v in vectors.items()}
+        self.dim = len(next(iter(self.vectors.values()))) if vectors else 0
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return np.stack([self.vectors[t] for t in texts]) if texts else np.zeros((0, self.dim))
+
+
+class HttpEmbedder(Embedder):
+    """An embeddings endpoint over HTTP ({"model", "input"} to {"data": [{"index", "embedding"}]}); texts over the limit are cut."""
+
+    def __init__(self, url: str, model: str, key: str = "", dim: int = 0, max_batch: int = 64, max_chars: int = 30_000, timeout: float = 120.0):
+        self.url, self.model, self.key, self.dim, self.max_batch, self.max_chars, self.timeout = url, model, key, dim, max_batch, max_chars, timeout
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = [self._some(texts[i : i + self.max_batch]) for i in range(0, len(texts), self.max_batch)]
+        return np.concatenate(out) if out else np.zeros((0, self.dim))
+
+    def _some(self, texts: list[str]) -> np.ndarray:
+        from urllib.request import Request, urlopen
+
+        body = json.dumps({"model": self.model, "input": [t[: self.max_chars] or " " for t in texts]}).encode()
+        got = json.loads(urlopen(Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}), timeout=self.timeout).read())
+        return np.array([d["embedding"] for d in sorted(got["data"], key=lambda d: d["index"])], dtype=float)
+
+
+class SentenceEmbedder(Embedder):
+    """A model of the sentence_transformers library, where that is installed; loaded in each worker once."""
+
+    def __init__(self, name: str, normalise: bool = True, max_batch: int = 64):
+        self.name, self.normalise, self.max_batch, self._model = name, normalise, max_batch, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_model": None}
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if self._model is None:
+            from sentence_transformers import SentenceTransformer
+
+            self._model = SentenceTransformer(self.name)
+        return np.asarray(self._model.encode(texts, batch_size=self.max_batch, normalize_embeddings=self.normalise), dtype=float)
+
+
 class Reranker:
     """Scores of texts for a query; the rule here is the share of the query's words."""
 

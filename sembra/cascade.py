@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class CascadeArgs:
-    """Targets and sampling of a cascade; ``fixed`` = (pos, neg) skips learning."""
+    """Targets and sampling of a cascade; ``fixed`` = (pos, neg) skips learning.
+
+    ``calibrated``: a helper's probabilities are replaced by their place among ``quantiles`` quantiles
+    of all rows (thresholds are in that scale then).  ``helper_instruction`` is what a helper is asked
+    instead, ``map_instruction`` what map_search_filter maps with.
+    """
 
     recall_target: float = 0.8
     precision_target: float = 0.8
@@ -25,6 +30,9 @@ class CascadeArgs:
     proxy: str = "helper"
     fixed: tuple[float, float] | None = None
     plan: str | None = None
+    calibrated: bool = True
+    helper_instruction: str | None = None
+    map_instruction: str | None = None
 
     def __post_init__(self):
         for name in ("recall_target", "precision_target", "sampling_percentage", "failure_probability", "is_weight"):
@@ -35,6 +43,15 @@ class CascadeArgs:
         if self.proxy not in ("helper", "embedding"):
             raise ValueError("the proxy is helper or embedding")
 
+    def document(self) -> dict:
+        """As plain values, for plan documents."""
+        return {"__cascade__": asdict(self)}
+
+    @classmethod
+    def of(cls, doc: dict) -> CascadeArgs:
+        args = dict(doc["__cascade__"])
+        return cls(**args | {"fixed": tuple(args["fixed"]) if args.get("fixed") else None})
+
     def swapped(self) -> CascadeArgs:
         """For the opposite claim: thresholds mirror and change places."""
         return self if self.fixed is None else replace(self, fixed=(1 - self.fixed[1], 1 - self.fixed[0]))
@@ -47,71 +64,67 @@ class Drawn:
     times: int
 
 
-def calibrate(scores: np.ndarray, quantiles: int = 50) -> np.ndarray:
-    """Scores to the share of quantile edges that they pass."""
-    edges = np.percentile(scores, np.linspace(0, 100, quantiles + 1))
-    return np.clip((np.digitize(scores, edges) - 1) / quantiles, 0, 1)
-
-
-def importance_sample(scores: np.ndarray, args: CascadeArgs) -> tuple[np.ndarray, np.ndarray]:
-    """(positions drawn with replacement, correction factors of all positions); at least one is drawn."""
-    n = len(scores)
-    root = np.sqrt(np.clip(scores, 0, 1))
-    w = args.is_weight * (root / root.sum() if root.sum() > 0 else np.full(n, 1 / n)) + (1 - args.is_weight) / n
-    w = w / w.sum()
-    near = min(args.max_sample_range, n)
-    p = w[:near] / w[:near].sum()
-    drawn = np.random.default_rng(args.seed).choice(near, size=max(1, int(args.sampling_percentage * n)) if n < 100_000 else max(1, int(args.sampling_percentage * 100_000)), p=p)
-    return drawn, (1 / n) / w
+def calibrate(scored: DataFrame, quantiles: int = 50) -> DataFrame:
+    """Scores to the share of quantile edges that they reach; the edges (to one row in ten thousand) are a bounded list."""
+    edges = scored.agg(F.percentile_approx("__sembra_score", [i / quantiles for i in range(quantiles + 1)], 10_000)).first()[0]
+    if not edges:
+        return scored
+    reached = F.size(F.filter(F.lit([float(e) for e in edges]), lambda e: e <= F.col("__sembra_score")))
+    return scored.withColumn("__sembra_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (reached - 1) / F.lit(float(quantiles)))))
 
 
-def sample_ids(scored: DataFrame, args: CascadeArgs) -> dict[int, Drawn]:
-    """Ids drawn among the ``max_sample_range`` highest scores, with score, correction and times drawn.
+def draw(top: list[tuple], n: int, total: float, args: CascadeArgs) -> dict:
+    """Drawn by id: of ``top``, the ids and scores of the highest, drawn with replacement by importance.
 
-    Weights take the sums over all rows from one aggregate; only the range comes to the driver.
+    n rows are there, and ``total`` is the sum of the roots of all scores.  As many rows are drawn as
+    ``sampling_percentage`` of n says, all at once (one multinomial), so that no number is too large.
     """
-    n, total = scored.agg(F.count("*"), F.sum(F.sqrt("_score"))).first()
-    top = scored.select("_id", "_score").orderBy(F.desc("_score"), "_id").limit(args.max_sample_range).collect()
     if not top:
         return {}
     s = np.array([r[1] for r in top])
     w = args.is_weight * (np.sqrt(s) / total if total else np.full(len(s), 1 / n)) + (1 - args.is_weight) / n
-    size = max(1, min(int(args.sampling_percentage * n), 50 * args.max_sample_range))
-    drawn = np.random.default_rng(args.seed).choice(len(s), size=size, p=w / w.sum())
-    out: dict[int, Drawn] = {}
-    for i in drawn.tolist():
-        d = out.setdefault(top[i][0], Drawn(float(s[i]), float(1 / n / w[i]), 0))
-        d.times += 1
-    return out
+    times = np.random.default_rng(args.seed).multinomial(max(1, int(args.sampling_percentage * n)), w / w.sum())
+    return {top[i][0]: Drawn(float(s[i]), float(1 / n / w[i]), int(times[i])) for i in np.flatnonzero(times)}
+
+
+def sample_ids(scored: DataFrame, args: CascadeArgs) -> dict[int, Drawn]:
+    """Ids drawn among the ``max_sample_range`` highest scores; the sums over all rows are one aggregate."""
+    n, total = scored.agg(F.count("*"), F.sum(F.sqrt("__sembra_score"))).first()
+    top = scored.select("__sembra_id", "__sembra_score").orderBy(F.desc("__sembra_score"), "__sembra_id").limit(args.max_sample_range).collect()
+    return draw([tuple(r) for r in top], n, total, args)
 
 
-def learn(sample: list[tuple[float, bool, float]], args: CascadeArgs) -> tuple[float, float]:
-    """(pos, neg) thresholds from (score, truth, correction), by one-sided bounds on the sample.
+def learn(sample: list[tuple], args: CascadeArgs) -> tuple[float, float]:
+    """(pos, neg) thresholds from (score, truth, correction, times drawn: once if left out), by one-sided bounds.
 
     The term of recall for rows that the proxy accepts is not corrected, as in the method followed.
     """
     if not sample:
         return 1.0, 0.0
-    x, y, c = (np.array(v, dtype=float) for v in zip(*sorted(sample, key=lambda t: -t[0])))
-    s = len(x)
+    x, y, c, t = (np.array(v, dtype=float) for v in zip(*sorted(((*r, 1)[:4] for r in sample), key=lambda r: -r[0])))
+    s = t.sum()
     slack = lambda std, n, delta: std / np.sqrt(n) * np.sqrt(2 * np.log(1 / delta))
-    moments = lambda z: (z.mean(), z.std()) if len(z) else (0.0, 0.0)
-    truth = (y * c).sum()
+
+    def moments(z: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+        mean = (z * w).sum() / w.sum() if len(z) else 0.0
+        return mean, np.sqrt(((z - mean) ** 2 * w).sum() / w.sum()) if len(z) else 0.0
+
+    truth = (y * c * t).sum()
 
     def neg_for(target: float) -> float:
         if truth <= 0:
             return max((v for v in x if target <= 0), default=0.0)
-        reach = [v for v in x if (y[x >= 1.0].sum() + (y * c)[(x < 1.0) & (x > v)].sum()) / truth >= target]
+        reach = [v for v in x if ((y * t)[x >= 1.0].sum() + (y * c * t)[(x < 1.0) & (x > v)].sum()) / truth >= target]
         return float(max(reach, default=0.0))
 
     neg = neg_for(args.recall_target)
-    (m1, s1), (m2, s2) = moments((y * c)[x >= neg]), moments((y * c)[x < neg])
+    (m1, s1), (m2, s2) = moments((y * c)[x >= neg], t[x >= neg]), moments((y * c)[x < neg], t[x < neg])
     upper, lower = m1 + slack(s1, s, args.failure_probability / 2), m2 - slack(s2, s, args.failure_probability / 2)
     target = 1.0 if upper + lower == 0 else min(1.0, upper / (upper + lower))
     neg = neg_for(target)
     able = [1.0]
     for v in x:
-        z = y[x >= v]
-        if z.mean() - slack(z.std(), len(z), args.failure_probability / s) > args.precision_target:
+        m, std = moments(y[x >= v], t[x >= v])
+        if m - slack(std, t[x >= v].sum(), args.failure_probability / s) > args.precision_target:
             able.append(float(v))
     return max(neg, min(able)), neg

@@ -4,26 +4,26 @@ from __future__ import annotations
 
 import os
 import sqlite3
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rules
-from .agentic.corpus import Corpus
+from .agentic.corpus import Corpus, derive_plan
 from .cascade import CascadeArgs
 from .engine import Engine
 from .functions import context
+from .functions.prompts import Strategy, row_prompt
 from .functions.serialize import row_text
 from .operators.aggregation import sem_agg, sem_partition_by
 from .operators.joins import sem_join
 from .operators.ranking import sem_topk
 from .operators.rowwise import llm_as_judge, pairwise_judge, sem_extract, sem_filter, sem_map
-from .operators.vectors import sem_cluster_by, sem_dedup, sem_search, sem_sim_join
-from .plans.lazy import LazyFrame
+from .operators.vectors import TableStore, embed_column, load_sem_index, sem_cluster_by, sem_dedup, sem_index, sem_search, sem_sim_join
+from .plans.lazy import LazyFrame, function, register_udaf, register_udtf
 from .sources.connect import load_files, load_from_db
 from .sources.web import extract_html
-from .streaming.windows import read_stream, run_available, sessions, tumbling
+from .streaming.windows import read_stream, run_available, sem_stream, sessions, tumbling
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,13 +107,13 @@ def q_join_cascade(spark, d):
 
 @query(f"SELECT p_partkey FROM part WHERE CASE WHEN p_size / 50 >= 0.8 THEN true WHEN p_size / 50 <= 0.2 THEN false ELSE {RING} END")
 def q_filter_cascade_fixed(spark, d):
-    args = CascadeArgs(fixed=(0.8, 0.2))
+    args = CascadeArgs(fixed=(0.8, 0.2), calibrated=False)
     return sem_filter(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_size"), "{p_name} of size {p_size} is big or a ring", cascade=args).select("p_partkey")
 
 
 @query()
 def q_filter_cascade_learned(spark, d):
-    args = CascadeArgs(recall_target=0.9, precision_target=0.9, sampling_percentage=0.5, seed=7)
+    args = CascadeArgs(recall_target=0.9, precision_target=0.9, sampling_percentage=0.5, seed=7, calibrated=False)
     return sem_filter(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_size"), "{p_name} of size {p_size} is big or a ring", cascade=args).select("p_partkey")
 
 
@@ -383,13 +383,19 @@ def q_sessions(spark, d):
     return sessions(_t(spark, d, "events"), "ts", "30 minutes", ["user_id"], n="count(*)").select("user_id", "session_start", "n")
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="sembra-src-")
+def _database(spark: SparkSession) -> str:
+    """A path for a new SQLite file in the shared folder, which must be one that processes open as files."""
+    path = Engine(spark).shared_path("source-db")
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"a database file can't be in {path}")
+    path = path.removeprefix("file://")
+    os.makedirs(path)
+    return os.path.join(path, "t.db")
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def q_source_db(spark, d):
-    path = os.path.join(_folder(), "t.db")
+    path = _database(spark)
     con = sqlite3.connect(path)
     con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
     con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in _t(spark, d, "nation").collect()])
@@ -414,6 +420,300 @@ for _kind in ("csv", "json", "parquet", "txt"):
     _round_trip(_kind)
 
 
+# cascades that split three ways
+
+LETTERS = "list_distinct(list_filter(string_split(lower({}), ''), lambda c: c >= 'a' AND c <= 'z'))"
+
+
+def _shared(a: str, b: str) -> str:
+    return f"len(list_intersect({LETTERS.format(a)}, {LETTERS.format(b)})) / 16.0"
+
+
+def _letters(spark: SparkSession) -> Engine:
+    return _engine(spark).with_(embedder=rules.LetterEmbedder())
+
+
+PLACE = "(SELECT count(*) FROM (SELECT unnest([v[greatest(1, CAST(ceil(i / 10 * len(v)) AS BIGINT))] FOR i IN range(0, 11)]) AS e FROM (SELECT list_sort(list(p_size / 50)) AS v FROM part)) WHERE e <= p_size / 50)"
+
+
+@query(f"WITH c AS (SELECT p_partkey, p_name, least(1, greatest(0, ({PLACE} - 1) / 10)) AS score FROM part) SELECT p_partkey FROM c WHERE CASE WHEN score >= 0.8 THEN true WHEN score <= 0.2 THEN false ELSE {RING} END")
+def q_filter_cascade_calibrated(spark, d):
+    """The helper's scores by their place among quantiles of all rows; thresholds are in that scale."""
+    args = CascadeArgs(fixed=(0.8, 0.2), quantiles=10)
+    return sem_filter(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_size"), "{p_name} of size {p_size} is big or a ring", cascade=args).select("p_partkey")
+
+
+@query(f"WITH c AS (SELECT p_partkey, p_name, {_shared('p_name', repr('p_name names a ring'))} AS score FROM part) SELECT p_partkey FROM c WHERE CASE WHEN score >= 0.5 THEN true WHEN score <= 0.25 THEN false ELSE {RING} END")
+def q_filter_cascade_embedding(spark, d):
+    args = CascadeArgs(proxy="embedding", fixed=(0.5, 0.25))
+    return sem_filter(_letters(spark), _t(spark, d, "part").select("p_partkey", "p_name"), "{p_name} names a ring", cascade=args).select("p_partkey")
+
+
+PAIR_SCORE = _shared("'[P_type]: ' || p_type", "'[R_name]: ' || r_name")
+
+
+@query(f"WITH c AS (SELECT p_type, r_name, {PAIR_SCORE} AS score FROM part, region) SELECT r_name, p_type, count(*) AS n FROM c WHERE CASE WHEN score >= 0.4375 THEN true WHEN score <= 0.25 THEN false ELSE contains(r_name, substr(p_type, 1, 1)) END GROUP BY ALL")
+def q_join_cascade_three_ways(spark, d):
+    """Close pairs are joined by the proxy, far ones never leave their block, the model is asked about the others."""
+    args = CascadeArgs(proxy="embedding", fixed=(0.4375, 0.25), plan="search_filter", min_join_size=1)
+    out = sem_join(_letters(spark), _t(spark, d, "part").select("p_partkey", "p_type"), _t(spark, d, "region"), "{p_type} has a letter of {r_name}", cascade=args)
+    return out.groupBy("r_name", "p_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH c AS (SELECT p_type, r_name, {_shared('p_type', repr('[R_name]: ') + ' || r_name')} AS score FROM part, region) SELECT r_name, p_type, count(*) AS n FROM c WHERE CASE WHEN score >= 0.3125 THEN true WHEN score <= 0.0625 THEN false ELSE contains(r_name, substr(p_type, 1, 1)) END GROUP BY ALL")
+def q_join_cascade_mapped(spark, d):
+    """The left side is mapped to what would match (here its own type), then searched."""
+    args = CascadeArgs(proxy="embedding", fixed=(0.3125, 0.0625), plan="map_search_filter", min_join_size=1)
+    out = sem_join(_letters(spark), _t(spark, d, "part").select("p_partkey", "p_type"), _t(spark, d, "region"), "{p_type} has a letter of {r_name}", cascade=args)
+    return out.groupBy("r_name", "p_type").agg(F.count("*").alias("n"))
+
+
+@query(TOP.format(key="n_nationkey", by="n_nationkey", table="nation", k=6))
+def q_topk_cascade_unsure(spark, d):
+    """The helper is wrong about close keys and says that it is unsure, so only the large model gives this order."""
+    return sem_topk(_engine(spark), _t(spark, d, "nation"), "{n_nationkey}: the nation key is bigger", 6, "quick", "n_nationkey", cascade_threshold=0.9, rank_col="rank").select("n_nationkey", "rank")
+
+
+@query(TOP.format(key="n_nationkey", by="n_nationkey", table="nation", k=4))
+def q_topk_heap_nations(spark, d):
+    return sem_topk(_engine(spark), _t(spark, d, "nation"), "{n_nationkey}: the nation key is larger", 4, "heap", "n_nationkey", rank_col="rank").select("n_nationkey", "rank")
+
+
+@query(TOP.format(key="n_nationkey", by="n_nationkey", table="nation", k=5))
+def q_topk_quick_sem(spark, d):
+    """From a first order that is given (here of the name's length), pivots by that order."""
+    nation = _t(spark, d, "nation")
+    order = nation.select("n_nationkey", F.length("n_name").cast("double"))
+    return sem_topk(_engine(spark), nation, "{n_nationkey}: the nation key is larger", 5, "quick-sem", "n_nationkey", sem_order=order, rank_col="rank").select("n_nationkey", "rank")
+
+
+# indexes, search, reranking
+
+SOUGHT = "Algeria and Brazil"
+
+
+@query(f"SELECT n_nationkey, {_shared('n_name', repr(SOUGHT))} AS score FROM nation ORDER BY score DESC, n_nationkey LIMIT 5")
+def q_index_search(spark, d):
+    """An index that is written, loaded by id and searched by text."""
+    engine, nation = _letters(spark), _t(spark, d, "nation")
+    path = engine.shared_path("index")
+    sem_index(engine, nation, "n_name", path, "n_nationkey")
+    found = sem_search(engine, load_sem_index(engine, nation, path, "n_nationkey"), SOUGHT, 5, id_col="n_nationkey", return_scores=True)
+    return found.select("n_nationkey", F.col("vec_scores_sim_score").alias("score"))
+
+
+@query("SELECT p_partkey FROM part ORDER BY CAST(regexp_matches(p_name, '\\bring\\b') AS INT) + CAST(regexp_matches(p_name, '\\bgold\\b') AS INT) DESC, " + _shared("p_name", "'gold ring'") + " DESC, p_partkey LIMIT 15")
+def q_rerank(spark, d):
+    """Every row is reranked; equal scores by similarity, then id."""
+    engine = _letters(spark)
+    part = embed_column(engine, _t(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+    return sem_search(engine, part, "gold ring", id_col="p_partkey", n_rerank=15, text_col="p_name").select("p_partkey")
+
+
+@query(f"SELECT l, r, round(s, 6) AS score FROM ({PAIRS}) WHERE l % 50 = 0 QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, r) <= 4")
+def q_store_search(spark, d):
+    """A vector store by cells; with all cells probed the result is exact."""
+    store = TableStore(spark, cells=6, probes=6)
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    store.index(vectors, _engine(spark).shared_path("store"))
+    return store.search(vectors.where("id % 50 = 0"), 4).select(F.col("lid").alias("l"), F.col("rid").alias("r"), F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT l, r, round(s, 6) AS score FROM ({PAIRS}) WHERE l < 20 AND r % 7 = 0 QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, r) <= 2")
+def q_store_search_ids(spark, d):
+    """Search among given ids only."""
+    store = TableStore(spark)
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    store.index(vectors, _engine(spark).shared_path("store"))
+    return store.search(vectors.where("id < 20"), 2, vectors.where("id % 7 = 0")).select(F.col("lid").alias("l"), F.col("rid").alias("r"), F.round("score", 6).alias("score"))
+
+
+# reasoning, quotes, estimates, caches
+
+
+@query(f"SELECT p_partkey, {RING} AS verdict, 'read ' || p_name AS why FROM part")
+def q_filter_explained(spark, d):
+    out = sem_filter(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name"), "{p_name} names jewellery", return_all=True, strategy="zs_cot", return_explanations=True)
+    return out.select("p_partkey", F.col("_filter").alias("verdict"), F.col("explanation_filter").alias("why"))
+
+
+@query("SELECT p_partkey, lower(substr(p_type, 1, 1)) AS letter, 'It is ' || p_type || '.' AS thought FROM part")
+def q_map_thought(spark, d):
+    out = sem_map(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_type"), "Give the first letter, after a thought, of {p_type}", suffix="letter", return_explanations=True)
+    return out.select("p_partkey", "letter", F.col("explanationletter").alias("thought"))
+
+
+@query("SELECT event_id, props->>'$.k' AS k, props AS quote, 'x' AS more FROM events")
+def q_extract_quotes(spark, d):
+    out = sem_extract(_engine(spark), _t(spark, d, "events").select("event_id", "props"), ["props"], {"k": None}, extract_quotes=True, extra_col="rest")
+    return out.select("event_id", "k", F.col("k_quote").alias("quote"), F.col("rest")["more"].alias("more"))
+
+
+@query(f"SELECT p_partkey, {PAIR} AS v_0, length(p_name) || ' to ' || length(p_type) AS why FROM part")
+def q_pairwise_explained(spark, d):
+    out = pairwise_judge(_engine(spark), _t(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type", "Prefer the longer text and say why.", suffix="v", strategy="zs_cot", return_explanations=True)
+    return out.select("p_partkey", "v_0", F.col("explanationv_0").alias("why"))
+
+
+@query("SELECT count(DISTINCT p_name) AS calls FROM part WHERE p_size >= 10")
+def q_estimate(spark, d):
+    """What a filter would ask, without asking."""
+    engine, part = _engine(spark), _t(spark, d, "part").where("p_size >= 10")
+    got = engine.estimate(part, row_prompt(part, "filter", "{p_name} names a ring", "default", Strategy.DEFAULT))
+    return spark.createDataFrame([(got["calls"],)], "calls long")
+
+
+@query("SELECT 1 AS hits, count(DISTINCT p_type) AS calls, count(*) AS n FROM part")
+def q_operator_cache(spark, d):
+    """The second run of an operator on a frame of equal content is a hit and asks nothing."""
+    engine = _engine(spark).with_(use_operator_cache=True)
+    ask = "Give the first letter of {p_type}"
+    sem_map(engine, _t(spark, d, "part").select("p_partkey", "p_type"), ask)
+    again = sem_map(engine, _t(spark, d, "part").select("p_partkey", "p_type").repartition(3), ask)
+    return again.agg(F.lit(engine.usage.operator_cache_hits).alias("hits"), F.lit(engine.usage.calls).cast("long").alias("calls"), F.count("*").alias("n"))
+
+
+# serialisation, corpora
+
+
+@query("SELECT n_nationkey, '{\"N_name\":\"' || n_name || '\",\"N_regionkey\":' || n_regionkey || '}' AS doc FROM nation")
+def q_serialize_json(spark, d):
+    n = _t(spark, d, "nation")
+    return n.select("n_nationkey", row_text(n, ["n_name", "n_regionkey"], "json").alias("doc"))
+
+
+@query("SELECT n_nationkey, '<row><N_name>' || n_name || '</N_name><N_regionkey>' || n_regionkey || '</N_regionkey></row>' AS doc FROM nation")
+def q_serialize_xml(spark, d):
+    n = _t(spark, d, "nation")
+    return n.select("n_nationkey", row_text(n, ["n_name", "n_regionkey"], "xml").alias("doc"))
+
+
+@query("SELECT n_nationkey, (row_number() OVER (ORDER BY n_nationkey) - 1) // 4 AS shard FROM nation")
+def q_corpus_shards(spark, d):
+    got = Corpus.from_dataframe(_t(spark, d, "nation"), "n_nationkey", ["n_name"]).shards(4)
+    return got.select(F.col("ord").cast("int").alias("n_nationkey"), "shard")
+
+
+@query("SELECT n_nationkey, lower('n_name: ' || n_name) || ' of 25' AS finding FROM nation")
+def q_agentic_shared(spark, d):
+    """Agents that each see one unit and a digest of the corpus."""
+    plan = derive_plan("Lower-case it.", ["map"], overrides={"strategies": {"map": "shared_context"}})
+    got = Corpus.from_dataframe(_t(spark, d, "nation"), "n_nationkey", ["n_name"]).agent("Lower-case it.", rules.agent_with_background, plan=plan)
+    return got.findings.select(F.col("ord").cast("int").alias("n_nationkey"), F.col("content").alias("finding"))
+
+
+@query("SELECT n_nationkey, lower('n_name: ' || n_name) AS finding FROM nation")
+def q_agentic_batched(spark, d):
+    plan = derive_plan("Lower-case them.", ["map"], overrides={"strategies": {"map": "batched"}, "shard_size": 6})
+    got = Corpus.from_dataframe(_t(spark, d, "nation"), "n_nationkey", ["n_name"]).agent("Lower-case them.", rules.agent_of_batches, plan=plan)
+    return got.findings.select(F.col("ord").cast("int").alias("n_nationkey"), F.col("content").alias("finding"))
+
+
+@query("SELECT string_agg(lower('n_name: ' || n_name), '|' ORDER BY n_nationkey) AS answer FROM nation")
+def q_agentic_reduce_levels(spark, d):
+    """As q_agentic_reduce, with a budget that takes several levels."""
+    got = Corpus.from_dataframe(_t(spark, d, "nation"), "n_nationkey", ["n_name"]).agent("List them.", rules.agent, ["map", "reduce"], reduce_budget=600)
+    return spark.createDataFrame([(got.output,)], "answer string")
+
+
+# plans
+
+FIXED = f"SELECT p_partkey FROM part WHERE CASE WHEN p_size / 50 >= 0.8 THEN true WHEN p_size / 50 <= 0.2 THEN false ELSE {RING} END"
+
+
+@query(FIXED)
+def q_plan_document(spark, d):
+    """A plan with a cascade, through its JSON document and with a step's instruction patched."""
+    args = CascadeArgs(fixed=(0.8, 0.2), calibrated=False, helper_instruction="{p_name} is big")
+    plan = LazyFrame(name="part").sem_filter(instruction="{p_name} of size {p_size} is big or a ring", cascade=args).select("p_partkey")
+    loaded = LazyFrame.from_json(plan.to_json()).patched({"/0.cascade.helper_instruction": "{p_name} of size {p_size} is big or a ring"})
+    return loaded.run(_engine(spark), {"part": _t(spark, d, "part").select("p_partkey", "p_name", "p_size")})
+
+
+@_rel("SELECT n_regionkey, n_nationkey % 2 AS odd, count(*) AS n FROM nation GROUP BY GROUPING SETS ((n_regionkey), (odd), ())", "nation")
+def q_rel_grouping_sets(nation):
+    return nation.with_columns(odd="n_nationkey % 2").group_by("n_regionkey", "odd", sets=[["n_regionkey"], ["odd"], []], n="count(*)")
+
+
+@_rel("WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation), b AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) SELECT n_name, s_name FROM a FULL JOIN b USING (i)", "nation", "supplier")
+def q_rel_beside(nation, supplier):
+    return nation.concat_columns(supplier, ["n_nationkey"], ["s_suppkey"]).select("n_name", "s_name")
+
+
+@_rel("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", "customer", "orders")
+def q_rel_anti_urgent(customer, orders):
+    return customer.join(orders.filter("o_orderpriority = '1-URGENT'").rename(o_custkey="c_custkey"), ["c_custkey"], "left_anti").select("c_custkey")
+
+
+def _spread(x) -> float:
+    return float(x.max() - x.min())
+
+
+@query("SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 6) AS spread FROM customer GROUP BY c_nationkey")
+def q_udaf(spark, d):
+    """A registered aggregate of pandas series."""
+    engine = _engine(spark)
+    register_udaf(engine, "spread", _spread)
+    return LazyFrame(name="customer").group_by("c_nationkey", spread="round(spread(c_acctbal), 6)").run(engine, {"customer": _t(spark, d, "customer")})
+
+
+class Words:
+    """A table function: the words of a text and their places."""
+
+    def eval(self, text: str):
+        for i, w in enumerate(text.split(" ")):
+            yield i, w
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS place, w[i + 1] AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), unnest(range(0, len(w))) u(i)")
+def q_udtf(spark, d):
+    engine = _engine(spark)
+    register_udtf(engine, "words_of", Words, "place int, word string")
+    return LazyFrame(name="part").select("p_partkey", "p_name").table_function("words_of", "p_name").select("p_partkey", "place", "word").run(engine, {"part": _t(spark, d, "part")})
+
+
+@function("doubled")
+def _doubled(engine, *frames):
+    """Rows of all frames, twice."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out.union(out)
+
+
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region")
+def q_from_fn(spark, d):
+    plan = LazyFrame.from_fn("doubled", LazyFrame(name="nation").select("n_name AS name"), LazyFrame(name="region").select("r_name AS name"))
+    return plan.run(_engine(spark), {"nation": _t(spark, d, "nation"), "region": _t(spark, d, "region")})
+
+
+# sources and streams
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier")
+def q_source_db_ranges(spark, d):
+    """A table by ranges of its rowid; whole balances are integers in the file, so types must come from all rows."""
+    path = _database(spark)
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE supplier (s_suppkey, s_name, s_nationkey, s_acctbal)")
+    for part in _t(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").toLocalIterator():
+        con.execute("INSERT INTO supplier VALUES (?, ?, ?, ?)", (*part[:3], int(part[3]) if part[3] == int(part[3]) else part[3]))
+    con.commit()
+    con.close()
+    return load_from_db(spark, f"sqlite:///{path}", table="supplier", partitions=4)
+
+
+@query(f"SELECT p_partkey FROM part WHERE {RING}")
+def q_sem_stream(spark, d):
+    """A model filter on a stream, batch by batch."""
+    engine = _engine(spark)
+    sink = engine.shared_path("sem-stream")
+    stream = read_stream(spark, f"{d}/", _t(spark, d, "part").schema, pathGlobFilter="part.parquet")
+    step = lambda e, rows: sem_filter(e, rows.select("p_partkey", "p_name"), "{p_name} names a ring")
+    sem_stream(engine, stream, step, sink, engine.shared_path("sem-stream-checkpoint")).awaitTermination()
+    return spark.read.parquet(sink).select("p_partkey")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -3,15 +3,20 @@
 A model call is not a function for Catalyst: it would be evaluated twice, pushed below joins, and its
 deduplication undone.  So a call is lowered as distinct prompts -> anti-join with the call log ->
 one Arrow-batched stage -> a new part of the log (parquet) -> join back by key.  The log is the source
-of truth for calls, tokens and cost, it outlives executors, and a later plan over it is free.
+of truth for calls, tokens and cost, it outlives executors, and a later plan over it is free.  Its parts
+lie in folders by model and trial, and a barrier reads those of its own alone.
+
+Columns whose names begin with ``__sembra`` are the engine's own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +45,10 @@ class Engine:
     count_rows: bool = False  # one more job per call; gives usage.rows and cache_hits
     requests_per_minute: int | None = None
     tokens_per_minute: int | None = None
+    use_operator_cache: bool = False  # whole results by the content of their input, see operator_cache
+    cache_path: str | None = None
+    safe_mode: bool = False  # calls and tokens are counted, and limits checked, before a barrier spends anything
+    estimates: list[dict] = field(default_factory=list)
 
     def with_(self, **changes) -> Engine:
         return replace(self, **changes)
@@ -65,11 +74,17 @@ class Engine:
         else:
             log = self.log_path
         name = json.dumps([backend.model, backend.max_tokens, salt])
-        df = df.withColumn("_prompt", prompt).withColumn("_key", F.sha2(F.concat(F.lit(name), "_prompt"), 256))
-        asked = df.where(F.col("_prompt").isNotNull()).groupBy("_key").agg(F.first("_prompt").alias("_prompt"))
+        log = f"{log}/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+        df = df.withColumn("__sembra_prompt", prompt).withColumn("__sembra_key", F.sha2(F.concat(F.lit(name), "__sembra_prompt"), 256))
+        every = df.where(F.col("__sembra_prompt").isNotNull()).groupBy("__sembra_key").agg(F.first("__sembra_prompt").alias("__sembra_prompt"), F.count("*").alias("__sembra_n"))
         known = self._log(log)
+        asked = every
+        hits = None
         if known is not None:
-            asked = asked.join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
+            hits = materialise(known.join(every.select(F.col("__sembra_key").alias("key")), "key", "left_semi"), "hits")
+            asked = every.join(hits.select(F.col("key").alias("__sembra_key")), "__sembra_key", "left_anti")
+        if self.safe_mode:
+            self._check_before(asked, backend)
         rpm, tpm = self.requests_per_minute, self.tokens_per_minute
         tasks = self.spark.sparkContext.defaultParallelism
 
@@ -80,24 +95,43 @@ class Engine:
             for frame in frames:
                 for at in range(0, len(frame), backend.max_batch):
                     part = frame.iloc[at : at + backend.max_batch]
-                    chats = [json.loads(p) for p in part["_prompt"]]
+                    chats = [json.loads(p) for p in part["__sembra_prompt"]]
                     if limiter:
                         for c in chats:
                             limiter.wait(sum(backend.tokenizer.count(m["content"]) for m in c))
                     said = backend.complete(chats)
-                    yield pd.DataFrame({"key": part["_key"].to_numpy(), "model": backend.model, "text": [s.text for s in said], "positive_prob": pd.array([s.positive_prob for s in said], dtype="Float64"), "tokens_in": [s.tokens_in for s in said], "tokens_out": [s.tokens_out for s in said]})
+                    yield pd.DataFrame({"key": part["__sembra_key"].to_numpy(), "model": backend.model, "text": [s.text for s in said], "positive_prob": pd.array([s.positive_prob for s in said], dtype="Float64"), "tokens_in": [s.tokens_in for s in said], "tokens_out": [s.tokens_out for s in said]})
 
         part = f"{log}/part-{uuid.uuid4().hex}"
-        asked.select("_key", "_prompt").mapInPandas(run, LOG).write.parquet(part)
-        calls, tin, tout = self.spark.read.schema(LOG).parquet(part).agg(F.count("*"), F.coalesce(F.sum("tokens_in"), F.lit(0)), F.coalesce(F.sum("tokens_out"), F.lit(0))).first()
-        self.usage.calls += calls
-        self.usage.rows += df.where(F.col("_prompt").isNotNull()).count() if self.count_rows else 0
-        self.usage.tokens_in += tin
-        self.usage.tokens_out += tout
-        self.usage.cost += cost_of(backend.model, tin, tout)
-        self.limits.check(self.usage)
-        said = self._log(log).groupBy("key").agg(F.first(F.struct("text", "positive_prob")).alias("_said"))
-        return df.join(said.withColumnRenamed("key", "_key"), "_key", "left").drop("_key", "_prompt")
+        asked.select("__sembra_key", "__sembra_prompt").mapInPandas(run, LOG).write.parquet(part)
+        new = self.spark.read.schema(LOG).parquet(part)
+        calls, tin, tout = new.agg(F.count("*"), F.coalesce(F.sum("tokens_in"), F.lit(0)), F.coalesce(F.sum("tokens_out"), F.lit(0))).first()
+        found = new if hits is None else new.union(hits)
+        u = self.usage
+        if self.count_rows:  # what the same answers would have taken without the log and with equal prompts asked again
+            once = found.dropDuplicates(["key"]).withColumnRenamed("key", "__sembra_key")
+            rows, vin, vout = every.join(once, "__sembra_key").agg(F.sum("__sembra_n"), F.sum(F.col("__sembra_n") * F.col("tokens_in")), F.sum(F.col("__sembra_n") * F.col("tokens_out"))).first()
+            u.rows += rows or 0
+            u.virtual_tokens_in += vin or 0
+            u.virtual_tokens_out += vout or 0
+            u.virtual_cost += cost_of(backend.model, vin or 0, vout or 0)
+        u.calls += calls
+        u.tokens_in += tin
+        u.tokens_out += tout
+        u.cost += cost_of(backend.model, tin, tout)
+        self.limits.check(u)
+        said = found.groupBy("key").agg(F.first(F.struct("text", "positive_prob")).alias("__sembra_said"))
+        return df.join(said.withColumnRenamed("key", "__sembra_key"), "__sembra_key", "left").drop("__sembra_key", "__sembra_prompt")
+
+    def _check_before(self, asked: DataFrame, backend: Backend) -> None:
+        """Record what a barrier would ask, and raise where that alone passes a limit."""
+        got = self.estimate(asked, F.col("__sembra_prompt"), backend)
+        self.estimates.append(got)
+        u = replace(self.usage)
+        u.calls += got["calls"]
+        u.tokens_in += got["tokens_in"]
+        u.cost += cost_of(backend.model, got["tokens_in"], 0)
+        self.limits.check(u)
 
     def _log(self, log: str) -> DataFrame | None:
         """The call log as it is now, None where there is none.
@@ -110,9 +144,46 @@ class Engine:
         parts = sorted(str(x.getPath()) for x in fs.listStatus(p)) if fs.exists(p) else []
         return self.spark.read.schema(LOG).parquet(*parts) if parts else None
 
-    def estimate(self, df: DataFrame, prompt: Column) -> dict[str, int]:
-        """Calls (equal prompts once) and prompt tokens that asking would take."""
-        from .functions.context import n_tokens
+    def estimate(self, df: DataFrame, prompt: Column, backend: Backend | None = None) -> dict[str, int]:
+        """Calls (equal prompts once) and prompt tokens, by the backend's tokenizer, that asking would take."""
+        tokenizer = (backend or self.lm).tokenizer
+
+        @F.pandas_udf("long")
+        def tokens(s: pd.Series) -> pd.Series:
+            return s.map(lambda p: sum(tokenizer.count(m["content"]) for m in json.loads(p))).astype("int64")
 
-        r = df.select(prompt.alias("p")).distinct().agg(F.count("p"), F.sum(n_tokens(F.col("p")))).first()
+        r = df.select(prompt.alias("p")).where("p IS NOT NULL").distinct().agg(F.count("p"), F.sum(tokens("p"))).first()
         return {"calls": r[0], "tokens_in": r[1] or 0}
+
+
+def _content(df: DataFrame) -> list:
+    """A digest of a frame's rows and schema, whatever their order."""
+    every = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.to_json(every, {"ignoreNullFields": "false"})
+    got = df.select(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b")).agg(F.count("*"), F.bit_xor("a"), F.sum(F.col("a").cast("decimal(20,0)")), F.sum(F.col("b").cast("decimal(20,0)"))).first()
+    return [df.schema.simpleString(), *map(str, got)]
+
+
+def operator_cache(fn: Callable) -> Callable:
+    """An operator whose whole result is kept, by name, arguments, models and the content of its input frames.
+
+    Used where the engine has ``use_operator_cache`` and the result is one frame; a hit asks nothing.
+    """
+
+    @wraps(fn)
+    def run(engine: Engine, *args, **kwargs):
+        if not engine.use_operator_cache or kwargs.get("return_stats"):
+            return fn(engine, *args, **kwargs)
+        plain = lambda v: _content(v) if isinstance(v, DataFrame) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else {str(k): plain(x) for k, x in v.items()} if isinstance(v, dict) else getattr(v, "__qualname__", None) or repr(v)
+        models = [None if m is None else [m.model, m.max_tokens] for m in (engine.lm, engine.helper)]
+        key = hashlib.sha256(json.dumps([fn.__qualname__, models, engine.serialization, plain(args), plain(kwargs)], sort_keys=True).encode()).hexdigest()
+        engine.cache_path = engine.cache_path or engine.shared_path("operators")
+        at = f"{engine.cache_path}/{key}"
+        done = engine.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if done.getFileSystem(engine.spark._jsc.hadoopConfiguration()).exists(done):
+            engine.usage.operator_cache_hits += 1
+            return engine.spark.read.parquet(at)
+        fn(engine, *args, **kwargs).write.mode("overwrite").parquet(at)
+        return engine.spark.read.parquet(at)
+
+    return run

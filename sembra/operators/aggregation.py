@@ -1,19 +1,21 @@
 """Hierarchical reduction of many rows to one answer, and partition ids that steer it.
 
 Each level packs documents in order under a token budget and asks once per pack.  Packing is a scan in
-order, but its state is only (partition, tokens so far): token counts of a block of documents come to
-one task, texts stay in columns and are put together by SQL.  Groups are independent.
+order, but its state is only (pack, partition, tokens so far): token counts of a block of documents come
+to one task and the next block goes on from there; texts stay in columns and are put together by SQL.
+Groups are independent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..engine import Engine
+from ..engine import Engine, operator_cache
 from ..functions import answers
 from ..functions.context import chunk, n_tokens, truncate
 from ..functions.langex import columns_of, rendered
@@ -30,27 +32,48 @@ def sem_partition_by(df: DataFrame, fn: Callable[[DataFrame], Column] | Column)
     return df.withColumn(PARTITION, (fn(df) if callable(fn) else fn).cast("long"))
 
 
-def _packs(docs: DataFrame, budget: int) -> DataFrame:
+def _packs(engine: Engine, docs: DataFrame, budget: int) -> DataFrame:
     """(_rid, _pack): greedy packs in order; a partition's end closes a pack unless a group's ids are all different.
 
-    Only ids and token counts are scanned, in blocks of BLOCK documents; a block's end closes a pack.
+    Only ids and token counts are scanned.  A task takes a block of BLOCK documents of a group; the next
+    block of the group goes on from where it ended, so packs don't depend on blocks.  Groups run side
+    by side, so there are as many rounds as the largest group has blocks.
     """
-    fold = docs.groupBy("_g").agg((F.count("*") == F.count_distinct("_part")).alias("_fold"))
-    narrow = docs.select("_g", "_rid", "_pos", "_part", n_tokens(F.col("_doc")).alias("_n")).join(fold, "_g")
+    narrow = docs.select("_g", "_rid", "_pos", "_part", n_tokens(F.col("_doc")).alias("_n"))
+    narrow = with_position(narrow, ["_g", "_pos"], "_at")  # without gaps, so no block of a group is empty
+    fold = narrow.groupBy("_g").agg((F.count("*") == F.count_distinct("_part")).alias("_fold"), F.min("_at").alias("_from"))
+    narrow = narrow.join(fold, "_g").withColumn("_block", F.floor((F.col("_at") - F.col("_from")) / BLOCK)).drop("_from", "_at")
+    rounds = narrow.agg(F.max("_block")).first()[0] or 0
+    schema = "_g string, _rid long, _pos long, _pack long, _used long, _last long"
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_pos")
-        used, now, out, pack = 0, None, [], None
+        first = frame.iloc[0]
+        pack, used, now = (None, 0, None) if pd.isna(first["_pack"]) else (int(first["_pack"]), int(first["_used"]), int(first["_last"]))
+        packs, sums = [], []
         for pos, part, n, fold_ in zip(frame["_pos"], frame["_part"], frame["_n"], frame["_fold"]):
             if pack is None or used + n > budget or (part != now and not fold_):
                 pack, used, now = pos, 0, part
             used += n
-            out.append(pack)
-        return pd.DataFrame({"_rid": frame["_rid"], "_pack": out})
-
-    return narrow.withColumn("_block", F.floor(F.col("_pos") / BLOCK)).groupBy("_g", "_block").applyInPandas(scan, "_rid long, _pack long")
-
-
+            packs.append(pack)
+            sums.append(used)
+        last = pd.Series(frame["_part"].to_numpy()).where(pd.Series(packs) == frame["_pos"].to_numpy()).ffill().fillna(-1 if now is None else now)
+        return pd.DataFrame({"_g": frame["_g"].to_numpy(), "_rid": frame["_rid"].to_numpy(), "_pos": frame["_pos"].to_numpy(), "_pack": packs, "_used": sums, "_last": last.astype("int64")})
+
+    done, carry = [], None
+    for i in range(int(rounds) + 1):
+        here = narrow.where(F.col("_block") == i)
+        if carry is None:
+            here = here.withColumns({c: F.lit(None).cast("long") for c in ("_pack", "_used", "_last")})
+        else:
+            here = here.join(carry, "_g", "left")
+        out = engine.materialise(here.groupBy("_g").applyInPandas(scan, schema), "packs")
+        done.append(out.select("_rid", "_pack"))
+        carry = out.groupBy("_g").agg(F.max_by(F.struct("_pack", "_used", "_last"), "_pos").alias("_c")).select("_g", "_c.*")
+    return reduce(DataFrame.union, done)
+
+
+@operator_cache
 def sem_agg(engine: Engine, df: DataFrame, instruction: str, all_cols: bool = False, suffix: str = "_output", group_by: list[str] | None = None, order_by: list[str] | None = None, budget: int | None = None, long_context: str = "chunk", response_schema: str | None = None, split_fields: bool = True, max_levels: int = 30) -> DataFrame:
     """One answer per group in column ``suffix`` (or one column per field of ``response_schema``).
 
@@ -87,12 +110,12 @@ def sem_agg(engine: Engine, df: DataFrame, instruction: str, all_cols: bool = Fa
     while True:
         docs = engine.materialise(docs, "agg-level")
         word = "Document" if level == 0 else "Source"
-        packed = docs.join(_packs(docs, budget), "_rid")
+        packed = docs.join(_packs(engine, docs, budget), "_rid")
         place = F.row_number().over(Window.partitionBy("_g", "_pack").orderBy("_pos"))
         packed = packed.withColumn("_line", F.concat(F.lit(f"{word} "), place.cast("string"), F.lit(": "), "_doc"))
         lines = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"])
         prompts = packed.groupBy("_g", "_pack").agg(F.array_join(lines, "\n").alias("_text"), F.min(F.struct("_pos", "_part"))["_part"].alias("_part"))
-        said = engine.ask(prompts, chat(head, F.col("_text"), task)).select("_g", F.col("_pack").alias("_pos"), F.col("_pack").alias("_rid"), "_part", F.coalesce("_said.text", F.lit("")).alias("_doc"))
+        said = engine.ask(prompts, chat(head, F.col("_text"), task)).select("_g", F.col("_pack").alias("_pos"), F.col("_pack").alias("_rid"), "_part", F.coalesce("__sembra_said.text", F.lit("")).alias("_doc"))
         said = engine.materialise(said, "agg-said")
         n = said.groupBy("_g").agg(F.count("*").alias("_n"))
         single = said.join(n.where("_n = 1"), "_g", "left_semi").select("_g", "_doc")

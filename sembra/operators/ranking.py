@@ -1,8 +1,8 @@
 """Top-k by pairwise comparison: naive, quick, quick over vectors, heap; grouped and cascaded.
 
-The rows that are compared must be few in any case (calls grow with their square, or at best in
-proportion), so ids and order live on the driver, up to MAX_ROWS of them; texts stay in Spark and
-each round of comparisons is one barrier.
+Texts stay in Spark and each round of comparisons is one barrier.  Naive is a join of a group with
+itself, whose votes are counted in Spark.  The other methods keep ids and order on the driver, up to
+DRIVER_ROWS of them; larger groups are first cut by pivots in Spark, until what is left of a part fits.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..engine import Engine
@@ -22,7 +22,7 @@ from ..functions.prompts import Strategy, chat, system_text
 from ..functions.serialize import row_text
 
 METHODS = ("naive", "quick", "quick-sem", "heap")
-MAX_ROWS = 100_000
+DRIVER_ROWS = 100_000
 
 
 @dataclass
@@ -42,37 +42,60 @@ class _Comparer:
         self.stats = TopKStats()
         self.known: dict[tuple[int, int], bool] = {}
 
+    def ask(self, both: DataFrame) -> DataFrame:
+        """(i, j, w): for pairs of ids (__sembra_i, __sembra_j), whether the first is better."""
+        a = self.docs.select(F.col("__sembra_id").alias("__sembra_i"), F.col("__sembra_text").alias("__sembra_a"))
+        b = self.docs.select(F.col("__sembra_id").alias("__sembra_j"), F.col("__sembra_text").alias("__sembra_b"))
+        shown = both.join(a, "__sembra_i").join(b, "__sembra_j").withColumn("__sembra_both", F.concat(F.lit("Document 1:\n"), "__sembra_a", F.lit("\nDocument 2:\n"), "__sembra_b"))
+        prompt = chat(self.head, F.col("__sembra_both"), self.task)
+        first = answers.first_wins(F.col("__sembra_said.text")).alias("w")
+        ids = [F.col("__sembra_i").alias("i"), F.col("__sembra_j").alias("j")]
+        self.stats.rounds += 1
+        if self.threshold is None:
+            out = self.engine.materialise(self.engine.ask(shown, prompt).select(*ids, first), "compared")
+            self.stats.calls += out.count()
+            return out
+        # the helper's choice stands where it is sure enough
+        said = self.engine.ask(shown, prompt, self.engine.helper).select("__sembra_i", "__sembra_j", "__sembra_both", first, "__sembra_said.positive_prob")
+        said = self.engine.materialise(said, "compared")
+        self.stats.helper_calls += said.count()
+        p = F.coalesce("positive_prob", F.lit(0.5))
+        sure = F.greatest(p, 1 - p) >= self.threshold
+        rest = said.where(~sure)
+        self.stats.calls += rest.count()
+        return said.where(sure).select(*ids, "w").union(self.engine.ask(rest.drop("w", "positive_prob"), prompt).select(*ids, first))
+
     def __call__(self, pairs: list[tuple[int, int]]) -> list[bool]:
         new = [p for p in dict.fromkeys(pairs) if p not in self.known]
         if new:
-            self.stats.rounds += 1
-            both = self.engine.spark.createDataFrame(new, "_i long, _j long")
-            a = self.docs.select(F.col("_id").alias("_i"), F.col("_text").alias("_a"))
-            b = self.docs.select(F.col("_id").alias("_j"), F.col("_text").alias("_b"))
-            shown = both.join(a, "_i").join(b, "_j").withColumn("_both", F.concat(F.lit("Document 1:\n"), "_a", F.lit("\nDocument 2:\n"), "_b"))
-            prompt = chat(self.head, F.col("_both"), self.task)
-            first = answers.first_wins(F.col("_said.text")).alias("w")
-            if self.threshold is None:
-                self.stats.calls += len(new)
-                got = self.engine.ask(shown, prompt).select("_i", "_j", first).collect()
-            else:  # the helper's choice stands where it is sure enough
-                self.stats.helper_calls += len(new)
-                said = self.engine.ask(shown, prompt, self.engine.helper).select("_i", "_j", "_both", first, F.coalesce("_said.positive_prob", F.lit(0.0)).alias("p"))
-                said = self.engine.materialise(said, "compared")
-                sure = (F.greatest(F.col("p"), 1 - F.col("p")) >= self.threshold) & F.col("p").isNotNull()
-                rest = said.where(~sure)
-                self.stats.calls += rest.count()
-                got = said.where(sure).select("_i", "_j", "w").collect() + self.engine.ask(rest.drop("w"), prompt).select("_i", "_j", first).collect()
-            self.known |= {(r[0], r[1]): r[2] for r in got}
+            both = self.engine.spark.createDataFrame(new, "__sembra_i long, __sembra_j long")
+            self.known |= {(r.i, r.j): r.w for r in self.ask(both).collect()}
         return [self.known[p] for p in pairs]
 
 
-def _naive(ids: list[int], k: int, better: Callable) -> list[int]:
-    pairs = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :]]
-    votes = dict.fromkeys(ids, 0)
-    for (a, b), first in zip(pairs, better(pairs)):
-        votes[a if first else b] += 1
-    return sorted(ids, key=lambda i: -votes[i])[:k]
+def _narrowed(ids: DataFrame, n: int, k: int, better: _Comparer, order: Callable[[list[int], int], list[int]], seed: int) -> list[int]:
+    """The k best of n ids (column id), best first; parts of more than DRIVER_ROWS are cut by a pivot in Spark."""
+    k = min(k, n)
+    if k <= 0:
+        return []
+    if n <= DRIVER_ROWS:
+        return order([r[0] for r in ids.orderBy("id").collect()], k)
+    pivot = ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").first()[0]
+    won = better.engine.materialise(better.ask(ids.where(F.col("id") != pivot).select(F.col("id").alias("__sembra_i"), F.lit(pivot).cast("long").alias("__sembra_j"))), "pivot")
+    high, low = won.where("w").select(F.col("i").alias("id")), won.where("NOT w").select(F.col("i").alias("id"))
+    wins = high.count()
+    top = _narrowed(high, wins, k, better, order, seed + 1)
+    return top if wins >= k else [*top, pivot, *_narrowed(low, n - 1 - wins, k - wins - 1, better, order, seed + 1)]
+
+
+def _naive(rows: DataFrame, k: int, better: _Comparer) -> DataFrame:
+    """(__sembra_id, rank) of the k with most votes per group (columns g, id; equal votes by id), every pair being asked."""
+    a, b = rows.select("g", F.col("id").alias("__sembra_i")), rows.select("g", F.col("id").alias("__sembra_j"))
+    won = better.ask(a.join(b, "g").where("__sembra_i < __sembra_j").select("__sembra_i", "__sembra_j"))
+    votes = won.select(F.when(F.col("w"), F.col("i")).otherwise(F.col("j")).alias("id")).groupBy("id").agg(F.count("*").alias("v"))
+    order = Window.partitionBy("g").orderBy(F.desc("v"), "id")
+    ranked = rows.join(votes, "id", "left").withColumn("v", F.coalesce("v", F.lit(0))).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select(F.col("id").alias("__sembra_id"), "rank")
 
 
 def _quick(ids: list[int], k: int, better: Callable, rng: random.Random | None) -> list[int]:
@@ -96,6 +119,18 @@ def _heap(ids: list[int], k: int, better: Callable) -> list[int]:
     return heapq.nsmallest(k, ids, key=functools.cmp_to_key(lambda a, b: -1 if better([(a, b)])[0] else 1))
 
 
+def _first_order(engine: Engine, rows: DataFrame, instruction: str, sem_order: DataFrame | None) -> dict[int, int]:
+    """The place of each id by similarity with the instruction, or by the scores that are given."""
+    if sem_order is None:
+        from .vectors import embed_column, similarity
+
+        query = engine.embedder.embed([rendered(instruction)])[0].tolist()
+        scored = embed_column(engine, rows.select("__sembra_id", "__sembra_text"), "__sembra_text").select("__sembra_id", similarity(F.col("_vec"), query).alias("score"))
+    else:
+        scored = sem_order.toDF("__sembra_id", "score")
+    return {r[0]: i for i, r in enumerate(scored.orderBy(F.desc("score"), "__sembra_id").collect())}
+
+
 def sem_topk(engine: Engine, df: DataFrame, instruction: str, K: int, method: str = "quick", id_col: str | None = None, group_by: list[str] | None = None, strategy: str | None = None, cascade_threshold: float | None = None, seed: int = 0, sem_order: DataFrame | None = None, rank_col: str | None = None, return_stats: bool = False):
     """The K best rows (per group), best first; order of equals, and of what is compared, by id_col.
 
@@ -108,36 +143,38 @@ def sem_topk(engine: Engine, df: DataFrame, instruction: str, K: int, method: st
     cols = columns_of(instruction)
     if method == "quick-sem" and len(cols) != 1:
         raise ValueError("quick-sem takes one column")
-    rows = df.withColumn("_id", F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id())
-    rows = engine.materialise(rows.withColumn("_text", row_text(df, cols, engine.serialization)), "topk")
+    rows = df.withColumn("__sembra_id", F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id())
+    rows = engine.materialise(rows.withColumn("__sembra_text", row_text(df, cols, engine.serialization)), "topk")
     groups = group_by or []
     key = F.to_json(F.struct(*groups)) if groups else F.lit("")
-    ids = rows.select(key.alias("g"), "_id").orderBy("_id").limit(MAX_ROWS + 1).collect()
-    if len(ids) > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} rows to rank; filter or search first")
-    if method == "quick-sem":
-        if sem_order is None:
-            from .vectors import embed_column, similarity
-
-            query = engine.embedder.embed([rendered(instruction)])[0].tolist()
-            scored = embed_column(engine, rows.select("_id", "_text"), "_text").select("_id", similarity(F.col("_vec"), query).alias("score"))
-        else:
-            scored = sem_order.toDF("_id", "score")
-        place = {r[0]: i for i, r in enumerate(scored.orderBy(F.desc("score"), "_id").collect())}
-        ids = sorted(ids, key=lambda r: place.get(r[1], len(place)))
-    by_group: dict[str, list[int]] = {}
-    for g, i in ids:
-        by_group.setdefault(g, []).append(i)
-    better = _Comparer(engine, rows.select("_id", "_text"), instruction, Strategy.of(strategy), cascade_threshold)
-    if method == "naive":  # the pairs of all groups in one round
-        better([(a, b) for own in by_group.values() for x, a in enumerate(own) for b in own[x + 1 :]])
-    rank = []
-    for g in sorted(by_group):
-        own = by_group[g]
-        best = _naive(own, K, better) if method == "naive" else _heap(own, K, better) if method == "heap" else _quick(own, min(K, len(own)), better, None if method == "quick-sem" else random.Random(seed))
-        rank += [(i, n + 1) for n, i in enumerate(best)]
+    narrow = engine.materialise(rows.select(key.alias("g"), F.col("__sembra_id").alias("id")), "topk-ids")
+    better = _Comparer(engine, rows.select("__sembra_id", "__sembra_text"), instruction, Strategy.of(strategy), cascade_threshold)
+    schema = "__sembra_id long, rank int"
+    if method == "naive":
+        ranked = engine.materialise(_naive(narrow, K, better), "topk-ranks")
+    else:
+        place: dict[int, int] = {}
+        sizes = {r.g: r["count"] for r in narrow.groupBy("g").count().collect()}  # one row per group
+        if method == "quick-sem" and sum(sizes.values()) <= DRIVER_ROWS:
+            place = _first_order(engine, rows, instruction, sem_order)
+
+        def order(own: list[int], k: int) -> list[int]:
+            if method == "heap":
+                return _heap(own, k, better)
+            if place:
+                return _quick(sorted(own, key=lambda i: place.get(i, len(place))), k, better, None)
+            return _quick(own, k, better, random.Random(seed))
+
+        rank = []
+        every = sum(sizes.values()) <= DRIVER_ROWS  # then one look at the ids is enough
+        by_group: dict[str, list[int]] = {}
+        for r in narrow.orderBy("id").collect() if every else []:
+            by_group.setdefault(r.g, []).append(r.id)
+        for g in sorted(sizes):
+            best = order(by_group[g], min(K, sizes[g])) if every else _narrowed(narrow.where(F.col("g") == g).select("id"), sizes[g], K, better, order, seed)
+            rank += [(i, n + 1) for n, i in enumerate(best)]
+        ranked = engine.spark.createDataFrame(rank, schema)
     name = rank_col or "_rank"
-    order = engine.spark.createDataFrame(rank, f"_id long, `{name}` int")
-    out = rows.join(order, "_id").orderBy(*groups, name).drop("_id", "_text")
+    out = rows.join(ranked.withColumnRenamed("rank", name), "__sembra_id").orderBy(*groups, name).drop("__sembra_id", "__sembra_text")
     out = out if rank_col else out.drop("_rank")
     return (out, better.stats) if return_stats else out

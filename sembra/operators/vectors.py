@@ -78,37 +78,169 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, n: int, side: str) -> Data
     return df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(f"{side}b"), F.col(id_col).alias(f"{side}id"), F.col(vec_col).cast("array<double>").alias(f"{side}v"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str = "_vec", right_vec: str = "_vec", K: int | None = None, above: float | None = None) -> DataFrame:
-    """(lid, rid, score): per left row its K best, or all pairs with a score over ``above``.
-
-    Ids are longs.  Both sides are cut into blocks by a hash of the id, sizes from their counts; each
-    pair of blocks is one group, so memory is two blocks whatever the sizes.  Exact search compares
-    all blocks by nature; candidates that lose are dropped within the task.
-    """
+def _blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str, right_vec: str):
+    """Pairs of blocks of both sides, for a function of two frames; rows without a vector are left out."""
+    left, right = left.where(F.col(left_vec).isNotNull()), right.where(F.col(right_vec).isNotNull())
     nl, nr = (max(1, -(-d.count() // BLOCK_ROWS)) for d in (left, right))
     l = _blocks(left, left_id, left_vec, nl, "l").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
     r = _blocks(right, right_id, right_vec, nr, "r").withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
+    return l.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb"))
+
+
+PAIRS = "lid long, rid long, score double"
+_NO_PAIRS = {"lid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)}
+
+
+def _scores(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    return np.stack(a["lv"].to_numpy()) @ np.stack(b["rv"].to_numpy()).T
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str = "_vec", right_vec: str = "_vec", K: int | None = None, above: float | None = None) -> DataFrame:
+    """(lid, rid, score): per left row its K best (ties by rid), or all pairs with a score over ``above``.
+
+    Ids are longs; rows without a vector have no pairs.  Both sides are cut into blocks by a hash of
+    the id, sizes from their counts; each pair of blocks is one group, so memory is two blocks whatever
+    the sizes.  Exact search compares all blocks by nature (``approximate_pairs`` doesn't); candidates
+    that lose are dropped within the task.
+    """
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"lid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
         if not len(a) or not len(b):
-            return empty
+            return pd.DataFrame(_NO_PAIRS)
         b = b.sort_values("rid")
-        s = np.stack(a["lv"].to_numpy()) @ np.stack(b["rv"].to_numpy()).T
+        s = _scores(a, b)
         lid, rid = a["lid"].to_numpy(), b["rid"].to_numpy()
         if above is not None:
             i, j = np.nonzero(s > above)
         else:
             k = min(K, s.shape[1])
             edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-            i, j = np.nonzero(s >= edge)
+            room = k - (s > edge).sum(1, keepdims=True)  # of the ties at the edge the first by rid
+            i, j = np.nonzero((s > edge) | ((s == edge) & (np.cumsum(s == edge, axis=1) <= room)))
         return pd.DataFrame({"lid": lid[i], "rid": rid[j], "score": s[i, j]})
 
-    pairs = l.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb")).applyInPandas(meet, "lid long, rid long, score double")
-    if K is not None:
-        best = Window.partitionBy("lid").orderBy(F.desc("score"), "rid")
-        pairs = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= K).drop("_n")
-    return pairs
+    pairs = _blocked(left, right, left_id, right_id, left_vec, right_vec).applyInPandas(meet, PAIRS)
+    return _best(pairs, K) if K is not None else pairs
+
+
+def _best(pairs: DataFrame, K: int) -> DataFrame:
+    best = Window.partitionBy("lid").orderBy(F.desc("score"), "rid")
+    return pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= K).drop("_n")
+
+
+def top_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n: int, left_vec: str = "_vec", right_vec: str = "_vec") -> tuple[list, int, float]:
+    """The n pairs of highest score (clipped to [0, 1]; ties by ids), the number of pairs, and the sum of the roots of all scores.
+
+    A pair of blocks gives its own n best and one row of sums, so the pairs are never written out.
+    """
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({**_NO_PAIRS, "kind": pd.Series(dtype="int64")})
+        a, b = a.sort_values("lid"), b.sort_values("rid")
+        s = np.clip(_scores(a, b), 0, 1).ravel()
+        order = np.argsort(-s, kind="stable")[:n]
+        i, j = np.divmod(order, len(b))
+        best = pd.DataFrame({"lid": a["lid"].to_numpy()[i], "rid": b["rid"].to_numpy()[j], "score": s[order], "kind": 0})
+        return pd.concat([best, pd.DataFrame({"lid": [len(s)], "rid": [0], "score": [np.sqrt(s).sum()], "kind": [1]})])
+
+    got = _blocked(left, right, left_id, right_id, left_vec, right_vec).applyInPandas(meet, PAIRS + ", kind long").persist()
+    sums = got.where("kind = 1").agg(F.sum("lid"), F.sum("score")).first()
+    top = got.where("kind = 0").orderBy(F.desc("score"), "lid", "rid").limit(n).collect()
+    got.unpersist()
+    return top, sums[0] or 0, sums[1] or 0.0
+
+
+def approximate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, K: int, cells: int, probes: int, left_vec: str = "_vec", right_vec: str = "_vec", sample: int = 50_000) -> DataFrame:
+    """As similar_pairs with K, but a left row meets only the right rows of its ``probes`` nearest of ``cells`` cells.
+
+    Cells are k-means of a sample of about ``sample`` right rows.  A cell of many rows is cut into
+    blocks of BLOCK_ROWS, so no task holds a whole cell.  With probes = cells the result is exact.
+    """
+    right = right.where(F.col(right_vec).isNotNull())
+    left = left.where(F.col(left_vec).isNotNull())
+    share = sample / max(1, right.count())
+    some = right.where(F.pmod(F.xxhash64(right_id), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))) if share < 1 else right
+    _, centers = sem_cluster_by(some, cells, right_vec, right_id, niter=10, return_centroids=True)
+    if not centers:
+        return left.sparkSession.createDataFrame([], PAIRS)
+    c = np.array(centers)
+
+    def cell_of(vec: str, n: int) -> Column:
+        @F.pandas_udf("array<int>")
+        def cells_(s: pd.Series) -> pd.Series:
+            d = (c**2).sum(1) - 2 * np.stack(s.to_numpy()) @ c.T if len(s) else np.zeros((0, len(c)))
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n]))
+
+        return F.explode(cells_(F.col(vec).cast("array<double>")))
+
+    l = left.select(F.col(left_id).alias("lid"), F.col(left_vec).cast("array<double>").alias("lv"), cell_of(left_vec, probes).alias("cell"))
+    r = right.select(F.col(right_id).alias("rid"), F.col(right_vec).cast("array<double>").alias("rv"), cell_of(right_vec, 1).alias("cell"))
+    sizes = {x.cell: -(-x["count"] // BLOCK_ROWS) for x in r.groupBy("cell").count().collect()}  # one row per cell
+    asked = {x.cell: -(-x["count"] // BLOCK_ROWS) for x in l.groupBy("cell").count().collect()}
+    number = lambda known: F.element_at(F.create_map(*[F.lit(v) for kv in known.items() for v in kv]), F.col("cell")) if known else F.lit(1)
+    block = lambda i, n: F.pmod(F.xxhash64(i), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    l = l.withColumn("lb", block("lid", number(asked))).withColumn("rb", every(number(sizes)))
+    r = r.withColumn("rb", block("rid", number(sizes))).withColumn("lb", every(number(asked)))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(_NO_PAIRS)
+        b = b.sort_values("rid")
+        s = _scores(a, b)
+        at = np.argsort(-s, axis=1, kind="stable")[:, :K]
+        i = np.repeat(np.arange(len(a)), at.shape[1])
+        return pd.DataFrame({"lid": a["lid"].to_numpy()[i], "rid": b["rid"].to_numpy()[at.ravel()], "score": s[i, at.ravel()]})
+
+    key = ["cell", "lb", "rb"]
+    return _best(l.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(meet, PAIRS), K)
+
+
+class VectorStore:
+    """Where vectors are kept and searched; ``TableStore`` is the one at hand, others can be plugged in."""
+
+    def index(self, vectors: DataFrame, path: str) -> None:
+        """Store (id long, vec array<double>)."""
+        raise NotImplementedError
+
+    def load_index(self, path: str) -> None:
+        """Use an index that is stored."""
+        raise NotImplementedError
+
+    def search(self, queries: DataFrame, K: int, ids: DataFrame | None = None) -> DataFrame:
+        """(lid, rid, score): for each query (id, vec) its K nearest, among ``ids`` (id) if given."""
+        raise NotImplementedError
+
+    def get_vectors(self, path: str, ids: list[int]) -> DataFrame:
+        """(id, vec) of some ids."""
+        raise NotImplementedError
+
+
+class TableStore(VectorStore):
+    """Vectors in a parquet table: exact search, or by ``cells`` and ``probes`` (see approximate_pairs)."""
+
+    def __init__(self, spark, cells: int | None = None, probes: int = 1):
+        self.spark, self.cells, self.probes, self.path = spark, cells, probes, None
+
+    def index(self, vectors: DataFrame, path: str) -> None:
+        vectors.where("id IS NOT NULL").select("id", "vec").write.parquet(path)
+        self.path = path
+
+    def load_index(self, path: str) -> None:
+        self.path = path
+
+    def search(self, queries: DataFrame, K: int, ids: DataFrame | None = None) -> DataFrame:
+        if self.path is None:
+            raise ValueError("no index is loaded")
+        rows = self.spark.read.parquet(self.path)
+        rows = rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
+        if self.cells:
+            return approximate_pairs(queries, rows, "id", "id", K, self.cells, self.probes, "vec", "vec")
+        return similar_pairs(queries, rows, "id", "id", "vec", "vec", K)
+
+    def get_vectors(self, path: str, ids: list[int]) -> DataFrame:
+        return self.spark.read.parquet(path).where(F.col("id").isin(list(ids)))
 
 
 def sem_sim_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, K: int, left_vec: str = "_vec", right_vec: str = "_vec", lsuffix: str = "_l", rsuffix: str = "_r", score_suffix: str = "", keep_index: bool = False) -> DataFrame:
@@ -139,7 +271,7 @@ def sem_dedup(engine: Engine, df: DataFrame, col: str, threshold: float, id_col:
     """Rows but those whose component (values linked at a score over the threshold) has a row of lower id.
 
     Equal values are one value and stay or go together with it: the survivor is the value whose
-    lowest id is lowest.
+    lowest id is lowest.  Rows without a value or a vector stay.
     """
     source = df if vec_col else embed_column(engine, df, col)
     values = engine.materialise(source.groupBy(col).agg(F.min(id_col).alias("_vid"), F.first(vec_col or "_vec").alias("_v")), "values")
@@ -150,7 +282,7 @@ def sem_dedup(engine: Engine, df: DataFrame, col: str, threshold: float, id_col:
 
 
 def sem_cluster_by(df: DataFrame, ncentroids: int, vec_col: str = "_vec", id_col: str = "id", niter: int = 20, return_scores: bool = False, return_centroids: bool = False):
-    """k-means from the vectors of the lowest ids: cluster_id (from 0), the score to the centroid if wanted.
+    """k-means from the vectors of the lowest ids: cluster_id (from 0; null without a vector), the score to the centroid if wanted.
 
     Centroids (k rows) are on the driver; a round sums per task and cluster, then over tasks.
     """
@@ -173,7 +305,7 @@ def sem_cluster_by(df: DataFrame, ncentroids: int, vec_col: str = "_vec", id_col
                     near = _closest(v, c)
                     np.add.at(total, near, v)
                     n += np.bincount(near, minlength=len(c))
-            yield pd.DataFrame({"c": np.flatnonzero(n), "s": list(total[n > 0]), "n": n[n > 0]})
+            yield pd.DataFrame({"c": np.flatnonzero(n), "s": pd.Series(list(total[n > 0]), dtype=object), "n": n[n > 0]})
 
         parts = vectors.mapInPandas(sums, "c long, s array<double>, n long")
         count = parts.groupBy("c").agg(F.sum("n").alias("n"))
@@ -188,7 +320,11 @@ def sem_cluster_by(df: DataFrame, ncentroids: int, vec_col: str = "_vec", id_col
 
     @F.pandas_udf("int")
     def nearest(s: pd.Series) -> pd.Series:
-        return pd.Series(_closest(np.stack(s.to_numpy()), last), dtype="int32") if len(s) else pd.Series([], dtype="int32")
+        there = s.notna().to_numpy()
+        out = pd.array([None] * len(s), dtype="Int32")
+        if there.any():
+            out[there] = _closest(np.stack(s[there].to_numpy()), last)
+        return pd.Series(out)
 
     own = F.col(vec_col).cast("array<double>")
     out = df.withColumn("cluster_id", nearest(own))
@@ -196,9 +332,9 @@ def sem_cluster_by(df: DataFrame, ncentroids: int, vec_col: str = "_vec", id_col
 
         @F.pandas_udf("double")
         def score(s: pd.Series, k: pd.Series) -> pd.Series:
-            return pd.Series([float(np.dot(v, last[i])) for v, i in zip(s, k)], dtype=float)
+            return pd.Series([np.nan if v is None else float(np.dot(v, last[int(i)])) for v, i in zip(s, k)], dtype=float)
 
-        out = out.withColumn("cluster_score", score(own, F.col("cluster_id")))
+        out = out.withColumn("cluster_score", F.when(F.col(vec_col).isNotNull(), score(own, F.col("cluster_id"))))
     return (out, centers.tolist()) if return_centroids else out
 
 

@@ -15,9 +15,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cascade import CascadeArgs
 from ..engine import Engine
 from ..functions.langex import columns_of
 
+#: Arguments that are instructions.
+TEXTS = ("instruction", "system_prompt", "extra_instructions")
 #: Steps that ask a model, and the columns that they add.
 MODEL_STEPS = ("sem_map", "sem_filter", "sem_extract", "sem_agg", "sem_topk", "sem_join", "llm_as_judge", "pairwise_judge")
 RELATIONAL = ("filter", "select", "with_columns", "rename", "drop", "group_by", "distinct", "sort", "limit", "join", "union", "explode", "sql", "window")
@@ -28,13 +31,44 @@ class Step:
     op: str
     args: dict
     inputs: tuple[Step, ...] = ()
+    tuned: tuple[str, ...] | None = None  # the parameters that an optimiser may change; None: all
 
     def document(self) -> dict:
-        return {"op": self.op, "args": self.args, "inputs": [i.document() for i in self.inputs]}
+        plain = {k: v.document() if isinstance(v, CascadeArgs) else v for k, v in self.args.items()}
+        return {"op": self.op, "args": plain, "inputs": [i.document() for i in self.inputs], **({"tuned": list(self.tuned)} if self.tuned is not None else {})}
 
     @classmethod
     def of(cls, doc: dict) -> Step:
-        return cls(doc["op"], doc["args"], tuple(cls.of(d) for d in doc["inputs"]))
+        args = {k: CascadeArgs.of(v) if isinstance(v, dict) and "__cascade__" in v else v for k, v in doc["args"].items()}
+        return cls(doc["op"], args, tuple(cls.of(d) for d in doc["inputs"]), None if doc.get("tuned") is None else tuple(doc["tuned"]))
+
+    def parameters(self) -> dict[str, str]:
+        """What an optimiser may change, by name: instructions, field descriptions, and those of a cascade (``cascade.x``)."""
+        out: dict[str, str] = {}
+        for k, v in self.args.items():
+            if k in TEXTS and isinstance(v, str):
+                out[k] = v
+            elif k == "output_cols":
+                out.update({f"output_cols[{c!r}]": d for c, d in v.items() if d})
+            elif isinstance(v, CascadeArgs):
+                own = self.args.get("instruction", "")
+                if self.op in ("sem_filter", "pairwise_judge") and v.proxy == "helper":
+                    out[f"{k}.helper_instruction"] = v.helper_instruction or own
+                if self.op == "sem_join" and v.plan in (None, "map_search_filter"):
+                    out[f"{k}.map_instruction"] = v.map_instruction or own
+        return out if self.tuned is None else {k: v for k, v in out.items() if k in self.tuned}
+
+    def patched(self, values: dict[str, str]) -> Step:
+        args = dict(self.args)
+        for name, v in values.items():
+            head, dot, inner = name.partition(".")
+            if m := re.fullmatch(r"output_cols\['(.*)'\]", name):
+                args["output_cols"] = args["output_cols"] | {m[1]: v}
+            elif dot and isinstance(args.get(head), CascadeArgs):
+                args[head] = replace(args[head], **{inner: v})
+            elif name in args:
+                args[name] = v
+        return replace(self, args=args)
 
     @property
     def fingerprint(self) -> str:
@@ -130,10 +164,14 @@ class LazyFrame:
     def drop(self, *cols: str) -> LazyFrame:
         return self._then("drop", cols=list(cols))
 
-    def group_by(self, *keys: str, sets: str | None = None, **aggs: str) -> LazyFrame:
-        """``sets``: rollup or cube."""
+    def group_by(self, *keys: str, sets: str | list[list[str]] | None = None, **aggs: str) -> LazyFrame:
+        """``sets``: rollup, cube, or the grouping sets as a list of lists of keys; aggregates are SQL, registered UDAFs too."""
         return self._then("group_by", keys=list(keys), aggs=aggs, sets=sets)
 
+    def table_function(self, name: str, *args: str) -> LazyFrame:
+        """The rows that a registered table function makes of each row (LATERAL), beside the row."""
+        return self._then("lateral", fn=name, args=list(args))
+
     def distinct(self, *cols: str) -> LazyFrame:
         return self._then("distinct", cols=list(cols))
 
@@ -150,6 +188,15 @@ class LazyFrame:
         """union (all columns, by name), intersect, except; distinct variants by ``distinct``."""
         return self._then("union", other, how=how)
 
+    def concat_columns(self, other: LazyFrame, order: list[str], other_order: list[str]) -> LazyFrame:
+        """Rows of both side by side, by their place in the orders; where one is shorter its columns are null."""
+        return self._then("beside", other, order=order, other_order=other_order)
+
+    @classmethod
+    def from_fn(cls, name: str, *inputs: LazyFrame, **args) -> LazyFrame:
+        """A registered function of (engine, *frames, **args)."""
+        return cls(Step("apply", {"fn": name, "args": args}, tuple(i.step for i in inputs)))
+
     def explode(self, col: str, alias: str | None = None) -> LazyFrame:
         return self._then("explode", col=col, alias=alias or col)
 
@@ -203,11 +250,7 @@ class LazyFrame:
         out: dict[str, str] = {}
 
         def walk(s: Step, at: str) -> None:
-            for k, v in s.args.items():
-                if k in ("instruction", "system_prompt", "extra_instructions") and isinstance(v, str):
-                    out[f"{at}.{k}"] = v
-                elif k == "output_cols":
-                    out.update({f"{at}.output_cols[{c!r}]": d for c, d in v.items() if d})
+            out.update({f"{at}.{k}": v for k, v in s.parameters().items()})
             for n, i in enumerate(s.inputs):
                 walk(i, f"{at}/{n}")
 
@@ -215,18 +258,31 @@ class LazyFrame:
         return out
 
     def patched(self, values: dict[str, str]) -> LazyFrame:
+        """A plan with other parameters, by path (steps by input numbers from the last one, then the parameter)."""
+
         def walk(s: Step, at: str) -> Step:
-            args = dict(s.args)
-            for path, v in values.items():
-                head, _, name = path.rpartition(".")
-                if head == at and name in args:
-                    args[name] = v
-                elif m := re.fullmatch(re.escape(at) + r"\.output_cols\['(.*)'\]", path):
-                    args["output_cols"] = args["output_cols"] | {m[1]: v}
-            return Step(s.op, args, tuple(walk(i, f"{at}/{n}") for n, i in enumerate(s.inputs)))
+            own = {path[len(at) + 1 :]: v for path, v in values.items() if path.startswith(at + ".")}
+            return replace(s.patched(own), inputs=tuple(walk(i, f"{at}/{n}") for n, i in enumerate(s.inputs)))
 
         return LazyFrame(walk(self.step, ""))
 
+    def mark_optimizable(self, *params: str) -> LazyFrame:
+        """Let an optimiser change only these parameters of the last step (none: leave the step alone)."""
+        known = replace(self.step, tuned=None).parameters()
+        if unknown := [p for p in params if p not in known and p not in self.step.args]:
+            raise ValueError(f"{self.step.op} has no parameters {unknown}; it has {sorted(known)}")
+        return LazyFrame(replace(self.step, tuned=tuple(params)))
+
+    def add_source(self, name: str = "input", schema: dict[str, str] | None = None) -> LazyFrame:
+        """The plan with its source replaced: another name, and types that the frame must have."""
+
+        def walk(s: Step) -> Step:
+            if s.op == "source":
+                return Step("source", {"name": name, **({"expected_schema": schema} if schema else {})})
+            return replace(s, inputs=(walk(s.inputs[0]), *s.inputs[1:])) if s.inputs else s
+
+        return LazyFrame(walk(self.step))
+
     def optimize(self, *rules: Callable[[Step], Step]) -> LazyFrame:
         step = self.step
         for rule in rules or (push_filters, pull_above_joins, push_filters):
@@ -238,7 +294,34 @@ class LazyFrame:
         return execute(engine, self.step, tables, {} if done is None else done)
 
 
+def register_udaf(engine: Engine, name: str, fn: Callable, returns: str = "double") -> None:
+    """A function of pandas series to one value, for SQL in ``group_by``; rows of a group meet in one task."""
+    import pandas as pd
+
+    def run(*cols):
+        return fn(*cols)
+
+    run.__annotations__ = {"cols": pd.Series, "return": float}
+    engine.spark.udf.register(name, F.pandas_udf(run, returns, functionType=F.PandasUDFType.GROUPED_AGG))
+
+
+def register_udtf(engine: Engine, name: str, cls: type, returns: str) -> None:
+    """A table function: a class whose ``eval`` yields rows."""
+    engine.spark.udtf.register(name, F.udtf(cls, returnType=returns))
+
+
+def _beside(l: DataFrame, r: DataFrame, a: dict) -> DataFrame:
+    from ..storage import with_position
+
+    place = "__sembra_place"
+    l, r = with_position(l, a["order"], place), with_position(r, a["other_order"], place)
+    return l.join(r, place, "full").drop(place)
+
+
 def _group(df: DataFrame, a: dict) -> DataFrame:
+    if isinstance(a.get("sets"), list):
+        sets = [[F.col(k) for k in s] for s in a["sets"]]
+        return df.groupingSets(sets, *[F.col(k) for k in a["keys"]]).agg(*[F.expr(e).alias(n) for n, e in a["aggs"].items()])
     g = {None: df.groupBy, "rollup": df.rollup, "cube": df.cube}[a.get("sets")](*a["keys"])
     return g.agg(*[F.expr(e).alias(n) for n, e in a["aggs"].items()])
 
@@ -287,7 +370,7 @@ def execute(engine: Engine, step: Step, tables: dict[str, DataFrame], done: dict
                 raise ValueError(f"the source differs from what was declared: {bad}")
         return df
     ins = [execute(engine, i, tables, done) for i in step.inputs]
-    a, df = step.args, ins[0]
+    a, df = step.args, ins[0] if ins else None
     if step.op == "filter":
         out = df.where(a["predicate"])
     elif step.op == "select":
@@ -310,6 +393,11 @@ def execute(engine: Engine, step: Step, tables: dict[str, DataFrame], done: dict
         out = _join(df, ins[1], a)
     elif step.op == "union":
         out = {"union": lambda: df.unionByName(ins[1], allowMissingColumns=True), "intersect": lambda: df.intersect(ins[1]), "intersect_all": lambda: df.intersectAll(ins[1]), "except": lambda: df.subtract(ins[1]), "except_all": lambda: df.exceptAll(ins[1])}[a["how"]]()
+    elif step.op == "beside":
+        out = _beside(df, ins[1], a)
+    elif step.op == "lateral":
+        call = f"{a['fn']}({', '.join(a['args'])})"
+        out = engine.spark.sql("SELECT * FROM {this}, LATERAL " + call, this=df)
     elif step.op == "explode":
         out = df.withColumn(a["alias"], F.explode(F.expr(a["col"])))
     elif step.op == "sql":
@@ -346,7 +434,9 @@ class PromptOptimizer:
 
 
 class CascadeOptimizer:
-    """Learns the thresholds of a plan's filter cascades on training data and stores them in the plan."""
+    """Learns the thresholds of a plan's cascades (filters, joins, pairwise judges) on training data and stores them in the plan."""
+
+    OPS = ("sem_filter", "sem_join", "pairwise_judge")
 
     def __init__(self, engine: Engine, training: dict[str, DataFrame]):
         self.engine, self.training = engine, training
@@ -355,12 +445,13 @@ class CascadeOptimizer:
         def walk(s: Step) -> Step:
             s = replace(s, inputs=tuple(walk(i) for i in s.inputs))
             args = s.args.get("cascade")
-            if s.op == "sem_filter" and args is not None and args.fixed is None:
-                df = execute(self.engine, s.inputs[0], self.training, {})
-                from ..operators.rowwise import sem_filter
-
-                _, stats = sem_filter(self.engine, df, **{k: v for k, v in s.args.items() if k != "return_stats"}, return_stats=True)
-                s = replace(s, args=s.args | {"cascade": replace(args, fixed=(stats.pos_threshold, stats.neg_threshold))})
+            if s.op in self.OPS and args is not None and args.fixed is None:
+                ins = [execute(self.engine, i, self.training, {}) for i in s.inputs]
+                _, stats = _model_steps()[s.op](self.engine, *ins, **{k: v for k, v in s.args.items() if k != "return_stats"}, return_stats=True)
+                one = next((x for x in stats if x is not None), None) if isinstance(stats, list) else stats
+                if one is not None and one.pos_threshold is not None:
+                    learned = replace(args, fixed=(one.pos_threshold, one.neg_threshold))
+                    s = replace(s, args=s.args | {"cascade": replace(learned, plan=one.plan) if s.op == "sem_join" else learned})
             return s
 
         return LazyFrame(walk(plan.step))

@@ -15,65 +15,148 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FORMATS = ("csv", "json", "parquet", "txt", "xlsx")
 
 
+def _connect(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+
+def _kind(found: set[str]) -> str:
+    """The Spark type that holds values of these SQLite types without loss."""
+    found = found - {"null"}
+    return "bigint" if found == {"integer"} else "double" if found and found <= {"integer", "real"} else "binary" if found == {"blob"} else "string"
+
+
 class SqliteSource(DataSource):
-    """``spark.read.format("sqlite")``: option path and query; one partition, or rowid ranges of a table."""
+    """``spark.read.format("sqlite")``: options path and query, or path and table with partitions (rowid ranges).
+
+    Types come from all values, by one aggregate over SQLite's ``typeof``, so that none is lost: a
+    column of integers and reals is double, one of numbers and texts is string.  A given schema is kept;
+    a value that it can't hold raises.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "sqlite"
 
     def schema(self) -> str:
-        con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
-        cur = con.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 100")
-        names, rows = [c[0] for c in cur.description], cur.fetchall()
+        con = _connect(self.options["path"])
+        query = _query(self.options)
+        names = [c[0] for c in con.execute(f"SELECT * FROM ({query}) LIMIT 0").description]
+        quoted = ['"' + n.replace('"', '""') + '"' for n in names]
+        kinds = con.execute("SELECT " + ", ".join(f"group_concat(DISTINCT typeof({q}))" for q in quoted) + f" FROM ({query})").fetchone()
         con.close()
-        kinds = []
-        for i in range(len(names)):
-            seen = {type(r[i]) for r in rows} - {type(None)}
-            kinds.append("bigint" if seen == {int} else "double" if seen and seen <= {int, float} else "binary" if seen == {bytes} else "string")
-        return ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+        return ", ".join(f"`{n}` {_kind(set((k or '').split(',')) - {''})}" for n, k in zip(names, kinds))
 
     def reader(self, schema) -> DataSourceReader:
         return _SqliteReader(self.options, schema)
 
 
+def _query(options) -> str:
+    if options.get("query"):
+        return options["query"]
+    return 'SELECT * FROM "' + options["table"].replace('"', '""') + '"'
+
+
+class _Range(InputPartition):
+    def __init__(self, low: int | None = None, high: int | None = None):
+        self.low, self.high = low, high
+
+
 class _SqliteReader(DataSourceReader):
     def __init__(self, options, schema):
-        self.options, self.kinds = dict(options), [f.dataType.typeName() for f in schema]
+        self.options, self.kinds, self.names = dict(options), [f.dataType.typeName() for f in schema], [f.name for f in schema]
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        n = int(self.options.get("partitions", 1))
+        if n < 2 or not self.options.get("table"):
+            return [_Range()]
+        con = _connect(self.options["path"])
+        low, high = con.execute('SELECT min(rowid), max(rowid) FROM "' + self.options["table"].replace('"', '""') + '"').fetchone()
+        con.close()
+        if low is None:
+            return [_Range()]
+        step = -(-(high - low + 1) // n)
+        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+
+    def _value(self, v, kind: str, name: str):
+        if v is None or kind == "string" and isinstance(v, str) or kind == "binary" and isinstance(v, bytes):
+            return v
+        try:
+            if kind == "long" and int(v) == v:
+                return int(v)
+            if kind == "double" and not isinstance(v, str) and float(v) == v:
+                return float(v)
+            if kind == "string" and not isinstance(v, bytes):
+                return repr(v) if isinstance(v, float) else str(v)
+        except (TypeError, ValueError):
+            pass
+        raise ValueError(f"column {name!r} is declared {kind} and can't hold {v!r}")
 
     def read(self, partition) -> Iterator[tuple]:
-        cast = [{"long": int, "double": float, "string": str}.get(k, lambda v: v) for k in self.kinds]
-        con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
-        for row in con.execute(self.options["query"]):
-            yield tuple(None if v is None else c(v) for c, v in zip(cast, row))
+        con = _connect(self.options["path"])
+        query = _query(self.options)
+        if partition.low is not None:
+            query += f" WHERE rowid >= {partition.low} AND rowid < {partition.high}"
+        for row in con.execute(query):
+            yield tuple(self._value(v, k, n) for v, k, n in zip(row, self.kinds, self.names))
         con.close()
 
 
-def load_from_db(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    """The rows of a query: ``sqlite:///path`` by the source above, any other JDBC url by its driver."""
+def load_from_db(spark: SparkSession, url: str, query: str | None = None, schema: str | None = None, table: str | None = None, partitions: int = 1, **options) -> DataFrame:
+    """The rows of a query or a table: ``sqlite:///path`` by the source above, any other JDBC url by its driver.
+
+    ``partitions`` reads a SQLite table by ranges of its rowid.
+    """
+    if (query is None) == (table is None):
+        raise ValueError("a query or a table is needed")
     if url.startswith("sqlite:///"):
         spark.dataSource.register(SqliteSource)
-        return spark.read.format("sqlite").option("path", url.removeprefix("sqlite:///")).option("query", query).load()
+        reader = spark.read.format("sqlite").option("path", url.removeprefix("sqlite:///")).option("partitions", partitions)
+        reader = reader.option("query", query) if query else reader.option("table", table)
+        return (reader.schema(schema) if schema else reader).load()
     jdbc = url if url.startswith("jdbc:") else "jdbc:" + url
-    return spark.read.format("jdbc").option("url", jdbc).option("query", query).options(**options).load()
+    reader = spark.read.format("jdbc").option("url", jdbc).options(**options)
+    return (reader.option("query", query) if query else reader.option("dbtable", table)).load()
 
 
-def load_files(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
+def load_files(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None, **options) -> DataFrame:
     """csv, json, parquet, txt (tabs) or xlsx, from any file system that Spark reads (s3a://, hdfs://, file)."""
     kind = (kind or path.rpartition(".")[2]).lower()
     if kind not in FORMATS:
         raise ValueError(f"format is one of {FORMATS}")
     if kind == "xlsx":
-        import io
-
-        raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-        return spark.createDataFrame(pd.read_excel(io.BytesIO(bytes(raw)), **options))
+        return _load_xlsx(spark, path, schema, options)
+    reader = spark.read.schema(schema) if schema else spark.read
     if kind in ("csv", "txt"):
-        return spark.read.options(header=True, inferSchema=True, sep="\t" if kind == "txt" else ",", **options).csv(path)
-    return spark.read.options(**options).format(kind).load(path)
+        return reader.options(**{"header": True, "inferSchema": schema is None, "sep": "\t" if kind == "txt" else ",", **options}).csv(path)
+    return reader.options(**options).format(kind).load(path)
+
+
+def read_xlsx(data: bytes, **options) -> pd.DataFrame:
+    """One workbook, by the library that pandas finds; replace it in XLSX where there is another."""
+    import io
+
+    return pd.read_excel(io.BytesIO(data), **options)
+
+
+XLSX: list = [read_xlsx]
+
+
+def _load_xlsx(spark: SparkSession, path: str, schema: str | None, options: dict) -> DataFrame:
+    """All workbooks of a folder or glob; without a schema, all are read once for their columns, and these for the types."""
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    read = XLSX[0]
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for data in frame["content"]:
+                book = read(bytes(data), **options)
+                book.columns = [str(c) for c in book.columns]
+                yield pd.DataFrame({"line": [json.dumps({k: None if pd.isna(v) else v.item() if hasattr(v, "item") else v if isinstance(v, (bool, int, float, str)) else str(v) for k, v in r.items()}) for r in book.to_dict("records")]}, dtype=object)
+
+    text = raw.mapInPandas(lines, "line string")
+    if schema is None:
+        schema = spark.read.json(text.rdd.map(lambda r: r[0])).schema
+    return text.select(F.from_json("line", schema).alias("row")).select("row.*")
 
 
 def s3_options(spark: SparkSession, key: str, secret: str, endpoint: str | None = None) -> None:
@@ -141,6 +224,8 @@ class DirectoryReader:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.recursive = spark, [], True
+        self.urls: list[str] = []
+        self.fetch = None
 
     def add_file(self, path: str) -> DirectoryReader:
         self.paths.append(path)
@@ -150,6 +235,15 @@ class DirectoryReader:
         self.recursive = recursive
         return self.add_file(path)
 
+    def add_multiple(self, paths: list[str]) -> DirectoryReader:
+        return self.add(*paths)
+
+    def add_url(self, url: str, fetch=None) -> DirectoryReader:
+        """A page that is fetched by the task that parses it; its path is the address."""
+        self.urls.append(url)
+        self.fetch = fetch or self.fetch
+        return self
+
     def add(self, *paths: str) -> DirectoryReader:
         for p in paths:
             self.add_file(p)
@@ -160,22 +254,44 @@ class DirectoryReader:
 
         A file that has no parser or can't be parsed gives one row with a null content and an error.
         """
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", str(self.recursive).lower()).load(self.paths)
-        known = dict(PARSERS)
+        known, fetch = dict(PARSERS), self.fetch
+        raw = None
+        if self.paths:
+            raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", str(self.recursive).lower()).load(self.paths).select("path", "content")
+        if self.urls:
+            pages = self.spark.createDataFrame([(u, None) for u in self.urls], "path string, content binary").repartition(len(self.urls))
+            raw = pages if raw is None else raw.union(pages)
+        if raw is None:
+            raise ValueError("nothing was added")
+
+        def body(path: str, data) -> tuple[str, bytes]:
+            """(kind, bytes); pages are fetched here."""
+            if data is not None:
+                return path.rpartition(".")[2].lower(), bytes(data)
+            if fetch is not None:
+                got = fetch(path)
+            else:
+                from urllib.request import urlopen
+
+                got = urlopen(path, timeout=60).read()
+            last = path.rpartition("/")[2].partition("?")[0]
+            kind = last.rpartition(".")[2].lower() if "." in last else "html"
+            return kind if kind in known else "html", got.encode() if isinstance(got, str) else got
 
         def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 rows = []
                 for path, data in zip(frame["path"], frame["content"]):
                     try:
-                        pages = known[path.rpartition(".")[2].lower()](bytes(data))
+                        kind, got = body(path, data)
+                        pages = known[kind](got)
                         pages = pages if per_page else ["\n".join(pages)]
                         rows += [(path, i, p, None) for i, p in enumerate(pages)]
                     except Exception as wrong:
                         rows.append((path, 0, None, f"{type(wrong).__name__}: {wrong}"))
                 yield pd.DataFrame(rows, columns=["path", "page", "content", "error"])
 
-        out = raw.select("path", "content").mapInPandas(parse, "path string, page int, content string, error string")
+        out = raw.mapInPandas(parse, "path string, page int, content string, error string")
         if chunk_tokens:
             step = chunk_tokens - overlap
             if step < 1:

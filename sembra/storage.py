@@ -14,6 +14,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = own.get() if own.isDefined() else "file://" + tempfile.mkdtemp(prefix="sembra-")
         if not own.isDefined():
             spark.sparkContext.setCheckpointDir(conf)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..storage import shared_path
 
 
 def tumbling(df: DataFrame, time_col: str, width: str, keys: list[str], slide: str | None = None, late: str | None = None, **aggs: str) -> DataFrame:
@@ -30,11 +31,21 @@ def read_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Process what is there into an in-memory table and return it (tests and small jobs)."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+    """Process what is there into a parquet table of the shared folder and return it.
+
+    In mode complete each batch writes the whole result, the last of which stands; in mode append a
+    batch has a folder of its own, so one that is run again replaces its own rows.
+    """
+    spark = df.sparkSession
+    sink = shared_path(spark, name)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={number if mode == 'append' else 0}")
+
+    writer = df.writeStream.foreachBatch(batch).outputMode(mode).trigger(availableNow=True)
+    writer = writer.option("checkpointLocation", checkpoint or shared_path(spark, f"{name}-checkpoint"))
     writer.start().awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(sink).select(*df.columns)
 
 
 def sem_stream(engine: Engine, stream: DataFrame, step: Callable[[Engine, DataFrame], DataFrame], sink: str, checkpoint: str):

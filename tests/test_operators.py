@@ -9,7 +9,7 @@ from sembra import catalogue, rules
 from sembra.agentic.corpus import Corpus, derive_plan, normalize_ops
 from sembra.agentic.loop import LocalSandbox, python_tool, run_agent, tool
 from sembra.backend import Completion, Limits, RuleBackend, UsageLimitError
-from sembra.cascade import CascadeArgs, calibrate, importance_sample, learn
+from sembra.cascade import CascadeArgs, draw, learn
 from sembra.engine import Engine
 from sembra.operators.aggregation import sem_agg
 from sembra.operators.joins import sem_join
@@ -65,12 +65,13 @@ def test_map_extract_judge(spark):
 
 
 def test_cascade_math():
-    scores = np.linspace(0, 1, 101)
-    assert calibrate(scores).min() == 0 and calibrate(scores).max() == 1
+    scores = np.linspace(0, 1, 101)[::-1]
     args = CascadeArgs(seed=1)
-    drawn, fix = importance_sample(scores, args)
-    assert len(drawn) == 10 and (fix > 0).all()
-    assert len(importance_sample(np.zeros(3), args)[0]) == 1
+    drawn = draw(list(enumerate(scores)), 101, np.sqrt(scores).sum(), args)
+    assert sum(d.times for d in drawn.values()) == 10 and all(d.correction > 0 for d in drawn.values())
+    assert sum(d.times for d in draw([(0, 0.0), (1, 0.0), (2, 0.0)], 3, 0.0, args).values()) == 1
+    assert sum(d.times for d in draw(list(enumerate(scores)), 10**9, 5e8, args).values()) == 10**8  # no cap on the draws
+    assert draw([], 0, 0.0, args) == {}
     perfect = [(s, s > 0.5, 1.0) for s in np.linspace(0.01, 0.99, 400)]
     pos, neg = learn(perfect, CascadeArgs(recall_target=0.9, precision_target=0.9))
     assert neg <= pos <= 1 and neg < 0.6
