@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .backend import Backend, Embedder, HashEmbedder, Limits, Reranker, Usage, cost_of
 from .storage import materialise, shared_path
 
+#: Logs of more calls are first cut to the keys that a barrier needs, which takes a job.
+LARGE_LOG = 1_000_000
 LOG = "key string, model string, text string, positive_prob double, tokens_in long, tokens_out long"
 
 
@@ -49,6 +51,7 @@ class Engine:
     cache_path: str | None = None
     safe_mode: bool = False  # calls and tokens are counted, and limits checked, before a barrier spends anything
     estimates: list[dict] = field(default_factory=list)
+    log_rows: dict[str, int] = field(default_factory=dict)  # calls in the log, by folder
 
     def with_(self, **changes) -> Engine:
         return replace(self, **changes)
@@ -81,7 +84,10 @@ class Engine:
         asked = every
         hits = None
         if known is not None:
-            hits = materialise(known.join(every.select(F.col("__sembra_key").alias("key")), "key", "left_semi"), "hits")
+            if log not in self.log_rows:
+                self.log_rows[log] = known.count()
+            large = self.log_rows[log] > LARGE_LOG
+            hits = materialise(known.join(every.select(F.col("__sembra_key").alias("key")), "key", "left_semi"), "hits") if large else known
             asked = every.join(hits.select(F.col("key").alias("__sembra_key")), "__sembra_key", "left_anti")
         if self.safe_mode:
             self._check_before(asked, backend)
@@ -119,6 +125,7 @@ class Engine:
         u.tokens_in += tin
         u.tokens_out += tout
         u.cost += cost_of(backend.model, tin, tout)
+        self.log_rows[log] = self.log_rows.get(log, 0) + calls
         self.limits.check(u)
         said = found.groupBy("key").agg(F.first(F.struct("text", "positive_prob")).alias("__sembra_said"))
         return df.join(said.withColumnRenamed("key", "__sembra_key"), "__sembra_key", "left").drop("__sembra_key", "__sembra_prompt")

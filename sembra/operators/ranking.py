@@ -42,8 +42,8 @@ class _Comparer:
         self.stats = TopKStats()
         self.known: dict[tuple[int, int], bool] = {}
 
-    def ask(self, both: DataFrame) -> DataFrame:
-        """(i, j, w): for pairs of ids (__sembra_i, __sembra_j), whether the first is better."""
+    def ask(self, both: DataFrame, n: int | None = None) -> DataFrame:
+        """(i, j, w): for pairs of ids (__sembra_i, __sembra_j), n of them if that is known, whether the first is better."""
         a = self.docs.select(F.col("__sembra_id").alias("__sembra_i"), F.col("__sembra_text").alias("__sembra_a"))
         b = self.docs.select(F.col("__sembra_id").alias("__sembra_j"), F.col("__sembra_text").alias("__sembra_b"))
         shown = both.join(a, "__sembra_i").join(b, "__sembra_j").withColumn("__sembra_both", F.concat(F.lit("Document 1:\n"), "__sembra_a", F.lit("\nDocument 2:\n"), "__sembra_b"))
@@ -52,8 +52,11 @@ class _Comparer:
         ids = [F.col("__sembra_i").alias("i"), F.col("__sembra_j").alias("j")]
         self.stats.rounds += 1
         if self.threshold is None:
-            out = self.engine.materialise(self.engine.ask(shown, prompt).select(*ids, first), "compared")
-            self.stats.calls += out.count()
+            out = self.engine.ask(shown, prompt).select(*ids, first)
+            if n is None:
+                out = self.engine.materialise(out, "compared")
+                n = out.count()
+            self.stats.calls += n
             return out
         # the helper's choice stands where it is sure enough
         said = self.engine.ask(shown, prompt, self.engine.helper).select("__sembra_i", "__sembra_j", "__sembra_both", first, "__sembra_said.positive_prob")
@@ -69,7 +72,7 @@ class _Comparer:
         new = [p for p in dict.fromkeys(pairs) if p not in self.known]
         if new:
             both = self.engine.spark.createDataFrame(new, "__sembra_i long, __sembra_j long")
-            self.known |= {(r.i, r.j): r.w for r in self.ask(both).collect()}
+            self.known |= {(r.i, r.j): r.w for r in self.ask(both, len(new)).collect()}
         return [self.known[p] for p in pairs]
 
 

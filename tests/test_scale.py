@@ -146,6 +146,18 @@ def test_virtual_and_physical_usage(engine, spark):
     assert u.tokens_in == now[0] and u.virtual_tokens_in == 2 * now[1]
 
 
+def test_large_logs(engine, spark, monkeypatch):
+    """A log that is first cut to the keys in question gives the same answers, and a log of another engine is found."""
+    from sembra import engine as engine_module
+
+    df = spark.createDataFrame([("a ring",), ("a cup",), ("ring b",)], "p_name string")
+    want = sem_filter(engine, df, "{p_name} names a ring").collect()
+    monkeypatch.setattr(engine_module, "LARGE_LOG", 0)
+    other = Engine(spark, rules.backend(), log_path=engine.log_path)
+    assert sorted(sem_filter(other, df, "{p_name} names a ring").collect()) == sorted(want) and other.usage.calls == 0
+    assert sem_filter(other, df.union(spark.createDataFrame([("new ring",)], "p_name string")), "{p_name} names a ring").count() == 3 and other.usage.calls == 1
+
+
 def test_operator_cache(spark):
     e = Engine(spark, rules.backend(), use_operator_cache=True, use_log=False)
     df = spark.createDataFrame([("a ring", None), ("a cup", "x"), (None, "y")], "p_name string, z string")
