@@ -62,6 +62,27 @@ class LocalSandbox:
             return ExecResult(done.stdout, done.stderr, done.returncode)
 
 
+class DockerSandbox(LocalSandbox):
+    """Code in a new container without network, its folder mounted; needs the docker command where it runs."""
+
+    def __init__(self, image: str = "python:3.12-slim", timeout: float = 60.0, memory: str = "512m", command: str = "docker"):
+        super().__init__(timeout)
+        self.image, self.memory, self.command = image, memory, command
+
+    def run_code(self, code: str, files: dict[str, str] | None = None) -> ExecResult:
+        with tempfile.TemporaryDirectory() as folder:
+            for name, body in (files or {}).items():
+                Path(folder, Path(name).name).write_text(body)
+            ask = [self.command, "run", "--rm", "--network=none", f"--memory={self.memory}", f"--volume={folder}:/work", "--workdir=/work", self.image, "python", "-I", "-c", code]
+            try:
+                done = subprocess.run(ask, capture_output=True, text=True, timeout=self.timeout)
+            except subprocess.TimeoutExpired:
+                return ExecResult("", "time limit", 124)
+            except FileNotFoundError:
+                return ExecResult("", f"{self.command} isn't there", 127)
+            return ExecResult(done.stdout, done.stderr, done.returncode)
+
+
 def python_tool(sandbox: LocalSandbox | None = None) -> Tool:
     box = sandbox or LocalSandbox()
 

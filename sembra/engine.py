@@ -92,7 +92,9 @@ class Engine:
         if self.safe_mode:
             self._check_before(asked, backend)
         rpm, tpm = self.requests_per_minute, self.tokens_per_minute
-        tasks = self.spark.sparkContext.defaultParallelism
+        # shares of a limit are those of as many tasks as there are, and never less than one request
+        tasks = max(1, min(self.spark.sparkContext.defaultParallelism, rpm or tpm or 1))
+        asked = asked.repartition(tasks) if rpm or tpm else asked
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from .backend import RateLimiter

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sembra import catalogue, rules
 from sembra.agentic import corpus as corpus_module
 from sembra.agentic.corpus import Corpus, derive_plan
+from sembra.agentic.loop import DockerSandbox
 from sembra.backend import FileTokenizer, FixedEmbedder, HttpEmbedder, Limits, RuleBackend, UsageLimitError
 from sembra.cascade import CascadeArgs, calibrate
 from sembra.engine import Engine
@@ -331,6 +332,18 @@ def test_shared_context(spark):
     assert "background" in given.content and "one of" not in given.content
 
 
+def test_docker_sandbox(tmp_path):
+    """The command line, by a stand-in for docker that runs what comes after the image in the mounted folder."""
+    fake = tmp_path / "docker"
+    fake.write_text('#!/bin/sh\nfor a in "$@"; do case "$a" in --volume=*) d=${a#--volume=}; cd "${d%%:*}";; esac; done\nwhile [ "$1" != img ]; do shift; done\nshift\nexec "$@"\n')
+    fake.chmod(0o755)
+    box = DockerSandbox("img", command=str(fake))
+    got = box.run_code("print(open('a.txt').read() * 2)", {"a.txt": "xy"})
+    assert (got.stdout.strip(), got.code) == ("xyxy", 0)
+    assert box.run_code("raise SystemExit(3)").code == 3
+    assert DockerSandbox("img", command=str(tmp_path / "none")).run_code("1").code == 127
+
+
 # sources
 
 
