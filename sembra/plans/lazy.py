@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..cascade import CascadeArgs
 from ..engine import Engine
 from ..functions.langex import columns_of
+from ..storage import materialise
 
 #: Arguments that are instructions.
 TEXTS = ("instruction", "system_prompt", "extra_instructions")
@@ -327,9 +328,25 @@ def _group(df: DataFrame, a: dict) -> DataFrame:
 
 
 def _join(l: DataFrame, r: DataFrame, a: dict) -> DataFrame:
+    if a["how"] in FULL and a["on"]:
+        return _full(l, r, a["on"])
     return l.crossJoin(r) if a["how"] == "cross" else l.join(r, a["on"], a["how"])
 
 
+FULL = ("full", "outer", "fullouter", "full_outer")
+
+
+def _full(l: DataFrame, r: DataFrame, on: list[str]) -> DataFrame:
+    """A full join as a left join and the right rows that meet none.
+
+    Spark's own keeps all that one key gives in memory, pairs included; a left join hands pairs on.
+    """
+    l, r = (d if d._jdf.queryExecution().analyzed().deterministic() else materialise(d) for d in (l, r))  # both are read twice
+    own = [F.lit(None).cast(f.dataType).alias(f.name) for f in l.schema if f.name not in on]
+    alone = r.join(l.select(*on), on, "left_anti").select(*on, *own, *[F.col(f"`{c}`") for c in r.columns if c not in on])
+    return l.join(r, on, "left").union(alone)
+
+
 FUNCTIONS: dict[str, Callable] = {}
 
 
