@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 
 @dataclass(frozen=True)
 class CascadeArgs:
@@ -64,12 +68,34 @@ class Drawn:
     times: int
 
 
+def quantile_edges(scores: DataFrame, col: str, quantiles: int) -> list[float]:
+    """The exact values at the ranks ceil(i / quantiles x rows), i from 0, the first rank at least.
+
+    Equal values are counted, and the counts summed within ranges of values; a row per range and the
+    edges themselves come to the driver.
+    """
+    counts = scores.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
+    ranges = materialise(counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "counts")
+    before, at = [], 0
+    for r in ranges.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
+        before.append((r.p, at))
+        at += r.n
+    if not at:
+        return []
+    ranks = [max(1, math.ceil(i / quantiles * at)) for i in range(quantiles + 1)]
+    starts = F.broadcast(ranges.sparkSession.createDataFrame(before, "p int, start long"))
+    upto = ranges.join(starts, "p").withColumn("last", F.col("start") + F.sum("n").over(Window.partitionBy("p").orderBy("v")))
+    hit = upto.where(F.exists(F.lit(ranks), lambda k: (k <= F.col("last")) & (k > F.col("last") - F.col("n"))))
+    found = sorted(tuple(r) for r in hit.select("last", "v").collect())
+    return [float(found[bisect.bisect_left(found, (k,))][1]) for k in ranks]
+
+
 def calibrate(scored: DataFrame, quantiles: int = 50) -> DataFrame:
-    """Scores to the share of quantile edges that they reach; the edges (to one row in ten thousand) are a bounded list."""
-    edges = scored.agg(F.percentile_approx("__sembra_score", [i / quantiles for i in range(quantiles + 1)], 10_000)).first()[0]
+    """Scores to the share of quantile edges that they reach; the edges are exact, and a bounded list."""
+    edges = quantile_edges(scored, "__sembra_score", quantiles)
     if not edges:
         return scored
-    reached = F.size(F.filter(F.lit([float(e) for e in edges]), lambda e: e <= F.col("__sembra_score")))
+    reached = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("__sembra_score")))
     return scored.withColumn("__sembra_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (reached - 1) / F.lit(float(quantiles)))))
 
 
