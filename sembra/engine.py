@@ -62,11 +62,13 @@ class Engine:
     def materialise(self, df: DataFrame, name: str = "step") -> DataFrame:
         return materialise(df, name)
 
-    def ask(self, df: DataFrame, prompt: Column, backend: Backend | None = None, salt: str = "") -> DataFrame:
+    def ask(self, df: DataFrame, prompt: Column, backend: Backend | None = None, salt: str = "", merge: bool = False) -> DataFrame:
         """df with column _said: struct<text, positive_prob>; one call for equal prompts, none for logged ones.
 
         ``salt`` tells calls apart that must not share an answer (trials).  A null prompt isn't asked.
+        ``merge``: no table of the barrier is broadcast, for rounds whose tables would pass the driver each time.
         """
+        met = (lambda d: d.hint("merge")) if merge else (lambda d: d)
         backend = backend or self.lm
         if backend is None:
             raise ValueError("no model is configured")
@@ -87,8 +89,8 @@ class Engine:
             if log not in self.log_rows:
                 self.log_rows[log] = known.count()
             large = self.log_rows[log] > LARGE_LOG
-            hits = materialise(known.join(every.select(F.col("__sembra_key").alias("key")), "key", "left_semi"), "hits") if large else known
-            asked = every.join(hits.select(F.col("key").alias("__sembra_key")), "__sembra_key", "left_anti")
+            hits = materialise(known.join(met(every.select(F.col("__sembra_key").alias("key"))), "key", "left_semi"), "hits") if large else known
+            asked = every.join(met(hits.select(F.col("key").alias("__sembra_key"))), "__sembra_key", "left_anti")
         if self.safe_mode:
             self._check_before(asked, backend)
         rpm, tpm = self.requests_per_minute, self.tokens_per_minute
@@ -130,7 +132,7 @@ class Engine:
         self.log_rows[log] = self.log_rows.get(log, 0) + calls
         self.limits.check(u)
         said = found.groupBy("key").agg(F.first(F.struct("text", "positive_prob")).alias("__sembra_said"))
-        return df.join(said.withColumnRenamed("key", "__sembra_key"), "__sembra_key", "left").drop("__sembra_key", "__sembra_prompt")
+        return df.join(met(said.withColumnRenamed("key", "__sembra_key")), "__sembra_key", "left").drop("__sembra_key", "__sembra_prompt")
 
     def _check_before(self, asked: DataFrame, backend: Backend) -> None:
         """Record what a barrier would ask, and raise where that alone passes a limit."""

@@ -1,8 +1,9 @@
 """Top-k by pairwise comparison: naive, quick, quick over vectors, heap; grouped and cascaded.
 
 Texts stay in Spark and each round of comparisons is one barrier.  Naive is a join of a group with
-itself, whose votes are counted in Spark.  The other methods keep ids and order on the driver, up to
-DRIVER_ROWS of them; larger groups are first cut by pivots in Spark, until what is left of a part fits.
+itself, whose votes are counted in Spark.  The other methods keep ids and order on the driver, and compare
+up to COMPARED_ROWS rows from there; larger groups are first cut by pivots in Spark, until what is left of a
+part fits.  Rounds broadcast nothing, as each would pass its tables through the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ..functions.serialize import row_text
 
 METHODS = ("naive", "quick", "quick-sem", "heap")
 DRIVER_ROWS = 100_000
+#: Rows that are compared from the driver, and of larger groups the rows among which a pivot is chosen.
+COMPARED_ROWS, PIVOT_ROWS = 4_000, 500
 
 
 @dataclass
@@ -42,49 +45,63 @@ class _Comparer:
         self.stats = TopKStats()
         self.known: dict[tuple[int, int], bool] = {}
 
-    def ask(self, both: DataFrame, n: int | None = None) -> DataFrame:
-        """(i, j, w): for pairs of ids (__sembra_i, __sembra_j), n of them if that is known, whether the first is better."""
+    def ask(self, both: DataFrame, n: int | None = None, pivot: int | None = None) -> DataFrame:
+        """(i, j, w): for pairs of ids (__sembra_i, __sembra_j), n of them if that is known, whether the first is better.
+
+        ``pivot``: the one id that all are compared with; its text then is a constant.
+        """
         a = self.docs.select(F.col("__sembra_id").alias("__sembra_i"), F.col("__sembra_text").alias("__sembra_a"))
-        b = self.docs.select(F.col("__sembra_id").alias("__sembra_j"), F.col("__sembra_text").alias("__sembra_b"))
-        shown = both.join(a, "__sembra_i").join(b, "__sembra_j").withColumn("__sembra_both", F.concat(F.lit("Document 1:\n"), "__sembra_a", F.lit("\nDocument 2:\n"), "__sembra_b"))
+        shown = both.join(a.hint("merge"), "__sembra_i")
+        if pivot is not None:
+            shown = shown.withColumn("__sembra_b", F.lit(self.docs.where(F.col("__sembra_id") == pivot).first()["__sembra_text"]))
+        else:
+            b = self.docs.select(F.col("__sembra_id").alias("__sembra_j"), F.col("__sembra_text").alias("__sembra_b"))
+            shown = shown.join(b.hint("merge"), "__sembra_j")
+        shown = shown.withColumn("__sembra_both", F.concat(F.lit("Document 1:\n"), "__sembra_a", F.lit("\nDocument 2:\n"), "__sembra_b"))
         prompt = chat(self.head, F.col("__sembra_both"), self.task)
         first = answers.first_wins(F.col("__sembra_said.text")).alias("w")
         ids = [F.col("__sembra_i").alias("i"), F.col("__sembra_j").alias("j")]
         self.stats.rounds += 1
         if self.threshold is None:
-            out = self.engine.ask(shown, prompt).select(*ids, first)
+            out = self.engine.ask(shown, prompt, merge=True).select(*ids, first)
             if n is None:
                 out = self.engine.materialise(out, "compared")
                 n = out.count()
             self.stats.calls += n
             return out
         # the helper's choice stands where it is sure enough
-        said = self.engine.ask(shown, prompt, self.engine.helper).select("__sembra_i", "__sembra_j", "__sembra_both", first, "__sembra_said.positive_prob")
+        said = self.engine.ask(shown, prompt, self.engine.helper, merge=True).select("__sembra_i", "__sembra_j", "__sembra_both", first, "__sembra_said.positive_prob")
         said = self.engine.materialise(said, "compared")
         self.stats.helper_calls += said.count()
         p = F.coalesce("positive_prob", F.lit(0.5))
         sure = F.greatest(p, 1 - p) >= self.threshold
         rest = said.where(~sure)
         self.stats.calls += rest.count()
-        return said.where(sure).select(*ids, "w").union(self.engine.ask(rest.drop("w", "positive_prob"), prompt).select(*ids, first))
+        return said.where(sure).select(*ids, "w").union(self.engine.ask(rest.drop("w", "positive_prob"), prompt, merge=True).select(*ids, first))
 
     def __call__(self, pairs: list[tuple[int, int]]) -> list[bool]:
         new = [p for p in dict.fromkeys(pairs) if p not in self.known]
         if new:
             both = self.engine.spark.createDataFrame(new, "__sembra_i long, __sembra_j long")
-            self.known |= {(r.i, r.j): r.w for r in self.ask(both, len(new)).collect()}
+            self.known |= {(r.i, r.j): r.w for r in self.ask(both, len(new), new[0][1] if len({j for _, j in new}) == 1 else None).collect()}
         return [self.known[p] for p in pairs]
 
 
 def _narrowed(ids: DataFrame, n: int, k: int, better: _Comparer, order: Callable[[list[int], int], list[int]], seed: int) -> list[int]:
-    """The k best of n ids (column id), best first; parts of more than DRIVER_ROWS are cut by a pivot in Spark."""
+    """The k best of n ids (column id), best first; parts of more than COMPARED_ROWS are cut by a pivot in Spark.
+
+    The pivot is one of the best of a few, so that not many more than k ids win against it.
+    """
     k = min(k, n)
     if k <= 0:
         return []
-    if n <= DRIVER_ROWS:
+    if n <= min(COMPARED_ROWS, DRIVER_ROWS):
         return order([r[0] for r in ids.orderBy("id").collect()], k)
-    pivot = ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").first()[0]
-    won = better.engine.materialise(better.ask(ids.where(F.col("id") != pivot).select(F.col("id").alias("__sembra_i"), F.lit(pivot).cast("long").alias("__sembra_j"))), "pivot")
+    some = [r[0] for r in ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(PIVOT_ROWS, DRIVER_ROWS)).collect()]
+    place = min((len(some) + 1) // 2, k * len(some) // n + 3)
+    pivot = _quick(sorted(some), max(1, place), better, random.Random(seed))[-1]
+    pairs = ids.where(F.col("id") != pivot).select(F.col("id").alias("__sembra_i"), F.lit(pivot).cast("long").alias("__sembra_j"))
+    won = better.engine.materialise(better.ask(pairs, pivot=pivot), "pivot")
     high, low = won.where("w").select(F.col("i").alias("id")), won.where("NOT w").select(F.col("i").alias("id"))
     wins = high.count()
     top = _narrowed(high, wins, k, better, order, seed + 1)
@@ -174,7 +191,8 @@ def sem_topk(engine: Engine, df: DataFrame, instruction: str, K: int, method: st
         for r in narrow.orderBy("id").collect() if every else []:
             by_group.setdefault(r.g, []).append(r.id)
         for g in sorted(sizes):
-            best = order(by_group[g], min(K, sizes[g])) if every else _narrowed(narrow.where(F.col("g") == g).select("id"), sizes[g], K, better, order, seed)
+            listed = every and (place or sizes[g] <= COMPARED_ROWS)
+            best = order(by_group[g], min(K, sizes[g])) if listed else _narrowed(narrow.where(F.col("g") == g).select("id"), sizes[g], K, better, order, seed)
             rank += [(i, n + 1) for n, i in enumerate(best)]
         ranked = engine.spark.createDataFrame(rank, schema)
     name = rank_col or "_rank"
