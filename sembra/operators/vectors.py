@@ -1,8 +1,10 @@
 """Vectors: embedding, index tables, search, similarity joins, deduplication, clustering.
 
-Similarity is exact.  A join of N by M vectors takes blocks: the right side is salted into blocks that
-every left block meets, each task multiplies two blocks and keeps its K best per row, and a window
-over at most K x blocks rows per left row takes the final K.
+Similarity is exact.  The right side of a join lies in the shared folder and is read from there block by
+block by every task of the left side, so nothing is copied for pairs of blocks: what is shuffled and written
+follows the rows.  A task keeps the K best of its own left rows, or hands on what lies over a threshold.
+Scores that decide (at the edge of the K best, near a threshold) are summed again in the order of the
+elements, so that equal vectors tie whatever block they are in.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..storage import shared_path
 
 BLOCK_ROWS = 4096
+#: Left rows that meet a block at once, which bounds a task's matrix of scores; and parts of a side for links.
+LEFT_ROWS, TILE_PARTS = 512, 12
 
 
 def similarity(vec: Column, query: list[float]) -> Column:
@@ -74,88 +79,255 @@ def sem_search(engine: Engine, df: DataFrame, query: str | list[float], K: int |
     return out if return_scores else out.drop(name)
 
 
-def _blocks(df: DataFrame, id_col: str, vec_col: str, n: int, side: str) -> DataFrame:
-    return df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(f"{side}b"), F.col(id_col).alias(f"{side}id"), F.col(vec_col).cast("array<double>").alias(f"{side}v"))
+def _written(df: DataFrame, id_col: str, vec_col: str, by: Column, tasks: int | None = None, *more: Column) -> str:
+    """The folder of (id, vec, more) of rows with a vector, one folder ``part=`` per value of ``by``."""
+    path = shared_path(df.sparkSession, "vectors")
+    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), by.alias("part"), *more)
+    (rows.repartition(tasks, "part") if tasks else rows).write.partitionBy("part").parquet(path)
+    return path
+
+
+def _read(folder: str, more: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """(ids, vectors as a matrix, more columns) of a folder by blocks, in a worker; none where it isn't there."""
+    from pyarrow import fs as kinds
+    from pyarrow import parquet
+
+    fs, path = kinds.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (kinds.LocalFileSystem(), folder)
+    for f in sorted(fs.get_file_info(kinds.FileSelector(path, allow_not_found=True)), key=lambda f: f.path):
+        if not f.path.endswith(".parquet"):
+            continue
+        with fs.open_input_file(f.path) as source:
+            for batch in parquet.ParquetFile(source).iter_batches(BLOCK_ROWS, columns=["id", "vec", *more]):
+                if len(batch):
+                    ids, vecs = batch.column("id").to_numpy(zero_copy_only=False), batch.column("vec").flatten().to_numpy(zero_copy_only=False)
+                    yield (ids, vecs.reshape(len(ids), -1), *[batch.column(c).to_pylist() for c in more])
+
+
+def _parts(rows: int, spark) -> int:
+    """Tasks of a left side: somewhat less than a block each, so that few take two; for few rows as many as there are cores."""
+    return max(1, -(-rows // max(1, BLOCK_ROWS * 7 // 8)), min(spark.sparkContext.defaultParallelism, rows // 256))
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Scores of pairs, summed in the order of the elements."""
+    out = np.zeros(len(i))
+    for d in range(a.shape[1]):
+        out += a[i, d] * b[j, d]
+    return out
+
+
+def _slack(s: np.ndarray) -> float:
+    return 1e-12 * (1 + float(np.abs(s).max(initial=0.0)))
+
+
+def _over(a: np.ndarray, b: np.ndarray, above: float) -> np.ndarray:
+    """Which pairs score over ``above``."""
+    s = a @ b.T
+    mask = s > above
+    i, j = np.nonzero(np.abs(s - above) <= _slack(s))
+    mask[i, j] = _exact(a, b, i, j) > above
+    return mask
+
+
+class _Nearest:
+    """The K best of some left rows among the right blocks shown so far (ties by rid)."""
+
+    def __init__(self, n: int, K: int):
+        self.K = K
+        self.row, self.rid, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.edge = np.full(n, -np.inf)
+
+    def show(self, rows: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> None:
+        s = a @ b.T
+        k = min(self.K, s.shape[1])
+        edge = self.edge[rows]
+        new = np.flatnonzero(s.max(axis=1) >= edge - _slack(s))  # rows for which this block has anything
+        if not len(new):
+            return
+        t = s[new]
+        edge = np.maximum(edge[new], np.partition(t, t.shape[1] - k, axis=1)[:, t.shape[1] - k])
+        i, j = np.nonzero(t >= (edge - _slack(s))[:, None])
+        i = new[i]
+        row, r, score = np.concatenate([self.row, rows[i]]), np.concatenate([self.rid, rid[j]]), np.concatenate([self.score, _exact(a, b, i, j)])
+        order = np.lexsort((r, -score, row))
+        row, r, score = row[order], r[order], score[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        last = place == self.K - 1
+        self.edge[row[last]] = score[last]
+        keep = place < self.K
+        self.row, self.rid, self.score = row[keep], r[keep], score[keep]
 
 
-def _blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str, right_vec: str):
-    """Pairs of blocks of both sides, for a function of two frames; rows without a vector are left out."""
-    left, right = left.where(F.col(left_vec).isNotNull()), right.where(F.col(right_vec).isNotNull())
-    nl, nr = (max(1, -(-d.count() // BLOCK_ROWS)) for d in (left, right))
-    l = _blocks(left, left_id, left_vec, nl, "l").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = _blocks(right, right_id, right_vec, nr, "r").withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    return l.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb"))
+PAIRS = "lid long, rid long, score double"
 
 
-PAIRS = "lid long, rid long, score double"
-_NO_PAIRS = {"lid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)}
+def _tasks(spark, n: int) -> DataFrame:
+    return spark.range(0, n, 1, max(1, n))
+
+
+def _nearest(left: str, right: str, n: int, K: int, cells: int | None, spark) -> DataFrame:
+    """For n parts of written left rows their K best among written right rows, of the cells that each left row names."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in frame["id"]:
+                for lid, a, *named in _read(f"{left}/part={part}", ("cells",) if cells else ()):
+                    best = _Nearest(len(lid), K)
+                    for cell in range(cells or 1):
+                        own = np.flatnonzero([cell in x for x in named[0]]) if cells else np.arange(len(lid))
+                        for rid, b in _read(f"{right}/part={cell}") if len(own) else ():
+                            for at in range(0, len(own), LEFT_ROWS):
+                                rows = own[at : at + LEFT_ROWS]
+                                best.show(rows, a[rows], rid, b)
+                    yield pd.DataFrame({"lid": lid[best.row], "rid": best.rid, "score": best.score})
 
-def _scores(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    return np.stack(a["lv"].to_numpy()) @ np.stack(b["rv"].to_numpy()).T
+    return _tasks(spark, n).mapInPandas(run, PAIRS)
+
+
+def _bucket(col: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(n)).cast("int")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str = "_vec", right_vec: str = "_vec", K: int | None = None, above: float | None = None) -> DataFrame:
     """(lid, rid, score): per left row its K best (ties by rid), or all pairs with a score over ``above``.
 
-    Ids are longs; rows without a vector have no pairs.  Both sides are cut into blocks by a hash of
-    the id, sizes from their counts; each pair of blocks is one group, so memory is two blocks whatever
-    the sizes.  Exact search compares all blocks by nature (``approximate_pairs`` doesn't); candidates
-    that lose are dropped within the task.
+    Ids are longs; rows without a vector have no pairs.  Both sides are written once; a task holds a block of
+    either, whatever the sizes.  Exact search compares all rows by nature (``approximate_pairs`` doesn't).
     """
+    spark = left.sparkSession
+    n = _parts(left.count(), spark)
+    l, r = _written(left, left_id, left_vec, _bucket(left_id, n), n), _written(right, right_id, right_vec, F.lit(0))
+    if K is not None:
+        return _nearest(l, r, n, K, None, spark)
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(_NO_PAIRS)
-        b = b.sort_values("rid")
-        s = _scores(a, b)
-        lid, rid = a["lid"].to_numpy(), b["rid"].to_numpy()
-        if above is not None:
-            i, j = np.nonzero(s > above)
-        else:
-            k = min(K, s.shape[1])
-            edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-            room = k - (s > edge).sum(1, keepdims=True)  # of the ties at the edge the first by rid
-            i, j = np.nonzero((s > edge) | ((s == edge) & (np.cumsum(s == edge, axis=1) <= room)))
-        return pd.DataFrame({"lid": lid[i], "rid": rid[j], "score": s[i, j]})
-
-    pairs = _blocked(left, right, left_id, right_id, left_vec, right_vec).applyInPandas(meet, PAIRS)
-    return _best(pairs, K) if K is not None else pairs
-
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in frame["id"]:
+                for lid, a in _read(f"{l}/part={part}"):
+                    for rid, b in _read(f"{r}/part=0"):
+                        for at in range(0, len(lid), LEFT_ROWS):
+                            own = a[at : at + LEFT_ROWS]
+                            i, j = np.nonzero(_over(own, b, above))
+                            for p in range(0, len(i), 1_000_000):
+                                u, w = i[p : p + 1_000_000], j[p : p + 1_000_000]
+                                yield pd.DataFrame({"lid": lid[at + u], "rid": rid[w], "score": _exact(own, b, u, w)})
 
-def _best(pairs: DataFrame, K: int) -> DataFrame:
-    best = Window.partitionBy("lid").orderBy(F.desc("score"), "rid")
-    return pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= K).drop("_n")
+    return _tasks(spark, n).mapInPandas(run, PAIRS)
 
 
 def top_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n: int, left_vec: str = "_vec", right_vec: str = "_vec") -> tuple[list, int, float]:
     """The n pairs of highest score (clipped to [0, 1]; ties by ids), the number of pairs, and the sum of the roots of all scores.
 
-    A pair of blocks gives its own n best and one row of sums, so the pairs are never written out.
+    A task gives its own n best and one row of sums, so the pairs are never written out.
     """
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({**_NO_PAIRS, "kind": pd.Series(dtype="int64")})
-        a, b = a.sort_values("lid"), b.sort_values("rid")
-        s = np.clip(_scores(a, b), 0, 1).ravel()
-        order = np.argsort(-s, kind="stable")[:n]
-        i, j = np.divmod(order, len(b))
-        best = pd.DataFrame({"lid": a["lid"].to_numpy()[i], "rid": b["rid"].to_numpy()[j], "score": s[order], "kind": 0})
-        return pd.concat([best, pd.DataFrame({"lid": [len(s)], "rid": [0], "score": [np.sqrt(s).sum()], "kind": [1]})])
-
-    got = _blocked(left, right, left_id, right_id, left_vec, right_vec).applyInPandas(meet, PAIRS + ", kind long").persist()
+    spark = left.sparkSession
+    parts = _parts(left.count(), spark)
+    l, r = _written(left, left_id, left_vec, _bucket(left_id, parts), parts), _written(right, right_id, right_vec, F.lit(0))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in frame["id"]:
+                count, total = 0, 0.0
+                best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float))
+                for lid, a in _read(f"{l}/part={part}"):
+                    for rid, b in _read(f"{r}/part=0"):
+                        for at in range(0, len(lid), LEFT_ROWS):
+                            s = np.clip(a[at : at + LEFT_ROWS] @ b.T, 0, 1)
+                            count, total = count + s.size, total + np.sqrt(s).sum()
+                            k = min(n, s.size)
+                            i, j = np.nonzero(s >= np.partition(s.ravel(), s.size - k)[s.size - k])
+                            x, y, z = (np.concatenate(v) for v in zip(best, (lid[at + i], rid[j], s[i, j])))
+                            order = np.lexsort((y, x, -z))[:n]
+                            best = x[order], y[order], z[order]
+                yield pd.DataFrame({"lid": [*best[0], count], "rid": [*best[1], 0], "score": [*best[2], total], "kind": [0] * len(best[0]) + [1]})
+
+    got = _tasks(spark, parts).mapInPandas(run, PAIRS + ", kind long").persist()
     sums = got.where("kind = 1").agg(F.sum("lid"), F.sum("score")).first()
     top = got.where("kind = 0").orderBy(F.desc("score"), "lid", "rid").limit(n).collect()
     got.unpersist()
     return top, sums[0] or 0, sums[1] or 0.0
 
 
+def linked_values(df: DataFrame, id_col: str, vec_col: str, above: float) -> DataFrame:
+    """(a, b): links that join the same rows as all pairs over ``above``, of which a tile of parts gives a forest.
+
+    A tile of two of TILE_PARTS parts has fewer links than rows, and each row is in TILE_PARTS tiles, so the
+    links follow the rows however many pairs there are.
+    """
+    spark = df.sparkSession
+    g = min(TILE_PARTS, _parts(df.count(), spark))
+    path = _written(df, id_col, vec_col, _bucket(id_col, g), g)
+    tiles = [(x, y) for x in range(g) for y in range(x, g)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for tile in frame["id"]:
+                x, y = tiles[tile]
+                known = _Forest()
+                for lid, a in _read(f"{path}/part={x}"):
+                    for rid, b in _read(f"{path}/part={y}"):
+                        for at in range(0, len(lid), LEFT_ROWS):
+                            own = a[at : at + LEFT_ROWS]
+                            known.link(lid[at : at + LEFT_ROWS], rid, _over(own, b, above))
+                a, b = known.stars()
+                yield pd.DataFrame({"a": a, "b": b})
+
+    return _tasks(spark, len(tiles)).mapInPandas(run, "a long, b long")
+
+
+class _Forest:
+    """Rows and what joins them, each component as links to its lowest id."""
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.root = np.zeros(0, np.int64)
+
+    def _places(self, ids: np.ndarray) -> np.ndarray:
+        out = np.array([self.place.setdefault(i, len(self.place)) for i in ids.tolist()], dtype=np.int64)
+        if len(self.place) > len(self.root):
+            self.root = np.concatenate([self.root, np.arange(len(self.root), max(len(self.place), 2 * len(self.root)))])
+        return out
+
+    def _roots(self, at: np.ndarray) -> np.ndarray:
+        r = self.root[at]
+        while not np.array_equal(up := self.root[r], r):
+            r = up
+        self.root[at] = r
+        return r
+
+    def link(self, lid: np.ndarray, rid: np.ndarray, mask: np.ndarray) -> None:
+        l, r = self._places(lid), self._places(rid)
+        while True:
+            left, right = self._roots(l), self._roots(r)
+            mask &= left[:, None] != right[None, :]
+            j = mask.argmax(axis=1)
+            rows = np.flatnonzero(mask[np.arange(len(l)), j])
+            if not len(rows):
+                return
+            for i in rows.tolist():
+                u, w = int(left[i]), int(right[j[i]])
+                while self.root[u] != u:
+                    u = int(self.root[u])
+                while self.root[w] != w:
+                    w = int(self.root[w])
+                if u != w:
+                    self.root[max(u, w)] = min(u, w)
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.fromiter(self.place, np.int64, len(self.place))
+        root = self._roots(np.arange(len(ids)))
+        lowest = ids.copy()
+        np.minimum.at(lowest, root, ids)
+        far = lowest[root] != ids
+        return ids[far], lowest[root][far]
+
+
 def approximate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, K: int, cells: int, probes: int, left_vec: str = "_vec", right_vec: str = "_vec", sample: int = 50_000) -> DataFrame:
     """As similar_pairs with K, but a left row meets only the right rows of its ``probes`` nearest of ``cells`` cells.
 
-    Cells are k-means of a sample of about ``sample`` right rows.  A cell of many rows is cut into
-    blocks of BLOCK_ROWS, so no task holds a whole cell.  With probes = cells the result is exact.
+    Cells are k-means of a sample of about ``sample`` right rows.  A cell is read by blocks of BLOCK_ROWS,
+    so no task holds a whole cell.  With probes = cells the result is exact.
     """
     right = right.where(F.col(right_vec).isNotNull())
     left = left.where(F.col(left_vec).isNotNull())
@@ -166,35 +338,19 @@ def approximate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id:
         return left.sparkSession.createDataFrame([], PAIRS)
     c = np.array(centers)
 
-    def cell_of(vec: str, n: int) -> Column:
+    def cells_of(vec: str, n: int) -> Column:
         @F.pandas_udf("array<int>")
         def cells_(s: pd.Series) -> pd.Series:
             d = (c**2).sum(1) - 2 * np.stack(s.to_numpy()) @ c.T if len(s) else np.zeros((0, len(c)))
             return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n]))
 
-        return F.explode(cells_(F.col(vec).cast("array<double>")))
-
-    l = left.select(F.col(left_id).alias("lid"), F.col(left_vec).cast("array<double>").alias("lv"), cell_of(left_vec, probes).alias("cell"))
-    r = right.select(F.col(right_id).alias("rid"), F.col(right_vec).cast("array<double>").alias("rv"), cell_of(right_vec, 1).alias("cell"))
-    sizes = {x.cell: -(-x["count"] // BLOCK_ROWS) for x in r.groupBy("cell").count().collect()}  # one row per cell
-    asked = {x.cell: -(-x["count"] // BLOCK_ROWS) for x in l.groupBy("cell").count().collect()}
-    number = lambda known: F.element_at(F.create_map(*[F.lit(v) for kv in known.items() for v in kv]), F.col("cell")) if known else F.lit(1)
-    block = lambda i, n: F.pmod(F.xxhash64(i), n.cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
-    l = l.withColumn("lb", block("lid", number(asked))).withColumn("rb", every(number(sizes)))
-    r = r.withColumn("rb", block("rid", number(sizes))).withColumn("lb", every(number(asked)))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(_NO_PAIRS)
-        b = b.sort_values("rid")
-        s = _scores(a, b)
-        at = np.argsort(-s, axis=1, kind="stable")[:, :K]
-        i = np.repeat(np.arange(len(a)), at.shape[1])
-        return pd.DataFrame({"lid": a["lid"].to_numpy()[i], "rid": b["rid"].to_numpy()[at.ravel()], "score": s[i, at.ravel()]})
+        return cells_(F.col(vec).cast("array<double>"))
 
-    key = ["cell", "lb", "rb"]
-    return _best(l.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(meet, PAIRS), K)
+    spark = left.sparkSession
+    n = _parts(left.count(), spark)
+    l = _written(left, left_id, left_vec, _bucket(left_id, n), n, cells_of(left_vec, probes).alias("cells"))
+    r = _written(right, right_id, right_vec, cells_of(right_vec, 1)[0])
+    return _nearest(l, r, n, K, len(c), spark)
 
 
 class VectorStore:
@@ -275,8 +431,7 @@ def sem_dedup(engine: Engine, df: DataFrame, col: str, threshold: float, id_col:
     """
     source = df if vec_col else embed_column(engine, df, col)
     values = engine.materialise(source.groupBy(col).agg(F.min(id_col).alias("_vid"), F.first(vec_col or "_vec").alias("_v")), "values")
-    pairs = similar_pairs(values, values, "_vid", "_vid", "_v", "_v", above=threshold).where("lid < rid")
-    lost = components(engine, pairs.select(F.col("lid").alias("a"), F.col("rid").alias("b"))).where("root < id").select(F.col("id").alias("_vid"))
+    lost = components(engine, linked_values(values, "_vid", "_v", threshold)).where("root < id").select(F.col("id").alias("_vid"))
     gone = values.join(lost, "_vid", "left_semi").select(F.col(col).alias("_gone"))
     return df.join(gone, df[col] == gone["_gone"], "left_anti")
 
