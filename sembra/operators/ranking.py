@@ -90,14 +90,14 @@ class _Comparer:
 def _narrowed(ids: DataFrame, n: int, k: int, better: _Comparer, order: Callable[[list[int], int], list[int]], seed: int) -> list[int]:
     """The k best of n ids (column id), best first; parts of more than COMPARED_ROWS are cut by a pivot in Spark.
 
-    The pivot is one of the best of a few, so that not many more than k ids win against it.
+    The pivot is one of the best of a few (one row in 64 at most), so that not many more than k ids win against it.
     """
     k = min(k, n)
     if k <= 0:
         return []
     if n <= min(COMPARED_ROWS, DRIVER_ROWS):
         return order([r[0] for r in ids.orderBy("id").collect()], k)
-    some = [r[0] for r in ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(PIVOT_ROWS, DRIVER_ROWS)).collect()]
+    some = [r[0] for r in ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(1, min(PIVOT_ROWS, DRIVER_ROWS, n // 64))).collect()]
     place = min((len(some) + 1) // 2, k * len(some) // n + 3)
     pivot = _quick(sorted(some), max(1, place), better, random.Random(seed))[-1]
     pairs = ids.where(F.col("id") != pivot).select(F.col("id").alias("__sembra_i"), F.lit(pivot).cast("long").alias("__sembra_j"))
