@@ -19,10 +19,11 @@ from dataclasses import dataclass, field, replace
 from functools import wraps
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .backend import Backend, Embedder, HashEmbedder, Limits, Reranker, Usage, cost_of
+from .functions.prompts import Chat
 from .storage import materialise, shared_path
 
 #: Logs of more calls are first cut to the keys that a barrier needs, which takes a job.
@@ -62,10 +63,11 @@ class Engine:
     def materialise(self, df: DataFrame, name: str = "step") -> DataFrame:
         return materialise(df, name)
 
-    def ask(self, df: DataFrame, prompt: Column, backend: Backend | None = None, salt: str = "", merge: bool = False) -> DataFrame:
+    def ask(self, df: DataFrame, prompt: Chat, backend: Backend | None = None, salt: str = "", merge: bool = False) -> DataFrame:
         """df with column _said: struct<text, positive_prob>; one call for equal prompts, none for logged ones.
 
-        ``salt`` tells calls apart that must not share an answer (trials).  A null prompt isn't asked.
+        ``salt`` tells calls apart that must not share an answer (trials).  A null context isn't asked.
+        Equal prompts are found by their contexts, hashed; whole prompts are made of distinct ones, as they are asked.
         ``merge``: no table of the barrier is broadcast, for rounds whose tables would pass the driver each time.
         """
         met = (lambda d: d.hint("merge")) if merge else (lambda d: d)
@@ -80,8 +82,10 @@ class Engine:
             log = self.log_path
         name = json.dumps([backend.model, backend.max_tokens, salt])
         log = f"{log}/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
-        df = df.withColumn("__sembra_prompt", prompt).withColumn("__sembra_key", F.sha2(F.concat(F.lit(name), "__sembra_prompt"), 256))
-        every = df.where(F.col("__sembra_prompt").isNotNull()).groupBy("__sembra_key").agg(F.first("__sembra_prompt").alias("__sembra_prompt"), F.count("*").alias("__sembra_n"))
+        key = lambda p: F.sha2(F.concat(F.lit(name), p.text()), 256)
+        every = df.select(prompt.context.alias("__sembra_context")).where("__sembra_context IS NOT NULL").groupBy("__sembra_context").agg(F.count("*").alias("__sembra_n"))
+        df, prompt = df.withColumn("__sembra_key", key(prompt)), prompt.of("__sembra_context")
+        every = every.withColumn("__sembra_key", key(prompt))
         known = self._log(log)
         asked = every
         hits = None
@@ -92,7 +96,7 @@ class Engine:
             hits = materialise(known.join(met(every.select(F.col("__sembra_key").alias("key"))), "key", "left_semi"), "hits") if large else known
             asked = every.join(met(hits.select(F.col("key").alias("__sembra_key"))), "__sembra_key", "left_anti")
         if self.safe_mode:
-            self._check_before(asked, backend)
+            self._check_before(asked, prompt, backend)
         rpm, tpm = self.requests_per_minute, self.tokens_per_minute
         # shares of a limit are those of as many tasks as there are, and never less than one request
         tasks = max(1, min(self.spark.sparkContext.defaultParallelism, rpm or tpm or 1))
@@ -113,7 +117,7 @@ class Engine:
                     yield pd.DataFrame({"key": part["__sembra_key"].to_numpy(), "model": backend.model, "text": [s.text for s in said], "positive_prob": pd.array([s.positive_prob for s in said], dtype="Float64"), "tokens_in": [s.tokens_in for s in said], "tokens_out": [s.tokens_out for s in said]})
 
         part = f"{log}/part-{uuid.uuid4().hex}"
-        asked.select("__sembra_key", "__sembra_prompt").mapInPandas(run, LOG).write.parquet(part)
+        asked.select("__sembra_key", prompt.text().alias("__sembra_prompt")).mapInPandas(run, LOG).write.parquet(part)
         new = self.spark.read.schema(LOG).parquet(part)
         calls, tin, tout = new.agg(F.count("*"), F.coalesce(F.sum("tokens_in"), F.lit(0)), F.coalesce(F.sum("tokens_out"), F.lit(0))).first()
         found = new if hits is None else new.union(hits)
@@ -132,11 +136,11 @@ class Engine:
         self.log_rows[log] = self.log_rows.get(log, 0) + calls
         self.limits.check(u)
         said = found.groupBy("key").agg(F.first(F.struct("text", "positive_prob")).alias("__sembra_said"))
-        return df.join(met(said.withColumnRenamed("key", "__sembra_key")), "__sembra_key", "left").drop("__sembra_key", "__sembra_prompt")
+        return df.join(met(said.withColumnRenamed("key", "__sembra_key")), "__sembra_key", "left").drop("__sembra_key")
 
-    def _check_before(self, asked: DataFrame, backend: Backend) -> None:
+    def _check_before(self, asked: DataFrame, prompt: Chat, backend: Backend) -> None:
         """Record what a barrier would ask, and raise where that alone passes a limit."""
-        got = self.estimate(asked, F.col("__sembra_prompt"), backend)
+        got = self.estimate(asked, prompt, backend)
         self.estimates.append(got)
         u = replace(self.usage)
         u.calls += got["calls"]
@@ -155,7 +159,7 @@ class Engine:
         parts = sorted(str(x.getPath()) for x in fs.listStatus(p)) if fs.exists(p) else []
         return self.spark.read.schema(LOG).parquet(*parts) if parts else None
 
-    def estimate(self, df: DataFrame, prompt: Column, backend: Backend | None = None) -> dict[str, int]:
+    def estimate(self, df: DataFrame, prompt: Chat, backend: Backend | None = None) -> dict[str, int]:
         """Calls (equal prompts once) and prompt tokens, by the backend's tokenizer, that asking would take."""
         tokenizer = (backend or self.lm).tokenizer
 
@@ -163,7 +167,8 @@ class Engine:
         def tokens(s: pd.Series) -> pd.Series:
             return s.map(lambda p: sum(tokenizer.count(m["content"]) for m in json.loads(p))).astype("int64")
 
-        r = df.select(prompt.alias("p")).where("p IS NOT NULL").distinct().agg(F.count("p"), F.sum(tokens("p"))).first()
+        one = df.select(prompt.context.alias("__sembra_context")).where("__sembra_context IS NOT NULL").distinct()
+        r = one.select(prompt.of("__sembra_context").text().alias("p")).agg(F.count("p"), F.sum(tokens("p"))).first()
         return {"calls": r[0], "tokens_in": r[1] or 0}
 
 

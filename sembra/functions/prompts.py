@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, replace
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -73,11 +74,31 @@ def example_turns(examples: list[dict] | None, columns: list[str], task: str, st
     return out
 
 
-def chat(head: list[dict], context: Column, task: str) -> Column:
-    """The messages as JSON text: ``head``, then the row's user message."""
-    start = json.dumps(head, ensure_ascii=False)[:-1] + (", " if head else "")
-    content = F.concat(F.lit("Context:\n"), context, F.lit("\n\n" + task))
-    return F.concat(F.lit(start), F.to_json(F.struct(F.lit("user").alias("role"), content.alias("content"))), F.lit("]"))
+@dataclass(frozen=True)
+class Chat:
+    """The messages of each row: ``head``, then a user message of the row's context and ``task``.
+
+    Prompts of equal contexts are equal, and no others: what tells them apart is much smaller than they are.
+    """
+
+    head: list[dict]
+    context: Column
+    task: str
+
+    def of(self, context: str) -> Chat:
+        """The same messages about the contexts in a column of that name."""
+        return replace(self, context=F.col(context))
+
+    def text(self) -> Column:
+        """The messages as JSON text."""
+        start = json.dumps(self.head, ensure_ascii=False)[:-1] + (", " if self.head else "")
+        content = F.concat(F.lit("Context:\n"), self.context, F.lit("\n\n" + self.task))
+        return F.concat(F.lit(start), F.to_json(F.struct(F.lit("user").alias("role"), content.alias("content"))), F.lit("]"))
+
+
+def chat(head: list[dict], context: Column, task: str) -> Chat:
+    """Bytes that aren't UTF-8 are replaced and collations dropped, so that contexts compare as their prompts."""
+    return Chat(head, F.collate(F.make_valid_utf8(context), "UTF8_BINARY"), task)
 
 
 def task_of(kind: str, instruction: str) -> str:
@@ -85,7 +106,7 @@ def task_of(kind: str, instruction: str) -> str:
     return f"{word}: {rendered(instruction)}"
 
 
-def row_prompt(df: DataFrame, kind: str, instruction: str, how: str, strategy: Strategy, examples: list[dict] | None = None, system_prompt: str | None = None, tokens: tuple[str, str] | None = None, extra: str = "", more: list[str] = ()) -> Column:
+def row_prompt(df: DataFrame, kind: str, instruction: str, how: str, strategy: Strategy, examples: list[dict] | None = None, system_prompt: str | None = None, tokens: tuple[str, str] | None = None, extra: str = "", more: list[str] = ()) -> Chat:
     from .serialize import row_text
 
     cols = columns_of(instruction)
@@ -98,7 +119,7 @@ def row_prompt(df: DataFrame, kind: str, instruction: str, how: str, strategy: S
     return chat(head, row_text(df, [*cols, *more], how), task)
 
 
-def extract_prompt(df: DataFrame, input_cols: list[str], output_cols: dict[str, str | None], quotes: bool, how: str, strategy: Strategy) -> Column:
+def extract_prompt(df: DataFrame, input_cols: list[str], output_cols: dict[str, str | None], quotes: bool, how: str, strategy: Strategy) -> Chat:
     from .serialize import row_text
 
     fields = {k: v or "value of that name" for k, v in output_cols.items()}
